@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tellscan.llm import chat, decontam, fingerprint, langid, licenses, linededup, mixing, simhash
+from tellscan.llm import chat, decontam, fingerprint, langid, licenses, linededup, mixing, simhash, suffixes
 from tellscan.llm._util import table
 
 
@@ -23,6 +23,10 @@ def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.report(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op6_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
@@ -48,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": op1_chat_formatting,
     "op3_line_dedup": op3_line_dedup,
     "op4_document_fingerprints": op4_document_fingerprints,
+    "op5_suffix_array_dedup": op5_suffix_array_dedup,
     "op6_license_scans": op6_license_scans,
     "op7_simhash": op7_simhash,
     "op8_mixing": op8_mixing,
