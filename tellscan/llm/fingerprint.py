@@ -144,6 +144,8 @@ def _differs(make: Callable[[str], str]):
 def _told_apart(found: DataFrame, rows: DataFrame, make: Callable[[str], str]) -> DataFrame:
     """found, with suffixes where one digest stands for several canonical texts."""
     shared = found.groupBy("fingerprint").agg(F.min("text_sha256").alias("a"), F.max("text_sha256").alias("b")).where("a != b").select("fingerprint")
+    # written first: where it is small, its size is known and the texts aren't dealt out for the join
+    shared = save(shared, "shared-fingerprints")
     # only digests shared by different texts need a look at the bytes; equal texts can't differ in canonical form
     forms = rows.mapInArrow(_forms(make), "fingerprint string, canon string")
     suspects = forms.join(shared, "fingerprint", "left_semi").withColumn("salt", F.pmod(F.xxhash64("canon", F.monotonically_increasing_id()), F.lit(SALTS)))
