@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tellscan.llm import chat, decontam, fingerprint, langid, licenses, linededup, mixing, simhash, suffixes
+from tellscan.llm import chat, decontam, fingerprint, langid, licenses, linededup, mixing, passages, simhash, suffixes
 from tellscan.llm._util import table
 
 
@@ -15,6 +15,10 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.collapse(table(spark, sf_dir, "conversations"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.near_passages(table(spark, sf_dir, "documents"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.report(table(spark, sf_dir, "documents"))
 
@@ -50,6 +54,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": op1_chat_formatting,
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_line_dedup": op3_line_dedup,
     "op4_document_fingerprints": op4_document_fingerprints,
     "op5_suffix_array_dedup": op5_suffix_array_dedup,
