@@ -7,6 +7,7 @@ far it is out of place in the profile (PROFILE where it is absent). The language
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -14,7 +15,6 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -32,7 +32,7 @@ MIN_GRAMS = 1
 WORD_CACHE, COUNT_CACHE = 200_000, 500_000
 #: keep(): documents that score less are rejected too. 0 rejects only those without letters.
 MIN_SCORE = 0.0
-LETTERS = regex.compile(r"[\p{L}\p{M}]+")
+LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def held_out(doc_id) -> object:
@@ -50,7 +50,8 @@ def grams_of(word: str, max_n: int = MAX_N) -> list[str]:
 
 
 def words_of(text: str | None) -> Counter:
-    return Counter(LETTERS.findall(text.lower())) if text else Counter()
+    words = Counter(LETTERS.findall(text.lower())) if text else Counter()
+    return words if any(c.isalpha() for w in words for c in w) else Counter()
 
 
 def count_grams(words: Counter, cache: dict[str, list[str]], max_n: int = MAX_N) -> dict[str, int]:
@@ -67,11 +68,26 @@ def count_grams(words: Counter, cache: dict[str, list[str]], max_n: int = MAX_N)
     return counts
 
 
+def _code(gram: str, max_n: int) -> int:
+    """A number that orders n-grams of up to three letters as strings."""
+    out = 0
+    for i in range(max_n):
+        out = out << 21 | (ord(gram[i]) if i < len(gram) else 0)
+    return out
+
+
 class Ids:
     """Numbers for n-grams, so that a document's counts are one bincount; unknown words are spelt out once."""
 
     def __init__(self, max_n: int):
         self.max_n, self.of, self.grams, self.words = max_n, {}, [], {}
+        self.codes = np.zeros(0, dtype=np.int64)  # in the order of the n-grams as strings
+
+    def order_of(self, found: np.ndarray) -> np.ndarray:
+        new = self.grams[len(self.codes) :]
+        if new:
+            self.codes = np.concatenate([self.codes, np.array([_code(g, self.max_n) for g in new], dtype=np.int64)])
+        return self.codes[found]
 
     def word(self, w: str) -> np.ndarray:
         ids = self.words.get(w)
@@ -91,7 +107,7 @@ class Ids:
     def count(self, words: Counter) -> tuple[np.ndarray, np.ndarray]:
         """(numbers, counts) of the n-grams."""
         if len(self.grams) > COUNT_CACHE:
-            self.of, self.grams, self.words = {}, [], {}
+            self.of, self.grams, self.words, self.codes = {}, [], {}, self.codes[:0]
         parts = [self.word(w) for w in words]
         times = np.repeat(np.fromiter(words.values(), dtype=np.int64, count=len(words)), [len(p) for p in parts])
         total = np.bincount(np.concatenate(parts), weights=times)
@@ -161,13 +177,12 @@ class Judge:
         found, n = self.ids.count(words)
         if len(self.ids.grams) < was:
             self.places = self.places[:, :0]
-        names = self.ids.grams
         if len(found) > self.size:  # all that tie with the last place stay until the n-grams themselves decide
             least = np.partition(n, len(n) - self.size)[len(n) - self.size]
             keep = n >= least
             found, n = found[keep], n[keep]
-        top = sorted(zip((-n).tolist(), (names[k] for k in found), found.tolist(), strict=True))[: self.size]
-        places = self._table()[:, [t[2] for t in top]]
+        top = found[np.lexsort((self.ids.order_of(found), -n))][: self.size]
+        places = self._table()[:, top]
         off = np.where(places < 0, self.size, np.abs(places - np.arange(len(top))))
         distance = off.sum(axis=1)
         best = int(distance.argmin())  # a tie goes to the first name
@@ -212,6 +227,8 @@ def keep(docs: DataFrame, text_col: str = "text", min_score: float = MIN_SCORE,
 def naive(text: str | None, known: dict[str, dict[str, int]], size: int = PROFILE, max_n: int = MAX_N) -> tuple[str, float]:
     """What predict() gives, spelt out; for tests."""
     counts: Counter = Counter(g for w in LETTERS.findall((text or "").lower()) for g in grams_of(w, max_n))
+    if not any(c.isalpha() for c in text or ""):
+        return UNKNOWN, 0.0
     if not counts or not known:
         return UNKNOWN, 0.0
     top = sorted(counts, key=lambda g: (-counts[g], g))[:size]
