@@ -8,12 +8,13 @@ far it is out of place in the profile (PROFILE where it is absent). The language
 from __future__ import annotations
 
 import re
+import sys
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,8 +29,10 @@ FOLDS, HELD_OUT = 4, 2
 UNKNOWN = "und"
 #: A language with fewer n-grams than this in all its learning texts has no profile; 1 means every language has one.
 MIN_GRAMS = 1
-#: Words whose n-grams a worker remembers, and n-gram counts it holds before it passes them on.
-WORD_CACHE, COUNT_CACHE = 200_000, 500_000
+#: N-gram counts a worker holds before it passes them on, and characters of a language that it counts together.
+COUNT_CACHE, TOGETHER = 500_000, 1 << 16
+#: Characters of a text taken at a time, bits of a code point in a code (three fit in a long), and the blank around words.
+STEP, BITS, BLANK = 1 << 20, 21, 32
 #: keep(): documents that score less are rejected too. 0 rejects only those without letters.
 MIN_SCORE = 0.0
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -49,97 +52,105 @@ def grams_of(word: str, max_n: int = MAX_N) -> list[str]:
     return [padded[i : i + n] for n in range(1, max_n + 1) for i in range(len(padded) - n + 1) if n > 1 or padded[i] != " "]
 
 
-def words_of(text: str | None) -> Counter:
-    words = Counter(LETTERS.findall(text.lower())) if text else Counter()
-    return words if any(c.isalpha() for w in words for c in w) else Counter()
-
-
-def count_grams(words: Counter, cache: dict[str, list[str]], max_n: int = MAX_N) -> dict[str, int]:
-    counts: dict[str, int] = {}
-    get = counts.get
-    for w, c in words.items():
-        grams = cache.get(w)
-        if grams is None:
-            grams = grams_of(w, max_n)
-            if len(w) <= 64 and len(cache) < WORD_CACHE:
-                cache[w] = grams
-        for g in grams:
-            counts[g] = get(g, 0) + c
-    return counts
-
-
-def _code(gram: str, max_n: int) -> int:
-    """A number that orders n-grams of up to three letters as strings."""
-    out = 0
-    for i in range(max_n):
-        out = out << 21 | (ord(gram[i]) if i < len(gram) else 0)
-    return out
-
-
-class Ids:
-    """Numbers for n-grams, so that a document's counts are one bincount; unknown words are spelt out once."""
-
-    def __init__(self, max_n: int):
-        self.max_n, self.of, self.grams, self.words = max_n, {}, [], {}
-        self.codes = np.zeros(0, dtype=np.int64)  # in the order of the n-grams as strings
-
-    def order_of(self, found: np.ndarray) -> np.ndarray:
-        new = self.grams[len(self.codes) :]
-        if new:
-            self.codes = np.concatenate([self.codes, np.array([_code(g, self.max_n) for g in new], dtype=np.int64)])
-        return self.codes[found]
-
-    def word(self, w: str) -> np.ndarray:
-        ids = self.words.get(w)
-        if ids is None:
-            new = []
-            for g in grams_of(w, self.max_n):
-                k = self.of.get(g)
-                if k is None:
-                    k = self.of[g] = len(self.grams)
-                    self.grams.append(g)
-                new.append(k)
-            ids = np.array(new, dtype=np.int64)
-            if len(self.words) < WORD_CACHE:
-                self.words[w] = ids
-        return ids
-
-    def count(self, words: Counter) -> tuple[np.ndarray, np.ndarray]:
-        """(numbers, counts) of the n-grams."""
-        if len(self.grams) > COUNT_CACHE:
-            self.of, self.grams, self.words, self.codes = {}, [], {}, self.codes[:0]
-        parts = [self.word(w) for w in words]
-        times = np.repeat(np.fromiter(words.values(), dtype=np.int64, count=len(words)), [len(p) for p in parts])
-        total = np.bincount(np.concatenate(parts), weights=times)
-        found = np.flatnonzero(total)
-        return found, total[found].astype(np.int64)
+def has_letters(text: str | None) -> bool:
+    return bool(text) and any(map(str.isalpha, text))
+
+
+@cache
+def _letter_table() -> np.ndarray:
+    """Whether a code point counts as a letter, for all of them."""
+    table = np.zeros(sys.maxunicode + 1, dtype=bool)
+    for m in LETTERS.finditer("".join(map(chr, range(sys.maxunicode + 1)))):
+        table[m.start() : m.end()] = True
+    return table
+
+
+def gram_codes(text: str, max_n: int = MAX_N) -> tuple[np.ndarray, np.ndarray]:
+    """(codes, counts) of the text's n-grams, codes rising. A code holds three code points and orders as the string does.
+
+    Words share the blank between them, so an n-gram with a blank in its middle is none. A long text is taken STEP
+    characters at a time.
+    """
+    points = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    letter = _letter_table()[points]
+    kept = letter.copy()
+    kept[1:] |= letter[:-1]
+    kept[0] = True
+    run = np.where(letter, points, BLANK)[kept].astype(np.int64)
+    found = []
+    for at in range(0, len(run), STEP):
+        x = run[at : at + STEP + 2]
+        n = min(STEP, len(x))
+        word = x != BLANK
+        code = x[:n] << 2 * BITS
+        parts = [code[word[:n]]]
+        if max_n > 1:
+            n = min(n, len(x) - 1)
+            code = code[:n] | x[1 : n + 1] << BITS
+            parts.append(code)
+        if max_n > 2:
+            n = max(0, min(n, len(x) - 2))
+            parts.append((code[:n] | x[2 : n + 2])[word[1 : n + 1]])
+        found.append(np.unique(np.concatenate(parts), return_counts=True))
+        if len(found) > 8:
+            found = [merged(found)]
+    return merged(found)
+
+
+def merged(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    if len(found) == 1:
+        return found[0]
+    codes, at = np.unique(np.concatenate([f[0] for f in found]), return_inverse=True)
+    counts = np.zeros(len(codes), dtype=np.int64)
+    np.add.at(counts, at, np.concatenate([f[1] for f in found]))
+    return codes, counts
+
+
+def code_of(gram: str) -> int:
+    return sum(ord(c) << BITS * (2 - i) for i, c in enumerate(gram))
+
+
+def gram_of(code: int) -> str:
+    return "".join(chr(c) for i in (2, 1, 0) if (c := code >> BITS * i & (1 << BITS) - 1))
 
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_n: int = MAX_N, size: int = PROFILE) -> DataFrame:
     """(lang, gram, rank): the profiles, from all rows with a language that aren't held out."""
+    if not 1 <= max_n <= MAX_N:
+        raise ValueError(f"max_n must be from 1 to {MAX_N}")
     rows = docs.where(F.col(lang_col).isNotNull() & ~held_out(id_col)).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
-        held: dict[str, Counter] = {}
-
-        def out() -> pa.RecordBatch:
-            triples = [(lang, g, n) for lang, c in held.items() for g, n in c.items()]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+        texts: dict[str, list[str]] = {}
+
+        def count(lang: str) -> None:
+            held.setdefault(lang, []).append(gram_codes("\n".join(texts.pop(lang)), max_n))
+            if len(held[lang]) > 16:
+                held[lang] = [merged(held[lang])]
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for lang in list(texts):
+                count(lang)
+            for lang, found in held.items():
+                codes, n = merged(found)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), pa.array([gram_of(c) for c in codes.tolist()], pa.string()), pa.array(n, pa.int64())], ["lang", "gram", "n"])
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array([t[i] for t in triples], kind) for i, kind in enumerate((pa.string(), pa.string(), pa.int64()))], ["lang", "gram", "n"])
 
-        words: dict[str, Counter] = {}
+        waiting: Counter = Counter()
         for b in batches:
             for lang, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                words.setdefault(lang, Counter()).update(words_of(text.as_py()))
-            if sum(map(len, words.values())) > WORD_CACHE:
-                for lang, c in words.items():
-                    held.setdefault(lang, Counter()).update(count_grams(c, {}, max_n))
-                words.clear()
-                if sum(map(len, held.values())) > COUNT_CACHE:
-                    yield out()
-        for lang, c in words.items():
-            held.setdefault(lang, Counter()).update(count_grams(c, {}, max_n))
-        yield out()
+                body = text.as_py()
+                if has_letters(body):
+                    texts.setdefault(lang, []).append(body)
+                    waiting[lang] += len(body)
+                    if waiting[lang] > TOGETHER:
+                        count(lang)
+                        waiting[lang] = 0
+                        if sum(len(f[0]) for found in held.values() for f in found) > COUNT_CACHE:
+                            yield from out()
+                            waiting.clear()
+        yield from out()
 
     counts = rows.mapInArrow(run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
@@ -156,33 +167,24 @@ def profiles(docs: DataFrame, **options) -> dict[str, dict[str, int]]:
 
 class Judge:
     def __init__(self, profiles: dict[str, dict[str, int]], max_n: int = MAX_N, size: int = PROFILE):
-        self.langs, self.profiles, self.size, self.ids = list(profiles), profiles, size, Ids(max_n)
-        self.places = np.zeros((len(self.langs), 0), dtype=np.int64)
-
-    def _table(self) -> np.ndarray:
-        """Place of each numbered n-gram in each profile, -1 where absent."""
-        grams, known = self.ids.grams, self.places.shape[1]
-        if known > len(grams):
-            self.places, known = self.places[:, :0], 0
-        if known < len(grams):
-            new = np.array([[self.profiles[k].get(g, -1) for g in grams[known:]] for k in self.langs], dtype=np.int64)
-            self.places = np.concatenate([self.places, new.reshape(len(self.langs), -1)], axis=1)
-        return self.places
+        self.langs, self.max_n, self.size = list(profiles), max_n, size
+        grams = {code_of(g): g for p in profiles.values() for g in p}
+        self.codes = np.array(sorted(grams), dtype=np.int64)
+        #: Place of each known n-gram in each profile, -1 where absent; the last column stands for all others.
+        self.places = np.array([[*(p.get(grams[c], -1) for c in self.codes.tolist()), -1] for p in profiles.values()], dtype=np.int64)
 
     def __call__(self, text: str | None) -> tuple[str, float]:
-        words = words_of(text)
-        if not words or not self.langs:
+        if not has_letters(text) or not self.langs:
             return UNKNOWN, 0.0
-        was = len(self.ids.grams)
-        found, n = self.ids.count(words)
-        if len(self.ids.grams) < was:
-            self.places = self.places[:, :0]
+        found, n = gram_codes(text, self.max_n)
         if len(found) > self.size:  # all that tie with the last place stay until the n-grams themselves decide
             least = np.partition(n, len(n) - self.size)[len(n) - self.size]
             keep = n >= least
             found, n = found[keep], n[keep]
-        top = found[np.lexsort((self.ids.order_of(found), -n))][: self.size]
-        places = self._table()[:, top]
+        top = found[np.argsort(-n, kind="stable")][: self.size]
+        at = np.searchsorted(self.codes, top)
+        known = self.codes[np.minimum(at, len(self.codes) - 1)] == top
+        places = self.places[:, np.where(known, at, len(self.codes))]
         off = np.where(places < 0, self.size, np.abs(places - np.arange(len(top))))
         distance = off.sum(axis=1)
         best = int(distance.argmin())  # a tie goes to the first name
