@@ -9,6 +9,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tellscan.functions.guarded import GUARDED
+
 SEVERITIES, CONFIDENCES = ("error", "warning", "info"), ("high", "medium", "low")
 
 GAP = r"(?:[ \t]|\r?\n(?!\s*\n))++"
@@ -92,6 +94,7 @@ RULES: tuple[Rule, ...] = (
     _rule("question-isnt", "false-correction", "warning", "medium", r"\bthe\s+question\s+is(?:n['’]?t|\s+not)\s+(?:whether|if|how|what|why|who)\b[^.!?\n]{0,80}?,\s*(?:it['’]?s|but)\b", "A question is refused to put another."),
     _rule("less-about-more-about", "false-correction", "warning", "medium", r"\b(?:it['’]?s|it\s+is|this\s+is|that['’]?s|that\s+is)\s+less\s+about\s+[^.!?\n]{1,60}?\b(?:(?:and\s+|,\s*)?more\s+about|than\s+about)\b", "A contrast by formula."),
     _rule("vague-attribution", "false-concession", "error", "high", r"\bsome\s+(?:critics|experts|observers|scholars|analysts)\s+(?:argue|say|believe|contend|maintain)\b|\bit\s+is\s+widely\s+(?:regarded|considered|seen|believed|acknowledged)\b|\bmany\s+would\s+argue\b", "A claim of nobody in particular.", suggestion="Name who says so."),
+    *(Rule(**arguments) for arguments in GUARDED),
 )
 
 BY_ID = {r.id: r for r in RULES}

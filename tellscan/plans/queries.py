@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tellscan.functions.catalog import BY_ID, RULES, catalog
+from tellscan.functions.examples import CASES
 from tellscan.operators.scan import blank_markdown, counts, scan
 
 SPREAD = 7
@@ -65,6 +66,20 @@ def rule_query(rule: str) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
+def guarded_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents, each with one more paragraph: a guarded rule's example or counterexample, by id."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
+    added = F.array(*[F.lit(t) for pair in CASES.values() for t in pair])
+    return docs.withColumn("text", F.concat("text", F.lit("\n\n"), F.element_at(added, (F.pmod("doc_id", F.size(added)) + 1).cast("int"))))
+
+
+def guarded_rule_query(rule: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return counts(guarded_documents(spark, sf_dir), [BY_ID[rule]]).select("doc_id", F.col("n").alias("n_notes"))
+
+    return run
+
+
 def notes_by_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_notes, n_errors for every document, those without notes included."""
     docs = documents(spark, sf_dir)
@@ -105,6 +120,7 @@ def blanked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     **{f"rule_{i.replace('-', '_')}": rule_query(i) for i in ORDER},
+    **{f"rule_{i.replace('-', '_')}": guarded_rule_query(i) for i in CASES},
     "notes_by_document": notes_by_document,
     "notes_per_1k_words": notes_per_1k_words,
     "first_hits": first_hits,
