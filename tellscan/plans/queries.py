@@ -11,7 +11,10 @@ from pyspark.sql.window import Window
 
 from tellscan.functions.catalog import BY_ID, RULES, catalog
 from tellscan.functions.examples import CASES
+from tellscan.operators.calibrate import FLOORS, agreement, auc
+from tellscan.operators.report import json_by_document
 from tellscan.operators.scan import blank_markdown, counts, scan
+from tellscan.operators.split import paragraphs, split
 
 SPREAD = 7
 #: A sentence of our own for each rule that SQL can count too, and the pattern in a dialect without lookaround.
@@ -118,6 +121,33 @@ def blanked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", blank_markdown(F.col("html")).alias("blanked"))
 
 
+def paragraph_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = paragraphs(F.col("text"))
+    return documents(spark, sf_dir).select("doc_id", F.size(found).cast("long").alias("n_paragraphs"))
+
+
+def paragraph_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split(documents(spark, sf_dir))
+
+
+def notes_as_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return json_by_document(scan(documents(spark, sf_dir), DEFAULT))
+
+
+def quality_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How well the length of a text tells good documents from bad, by source."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", F.col("n_chars").alias("score"))
+    sides = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", (F.col("quality") == 1).alias("good"))
+    return auc(docs.join(sides, "doc_id"), "source", "score", "good")
+
+
+def label_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often both labels are the same, by source and confidence; the confidence is made up from the id."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality", "toxic", (F.col("doc_id") * 37 % 101 / 100).alias("confidence"))
+    return agreement(docs.join(labels, "doc_id"), "source", "confidence", "quality", "toxic")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     **{f"rule_{i.replace('-', '_')}": rule_query(i) for i in ORDER},
     **{f"rule_{i.replace('-', '_')}": guarded_rule_query(i) for i in CASES},
@@ -127,6 +157,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "all_notes": all_notes,
     "rule_catalog": rule_catalog,
     "blanked_pages": blanked_pages,
+    "paragraph_counts": paragraph_counts,
+    "paragraph_sentences": paragraph_sentences,
+    "notes_as_json": notes_as_json,
+    "quality_auc": quality_auc,
+    "label_agreement": label_agreement,
 }
 _ALL = " + ".join(f"n{k}" for k, _ in enumerate(DEFAULT))
 _ERRORS = " + ".join(f"n{k}" for k, r in enumerate(DEFAULT) if r.severity == "error")
@@ -135,4 +170,7 @@ ORACLE_SQL: dict[str, str] = {
     **{f"rule_{i.replace('-', '_')}": f"WITH {_sql_documents()} SELECT doc_id, {_sql_count(i)} AS n_notes FROM d" for i in ORDER},
     "notes_by_document": f"{_COUNTED} SELECT d.doc_id, coalesce({_ALL}, 0)::BIGINT AS n_notes, coalesce({_ERRORS}, 0)::BIGINT AS n_errors FROM d LEFT JOIN e USING (doc_id)",
     "notes_per_1k_words": f"{_COUNTED}, s AS (SELECT source, sum(len(list_filter(regexp_split_to_array(text, '[\\x09-\\x0D ]+'), lambda w: w <> '')))::BIGINT AS words, sum({_ALL})::BIGINT AS notes FROM e GROUP BY source) SELECT source, words, notes, CASE WHEN words > 0 THEN round(1000 * notes / words, 6) ELSE 0 END AS per_1k FROM s",
+    "paragraph_counts": f"WITH {_sql_documents()} SELECT doc_id, coalesce(len(list_filter(regexp_split_to_array(text, '\\r?\\n[ \\t\\x{{00A0}}]*\\r?\\n'), lambda p: regexp_matches(p, '[^ \\t\\n\\v\\f\\r]'))), -1)::BIGINT AS n_paragraphs FROM d",
+    "quality_auc": "WITH j AS (SELECT source, n_chars AS score, quality = 1 AS good FROM documents JOIN labels USING (doc_id) WHERE n_chars IS NOT NULL AND quality IS NOT NULL), r AS (SELECT source, good, rank() OVER (PARTITION BY source ORDER BY score) + (count(*) OVER (PARTITION BY source, score) - 1) / 2.0 AS r FROM j), s AS (SELECT source, count(*) FILTER (good) AS n_pos, count(*) FILTER (NOT good) AS n_neg, sum(r) FILTER (good) AS ranks FROM r GROUP BY source) SELECT source, n_pos::BIGINT AS n_pos, n_neg::BIGINT AS n_neg, CASE WHEN n_pos > 0 AND n_neg > 0 THEN round((ranks - n_pos * (n_pos + 1) / 2.0) / (n_pos * n_neg), 9)::DOUBLE END AS auc FROM s",
+    "label_agreement": "WITH j AS (SELECT source, quality IS NOT DISTINCT FROM toxic AS same, (doc_id * 37 % 101) / 100.0::DOUBLE AS confidence FROM documents JOIN labels USING (doc_id)), f AS (SELECT unnest([" + ", ".join(f"{x}::DOUBLE" for x in FLOORS) + "]) AS floor), s AS (SELECT source, floor, count(*) FILTER (confidence >= floor) AS n, count(*) FILTER (confidence >= floor AND same) AS agreed FROM j CROSS JOIN f GROUP BY source, floor) SELECT source, floor, n, agreed, CASE WHEN n > 0 THEN round(agreed / n, 9)::DOUBLE END AS rate FROM s",
 }
