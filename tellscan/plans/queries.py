@@ -46,8 +46,14 @@ ORDER = list(EXAMPLES)
 DEFAULT = [BY_ID[i] for i in ORDER if BY_ID[i].confidence != "low"]
 
 
+def spread(docs: DataFrame) -> DataFrame:
+    """docs dealt to all cores where the files give fewer parts: matching costs far more than moving the texts once."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source"))
     added = F.coalesce(*[F.when(F.col("doc_id") % len(ORDER) == k, F.lit("\n\n" + EXAMPLES[i][0])) for k, i in enumerate(ORDER)])
     return docs.withColumn("text", F.when(F.col("doc_id") % SPREAD < 3, F.concat("text", added)).otherwise(F.col("text")))
 
@@ -71,7 +77,7 @@ def rule_query(rule: str) -> Callable[[SparkSession, str], DataFrame]:
 
 def guarded_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents, each with one more paragraph: a guarded rule's example or counterexample, by id."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source"))
     added = F.array(*[F.lit(t) for pair in CASES.values() for t in pair])
     return docs.withColumn("text", F.concat("text", F.lit("\n\n"), F.element_at(added, (F.pmod("doc_id", F.size(added)) + 1).cast("int"))))
 
