@@ -170,3 +170,14 @@ def test_pipeline_stages_keep_columns(spark, rows, tmp_path):
     ids = {r.doc_id for r in out.select("doc_id").collect()}
     assert ids and ids.isdisjoint({5, 60, 61, 62}) and not {3, 50} <= ids
     assert out.where(F.col("n_chars") != F.length("text")).count() == 0
+
+
+def test_gram_codes_are_the_grams(monkeypatch):
+    texts = ["", "a", "½ 7", "İab ö b", "é" * 5, "  x\ty_z9w  ", "Der Fluss, the river; la rivière. " * 40, "😀 日本語 text"]
+    for step in (langid.STEP, 7):
+        monkeypatch.setattr(langid, "STEP", step)
+        for text in texts:
+            codes, n = langid.gram_codes(text)
+            want = Counter(g for w in langid.LETTERS.findall(text.lower()) for g in langid.grams_of(w))
+            assert {langid.gram_of(c): k for c, k in zip(codes.tolist(), n.tolist(), strict=True)} == want
+            assert [langid.gram_of(c) for c in codes.tolist()] == sorted(want)
