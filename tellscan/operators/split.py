@@ -1,17 +1,19 @@
-"""Paragraphs and sentences with their offsets, as array columns. Headings, bullets and tables are not blanked first."""
+"""Paragraphs and sentences with their offsets, as array columns. Headings, bullets, tables and the like are blanked first."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tellscan.operators.scan import squash
+from tellscan.operators.furniture import INLINE, copies
+from tellscan.operators.scan import let, squash
 
 #: What separates paragraphs and sentences, and what ends a piece that goes on.
 PARAGRAPH_BREAK = r"\r?\n[ \t ]*\r?\n"
-SENTENCE_BREAK = r"""(?<=[.!?]|[.!?]["'”’)\]])\s+(?=["'“‘(\[A-Z0-9])"""
+SENTENCE_BREAK = rf"""(?<=[.!?]|[.!?]["'”’)\]])\s+(?=["'“‘(\[A-Z0-9{INLINE}])"""
 GOES_ON = r"\b(?:e\.g|i\.e|vs|etc|cf|Fig|No|Dr|Mr|Mrs|Ms|St|Inc|Ltd|Sec|Ch|Vol)\.\z|(?<!\p{IsAlphabetic})(?:\p{IsAlphabetic}\.){2,6}\z|\A\d+\.\z"
 SPAN = "array<struct<offset:int,length:int,text:string>>"
+SENTENCE = "array<struct<offset:int,length:int,text:string,asked:string>>"
 
 
 def _pieces(text: Column, pattern: str) -> Column:
@@ -23,30 +25,56 @@ def paragraphs(text: Column) -> Column:
     """array of (offset, length, text): blocks between blank lines, trimmed; offset is a code point of text, from 0."""
 
     def step(acc: Column, x: Column) -> Column:
-        lead = F.length(x["p"]) - F.length(F.regexp_replace(x["p"], r"\A\s+", ""))
-        body = F.regexp_replace(x["p"], r"\A\s+|\s+\z", "")
+        lead = F.length(x["p"]) - F.length(F.regexp_replace(x["p"], r"\A[\s\x00]+", ""))
+        body = F.regexp_replace(x["p"], r"\A[\s\x00]+|[\s\x00]+\z", "")
         new = F.array(F.struct((acc["at"] + lead).alias("offset"), F.length(body).alias("length"), body.alias("text")))
         return F.struct((acc["at"] + F.length(x["p"]) + F.coalesce(F.length(x["g"]), F.lit(0))).alias("at"), F.when(body == "", acc["found"]).otherwise(F.concat(acc["found"], new)).alias("found"))
 
     return F.aggregate(_pieces(text, PARAGRAPH_BREAK), F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("found")), step, lambda acc: acc["found"])
 
 
-def sentences(body: Column, base: Column) -> Column:
-    """array of (offset, length, text) in a trimmed paragraph; a piece that ends in an abbreviation, initials or is a bare number goes on."""
+def sentences(body: Column, base: Column, text: Column | None = None, shown: Column | None = None) -> Column:
+    """array of (offset, length, text, asked) in a trimmed paragraph; a piece that ends in an abbreviation, initials or is a bare number goes on.
+
+    Breaks are looked for in body; text and asked are cut at the same places from text and shown, by default from body.
+    """
+    text = body if text is None else text
+    shown = text if shown is None else shown
 
     def step(acc: Column, x: Column) -> Column:
         start = F.coalesce(acc["start"], acc["at"])
         end = acc["at"] + F.length(x["p"])
         more = x["g"].isNotNull() & F.regexp_like(x["p"], F.lit(GOES_ON))
-        new = F.array(F.struct((base + start).alias("offset"), (end - start).alias("length"), squash(F.substring(body, start + 1, end - start)).alias("text")))
+        cut = [squash(F.substring(c, start + 1, end - start)).alias(n) for c, n in ((text, "text"), (shown, "asked"))]
+        new = F.array(F.struct((base + start).alias("offset"), (end - start).alias("length"), *cut))
         return F.struct((end + F.coalesce(F.length(x["g"]), F.lit(0))).alias("at"), F.when(more, start).alias("start"), F.when(more, acc["found"]).otherwise(F.concat(acc["found"], new)).alias("found"))
 
-    first = F.struct(F.lit(0).alias("at"), F.lit(None).cast("int").alias("start"), F.array().cast(SPAN).alias("found"))
+    first = F.struct(F.lit(0).alias("at"), F.lit(None).cast("int").alias("start"), F.array().cast(SENTENCE).alias("found"))
     return F.aggregate(_pieces(body, SENTENCE_BREAK), first, step, lambda acc: acc["found"])
 
 
-def split(docs: DataFrame, key: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """key, paragraph, offset, length, text, sentences: a row for each paragraph. Null and blank texts have none."""
-    rows = docs.select(F.col(key), F.posexplode(paragraphs(F.col(text_col))).alias("paragraph", "x"))
-    flat = rows.select(key, "paragraph", F.col("x.offset").alias("offset"), F.col("x.length").alias("length"), F.col("x.text").alias("body"))
-    return flat.select(key, "paragraph", "offset", "length", squash(F.col("body")).alias("text"), sentences(F.col("body"), F.col("offset")).alias("sentences"))
+def _cut(text: Column, markdown: bool) -> Column:
+    """array of (offset, length, body, text, shown): each paragraph as it is split, as it is written and as it is asked about."""
+
+    def each(c: Column) -> Column:
+        def one(p: Column) -> Column:
+            def at(copy: Column) -> Column:
+                return F.when(copy == c["body"], p["text"]).otherwise(F.substring(copy, p["offset"] + 1, p["length"]))
+
+            return F.struct(p["offset"].alias("offset"), p["length"].alias("length"), p["text"].alias("body"), at(text).alias("text"), at(c["shown"]).alias("shown"))
+
+        return F.transform(paragraphs(c["body"]), one)
+
+    return let(copies(text, markdown), each)
+
+
+def split(docs: DataFrame, key: str = "doc_id", text_col: str = "text", markdown: bool = False) -> DataFrame:
+    """key, paragraph, offset, length, text, asked, sentences: a row for each paragraph. Null and blank texts have none.
+
+    Furniture is no paragraph. With markdown, nor are code, comments, front matter and a lone sentence before a colon.
+    """
+    rows = docs.select(F.col(key), F.posexplode(_cut(F.col(text_col), markdown)).alias("paragraph", "x")).select(key, "paragraph", "x.*")
+    found = rows.withColumn("sentences", sentences(F.col("body"), F.col("offset"), F.col("text"), F.col("shown")))
+    if markdown:
+        found = found.where((F.size("sentences") != 1) | ~F.col("body").endswith(":"))
+    return found.select(key, "paragraph", "offset", "length", squash(F.col("text")).alias("text"), squash(F.col("shown")).alias("asked"), "sentences")
