@@ -1,13 +1,16 @@
-"""How well scores tell two sides apart, and how often two runs agree."""
+"""How well scores tell two sides apart, how often two runs agree, and whether that is good enough."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 #: Fixed value: floors of the cumulative confidence bands.
 FLOORS = (0.7, 0.5, 0.0)
+#: Questions whose scores must rank machine prose lower, pairs a flip rate needs, its bound, the least agreement.
+GATED = ("no-news", "names-nothing")
+GATE_AUC, GATE_PAIRS, GATE_FLIP, GATE_AGREE = 0.5, 100, 0.01, 0.9
 
 
 def auc(rows: DataFrame, group: str, score: str, positive: str) -> DataFrame:
@@ -30,3 +33,32 @@ def agreement(rows: DataFrame, group: str, confidence: str, first: str, second:
     sums = [f(F.col(confidence) >= floor, same).alias(f"{name}{k}") for k, floor in enumerate(FLOORS) for name, f in (("n", lambda a, s: F.count_if(a)), ("agreed", lambda a, s: F.count_if(a & s)))]
     bands = F.array(*[F.struct(F.lit(floor).alias("floor"), F.col(f"n{k}").alias("n"), F.col(f"agreed{k}").alias("agreed")) for k, floor in enumerate(FLOORS)])
     return rows.groupBy(group).agg(*sums).select(group, F.inline(bands)).withColumn("rate", F.when(F.col("n") > 0, F.round(F.col("agreed") / F.col("n"), 9)))
+
+
+def expected_level(probabilities: Column) -> Column:
+    """The mean level of a score answer."""
+    return F.aggregate(F.transform(probabilities, lambda p, i: p * i), F.lit(0.0), lambda total, x: total + x)
+
+
+def flag_counts(rows: DataFrame, groups: list[str], flagged: str, confidence: str) -> DataFrame:
+    """groups, n_flagged, n: units that a default run reports, of all."""
+    return rows.groupBy(*groups).agg(F.count_if(F.col(flagged) & (F.col(confidence) >= 0.5)).alias("n_flagged"), F.count("*").alias("n"))
+
+
+def flips(rows: DataFrame, group: str, confidence: str, first: str, second: str) -> DataFrame:
+    """group, floor, n, flipped, rate: how often the verdict hangs on the order, among pairs of at least that confidence."""
+    got = agreement(rows, group, confidence, first, second).withColumn("flipped", F.col("n") - F.col("agreed"))
+    return got.select(group, "floor", "n", "flipped", F.when(F.col("n") > 0, F.round(F.col("flipped") / F.col("n"), 9)).alias("rate"))
+
+
+def gates(aucs: DataFrame, flipped: DataFrame, agreed: DataFrame) -> DataFrame:
+    """gate, subject, status (ok, FAIL, n/a), value, n. aucs: rule, auc; flipped and agreed as from flips and agreement."""
+    floor = F.col("floor") == FLOORS[0]
+    ranked = aucs.where(F.col("rule").isin(*GATED)).select(F.lit("auc").alias("gate"), F.col("rule").alias("subject"), F.when(F.col("auc") < GATE_AUC, "ok").otherwise("FAIL").alias("status"), F.col("auc").alias("value"), F.lit(None).cast("long").alias("n"))
+    few, f_rate = F.coalesce(F.sum("n"), F.lit(0)), F.sum("flipped") / F.sum("n")
+    turned = flipped.where(floor).agg(F.when(few < GATE_PAIRS, "n/a").when(f_rate < GATE_FLIP, "ok").otherwise("FAIL").alias("status"), F.when(few > 0, F.round(f_rate, 9)).alias("value"), few.alias("n"))
+    a_n = F.coalesce(F.sum("n"), F.lit(0))
+    a_rate = F.when(a_n > 0, F.sum("agreed") / F.sum("n"))
+    same = agreed.where(floor).agg(F.when(a_rate >= GATE_AGREE, "ok").otherwise("FAIL").alias("status"), F.round(a_rate, 9).alias("value"), a_n.alias("n"))
+    named = [df.select(F.lit(g).alias("gate"), F.lit(s).alias("subject"), "status", "value", "n") for g, s, df in (("flip", "compare", turned), ("agreement", "check", same))]
+    return ranked.unionByName(named[0]).unionByName(named[1])
