@@ -44,7 +44,17 @@ def spans(text: Column, rule: Rule) -> Column:
     found = F.aggregate(pieces, F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("found")), step, lambda acc: acc["found"])
     for skip in rule.skip:
         found = _unless(found, skip)
-    return F.when(F.regexp_like(text, F.lit(rule.regex)), found).otherwise(F.array().cast(kind))
+    return F.when(_may_match(text, rule) & F.regexp_like(text, F.lit(rule.regex)), found).otherwise(F.array().cast(kind))
+
+
+def _may_match(text: Column, rule: Rule) -> Column:
+    return F.regexp_like(text, F.lit(rule.gate)) if rule.prefix else F.lit(True)
+
+
+def _matches(text: Column, rule: Rule) -> Column:
+    """How many matches the rule has, skipped ones included."""
+    n = F.regexp_count(text, F.lit(rule.regex))
+    return F.when(_may_match(text, rule), n).otherwise(0) if rule.prefix else n
 
 
 def _unless(found: Column, skip: str) -> Column:
@@ -98,5 +108,5 @@ def scan(docs: DataFrame, rules: Sequence[Rule] | None = None, key: str = "doc_i
 
 def counts(docs: DataFrame, rules: Sequence[Rule], key: str = "doc_id", text_col: str = "text") -> DataFrame:
     """key, rule, n for every row and rule, n being the number of matches that aren't skipped."""
-    each = F.array(*[F.struct(F.lit(r.id).alias("rule"), (F.size(spans(F.col(text_col), r)) if r.skip else F.regexp_count(text_col, F.lit(r.regex))).cast("long").alias("n")) for r in rules])
+    each = F.array(*[F.struct(F.lit(r.id).alias("rule"), (F.size(spans(F.col(text_col), r)) if r.skip else _matches(F.col(text_col), r)).cast("long").alias("n")) for r in rules])
     return docs.select(key, F.inline(each)).select(key, "rule", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
