@@ -112,6 +112,20 @@ def test_passages_match_brute_force(spark, rows):
     assert pairs == passages.naive([(i, t) for i, t, _ in rows]) and (51, 52) in pairs
 
 
+def test_every_place_of_a_meeting_is_verified():
+    rng, of, span = random.Random(11), passages.Shingles(), passages.SPAN
+    for case in range(60):
+        middle = words(rng, 50, 40 if case % 3 else 3).split()
+        changed = middle[:25] + ["altered"] * (case % 2) + middle[25 + case % 2 :]
+        a, r = (of(" ".join([words(rng, 60), *m, words(rng, 60)]).encode()) for m in (middle, changed))
+        n = len(a) - span + 1
+        each = [passages.likeness(a[i : i + span], r[i : i + span]) for i in range(n)]
+        true = [i for i in range(n) if each[i] >= passages.LIKENESS]
+        found = passages.verified(a, r, [(0, n - 1, 5, 0, n - 1, 5)])
+        assert (true or not case % 3) and all(any(s <= i and i + span <= e for s, e, *_ in found) for i in true)
+        assert passages.likenesses(a, r).tolist() == each == passages._slid(a, r, span).tolist()
+
+
 def test_chat(spark):
     turns = [("user", "hi"), ("assistant", "<|im_end|>"), ("user", None), ("assistant", "bye")]
     log = [(c, k, *turns[k]) for c, n in ((1, 2), (2, 4), (3, 4), (4, 1)) for k in range(n)] + [(5, 0, "user", "other"), (None, None, None, None)]
