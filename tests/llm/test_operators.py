@@ -126,6 +126,19 @@ def test_every_place_of_a_meeting_is_verified():
         assert passages.likenesses(a, r).tolist() == each == passages._slid(a, r, span).tolist()
 
 
+@pytest.mark.parametrize("options", [{}, {"block": 3}])
+def test_windows_unlike_the_first_meet_the_others(spark, options):
+    rng = random.Random(3)
+    base = words(rng, 56).split()
+    texts = [(i, " ".join([words(rng, 12), *base[:k], "edit", *base[k + 1 :], words(rng, 12)])) for i, k in enumerate((0, 2, 4, 6, 8, 22, 24, 26, 46, 48, 50, 52, 54))]
+    shingles = {i: passages.Shingles()(t.encode()) for i, t in texts}
+    windows = [(i, *w) for i, h in shingles.items() for w in zip(*(x.tolist() for x in passages.signatures(h)), strict=True)]
+    met = [(x, y) for x in windows for y in windows if x[0] < y[0] and x[1] == y[1]]
+    expected = {(x[0], y[0]) for x, y in met if passages.verified(shingles[x[0]], shingles[y[0]], [(*x[3:], *y[3:])])}
+    got = passages.near_passages(frame(spark, [(*t, "s") for t in texts]), **options).collect()
+    assert len(expected) > 20 and {(min(r.doc_id, r.match_doc_id), max(r.doc_id, r.match_doc_id)) for r in got} == expected
+
+
 def test_chat(spark):
     turns = [("user", "hi"), ("assistant", "<|im_end|>"), ("user", None), ("assistant", "bye")]
     log = [(c, k, *turns[k]) for c, n in ((1, 2), (2, 4), (3, 4), (4, 1)) for k in range(n)] + [(5, 0, "user", "other"), (None, None, None, None)]
