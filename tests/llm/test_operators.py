@@ -139,6 +139,19 @@ def test_windows_unlike_the_first_meet_the_others(spark, options):
     assert len(expected) > 20 and {(min(r.doc_id, r.match_doc_id), max(r.doc_id, r.match_doc_id)) for r in got} == expected
 
 
+def test_signatures_meet_at_the_least_likeness():
+    rng, of, span = random.Random(23), passages.Shingles(), passages.SPAN
+    met = true = 0
+    for _ in range(600):
+        base = words(rng, 50, 10**6).split()
+        changed = [*base[:25], "altered", *base[26:]]
+        a, r = (of(" ".join([words(rng, 60, 10**6), *m, words(rng, 60, 10**6)]).encode()) for m in (base, changed))
+        assert passages.likeness(a[60 : 60 + span], r[60 : 60 + span]) >= passages.LIKENESS
+        held = [{k for k, lo, hi in zip(*(x.tolist() for x in passages.signatures(h)[:1] + passages.signatures(h)[2:4]), strict=True) if lo <= 60 <= hi} for h in (a, r)]
+        met, true = met + bool(held[0] & held[1]), true + 1
+    assert met >= 0.98 * true
+
+
 def test_chat(spark):
     turns = [("user", "hi"), ("assistant", "<|im_end|>"), ("user", None), ("assistant", "bye")]
     log = [(c, k, *turns[k]) for c, n in ((1, 2), (2, 4), (3, 4), (4, 1)) for k in range(n)] + [(5, 0, "user", "other"), (None, None, None, None)]
