@@ -3,7 +3,8 @@
 Lines are hashed; a rolling hash over the hashes of WINDOW successive lines ends a chunk where it is 0 modulo DIVISOR,
 so an insertion moves no boundary beyond its neighbourhood. Of the chunks of at least MIN_LINES lines, those of equal
 hash are candidates, and their texts are compared byte for byte (they are grouping and join keys). The first
-occurrence by (doc_id, text hash, line) stays, all others go, also inside one document.
+occurrence by (doc_id, text hash, line) stays, all others go, also inside one document. That is op3, as its SQL has it;
+repeated lines outside such chunks stay there. The pipeline takes dedup_runs() instead, which cuts no chunks.
 """
 
 from __future__ import annotations
@@ -93,10 +94,43 @@ def report(docs: DataFrame) -> DataFrame:
     return dedup_lines(docs.select("doc_id", "text"))
 
 
+def dedup_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = MIN_LINES, out_lines: str = "n_lines", out_removed: str = "n_removed") -> DataFrame:
+    """As dedup_lines(), but all lines of every repeated run of at least min_lines lines go, wherever chunks would end.
+
+    Each min_lines successive lines are a piece, and a text of fewer lines is one. SHA-256 stands for a piece. Lines of a
+    piece that occurred before, by (doc_id, text hash, line), go; so the first occurrence of every line stays.
+    """
+    did, th, gone = (fresh(docs, c) for c in ("run_id", "run_text", "run_gone"))
+    lines = F.split(F.col(text_col), "\n", -1)
+    keyed = docs.select(F.col(id_col).alias("did"), F.xxhash64(text_col).alias("th"), lines.alias("lines")).where(F.col("lines").isNotNull())
+
+    def starts(x: Column) -> Column:
+        piece = F.sequence(F.lit(1), F.greatest(F.size(x) - (min_lines - 1), F.lit(1)))
+        return F.transform(piece, lambda i: F.struct(i.alias("start"), F.unhex(F.sha2(F.array_join(F.slice(x, i, min_lines), "\n").cast("binary"), 256)).alias("h")))
+
+    pieces = keyed.select("did", "th", F.inline(let(F.col("lines"), starts)))
+    place = F.struct("did", "th", "start")
+    first = pieces.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last")
+    removed = pieces.join(first, "h").where(place != F.col("first")).groupBy("did", "th").agg(F.collect_set("start").alias(gone))
+    removed = removed.withColumnsRenamed({"did": did, "th": th})
+    joined = docs.join(removed, docs[id_col].eqNullSafe(F.col(did)) & (F.xxhash64(docs[text_col]) == F.col(th)), "left")
+
+    def kept(x: Column) -> Column:
+        covered = F.flatten(F.transform(F.col(gone), lambda i: F.sequence(i, F.least(i + (min_lines - 1), F.size(x)))))
+        return F.transform(F.array_except(F.sequence(F.lit(1), F.size(x)), covered), lambda i: x[i - 1])
+
+    rest = F.when(F.col(gone).isNotNull(), let(lines, kept))
+    n_lines = F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long")
+    n_rest = F.when(F.col(gone).isNull(), n_lines).otherwise(F.size(rest))
+    text = F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(F.array_join(rest, "\n"))
+    cols = {c: F.col(c) for c in docs.columns} | {text_col: text.alias(text_col)}
+    return joined.select(*cols.values(), n_lines.alias(out_lines), (n_lines - n_rest).alias(out_removed))
+
+
 def line_dedup(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
-    """The columns and rows of docs with shortened texts; n_chars, where it is a column, follows."""
+    """The columns and rows of docs with texts less their repeated runs of lines; n_chars, where it is a column, follows."""
     a, b = fresh(docs, "n_lines"), fresh(docs, "n_removed")
-    out = dedup_lines(docs, text_col=text_col, out_lines=a, out_removed=b, **options).drop(a, b)
+    out = dedup_runs(docs, text_col=text_col, out_lines=a, out_removed=b, **options).drop(a, b)
     return out.withColumn("n_chars", F.length(text_col).cast(out.schema["n_chars"].dataType)) if "n_chars" in out.columns else out
 
 

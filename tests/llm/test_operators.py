@@ -106,6 +106,25 @@ def test_line_chunks(spark):
     assert got[2].n_lines == 14 and got[5].n_removed == 0
 
 
+def test_repeated_runs_go_whole(spark):
+    rng = random.Random(8)
+    block = [f"line {k} of a block" for k in range(40)]
+    texts = [(1, "\n".join(block)), (2, "\n".join(["own", *block, "end"])), (3, "\n".join(["x", *block[7:11], "y", block[20], "z"])), (4, "alone"), (5, "alone"), (5, "alone"), (6, None), (7, ""), (None, "q\nr"), (8, "q\nr\nq\nr")]
+    texts += [(i, "\n".join(f"l{rng.randrange(6)}" for _ in range(rng.randrange(1, 9)))) for i in range(10, 60)]
+    seen, expected = set(), {}
+    for i, t in sorted({t for t in texts if t[1] is not None}, key=lambda t: (t[0] is not None, t[0])):
+        lines, out = t.split("\n"), set()
+        for s in range(max(len(lines) - 1, 1)):
+            piece = tuple(lines[s : s + 2])
+            out |= set(range(s, min(s + 2, len(lines)))) if piece in seen else set()
+            seen.add(piece)
+        expected[i] = ("\n".join(x for k, x in enumerate(lines) if k not in out), len(out))
+    got = {r.doc_id: (r.text, r.n_removed) for r in linededup.dedup_runs(frame(spark, [(*t, "s") for t in texts])).collect()}
+    assert got.pop(6) == (None, 0) and got == expected
+    assert expected[2] == ("own\nend", 40) and expected[3][0] == f"x\ny\n{block[20]}\nz" and expected[5][0] == ""
+    assert {r.doc_id: r.text for r in linededup.line_dedup(frame(spark, [(*t, "s") for t in texts])).collect()} == {i: x for i, (x, _) in expected.items()} | {6: None}
+
+
 def test_passages_match_brute_force(spark, rows):
     got = passages.near_passages(frame(spark, rows)).collect()
     pairs = {(min(r.doc_id, r.match_doc_id), max(r.doc_id, r.match_doc_id)) for r in got}
