@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tellscan.functions.catalog import BY_ID, RULES, catalog
+from tellscan.functions.catalog import BY_ID, RULES, catalog, select_rules
 from tellscan.functions.examples import CASES
 from tellscan.operators.calibrate import FLOORS, agreement, auc
 from tellscan.operators.report import json_by_document
@@ -137,7 +137,7 @@ def paragraph_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def notes_as_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return json_by_document(scan(documents(spark, sf_dir), DEFAULT))
+    return json_by_document(scan(documents(spark, sf_dir), select_rules()))
 
 
 def quality_auc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,10 +4,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from tellscan.functions.catalog import BY_ID
+from tellscan.functions.examples import CASES
 from tellscan.operators.calibrate import agreement, auc
 from tellscan.operators.report import as_text, json_by_document, low_notes
 from tellscan.operators.scan import scan
 from tellscan.operators.split import split
+from tellscan.plans.queries import notes_as_json
 from tellscan.sources.texts import by_prefix, csv_with_header, json_lines, require_text, whole_files
 from tellscan.streaming.scan import scan_folder
 
@@ -68,3 +70,12 @@ def test_stream_reads_each_file_once(spark, tmp_path):
         docs(spark, text).coalesce(1).write.mode("append").parquet(a)
         scan_folder(spark, a, out, state, [BY_ID["rich-tapestry"]]).awaitTermination()
     assert spark.read.parquet(out).agg(F.count("*")).first()[0] == 2
+
+
+def test_json_query_has_the_guarded_rules(spark, tmp_path):
+    cases = [(i, rule, CASES[rule][0]) for i, rule in enumerate(r for r in CASES if BY_ID[r].confidence != "low")]
+    docs = spark.createDataFrame([(i, text, "en", "s") for i, _, text in cases], "doc_id long, text string, lang string, source string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.json for r in notes_as_json(spark, str(tmp_path)).collect()}
+    assert [rule for i, rule, _ in cases if f'"{rule}"' not in got.get(i, "")] == []
+    assert not any(f'"{r.id}"' in j for r in BY_ID.values() if r.confidence == "low" for j in got.values())
