@@ -183,7 +183,7 @@ def test_near_passages_inside_longer_texts_are_found(spark):
         assert len(due) >= 30 and sum(p in got for p in due) >= 0.9 * len(due), kind
 
 
-@pytest.mark.parametrize("options", [{}, {"block": 2}])
+@pytest.mark.parametrize("options", [{}, {"block": 2, "most": 2}])
 def test_variants_of_a_passage_share_a_class(spark, options):
     rng, texts = random.Random(29), []
     for g in range(12):
@@ -232,8 +232,8 @@ def test_signatures_meet_at_the_least_likeness():
         a, r = (of(" ".join([words(rng, 60, 10**6), *m, words(rng, 60, 10**6)]).encode()) for m in (base, altered(rng, base, [25])))
         held = []
         for h in (a, r):
-            k, key, lo, hi, c = passages.windows(h)
-            row, both, place = passages.meetings(np.zeros(len(k), dtype=int), key.view(np.int64), passages.packed(lo, hi, c, span, k))
+            _, k, key, lo, hi, c = passages.windows(h)
+            *_, both, place = passages.meetings(np.zeros(len(k), dtype=int), key.view(np.int64), passages.packed(lo, hi, c, span, k))
             first, last, *_ = passages.unpacked(place, span)
             held.append(set(both[(first <= 60) & (60 <= last)].tolist()))
         met, true = met + bool(held[0] & held[1]), true + 1
@@ -242,9 +242,12 @@ def test_signatures_meet_at_the_least_likeness():
 
 def test_windows_are_the_intervals_of_equal_least_places():
     rng, of, span = random.Random(37), passages.Shingles(), passages.SPAN
-    for size in (30, 10**6):
-        h = of(words(rng, 300, size).encode())
-        k, key, lo, hi, c = passages.windows(h)
+    texts = [words(rng, n, size).encode() for n, size in ((300, 30), (20, 9), (300, 10**6), (0, 1), (49, 5), (50, 5))]
+    whole = passages.windows(*of.together(texts))
+    for number, body in enumerate(texts):
+        h = of(body)
+        _, k, key, lo, hi, c = passages.windows(h)
+        assert all((x[whole[0] == number] == y).all() for x, y in zip(whole[1:], (k, key, lo, hi, c), strict=True))
         back = passages.unpacked(passages.packed(lo, hi, c, span, k), span)
         assert all((x == y).all() for x, y in zip(back, (lo, hi, c, k), strict=True))
         for seed in range(len(passages.SEEDS)):
