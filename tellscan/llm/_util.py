@@ -17,9 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Where it is unset, a folder of our own if there is but one machine, else an error."""
     set_dir = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not set_dir:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         set_dir = _OWN.setdefault("dir", "") or "file://" + tempfile.mkdtemp(prefix="tellscan-shared-")
         _OWN["dir"] = set_dir
     return set_dir.rstrip("/")
@@ -30,7 +32,16 @@ def save(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    spark._jvm.System.gc()  # shuffle files go once the driver has let go of the plans they fed
+    out = spark.read.schema(df.schema).parquet(path)
+    out.saved_at = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Delete what save() wrote; nothing may read df, or what was made from it and not yet computed, after that."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.saved_at)
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def fresh(df: DataFrame, base: str) -> str:
