@@ -1,22 +1,26 @@
 """Operator 7: SimHash near-duplicates by tiled exact comparison.
 
-Fingerprints link when they differ in at most RADIUS bits. Equal fingerprints are one node. Two fingerprints within
-the radius agree on at least one of RADIUS + 1 bands of bits (pigeonhole), so the comparison is exact when it is made
-inside the buckets of every band. A bucket is cut into tiles of at most about TILE fingerprints; each pair of tiles is
-one unit of work, in which numpy XORs blocks sorted by population count, skips block pairs whose counts differ by more
-than the radius, and counts bits in the rest. A unit returns a spanning forest of its links, never all pairs.
+Fingerprints link when they differ in at most RADIUS bits. Equal fingerprints are one node. Of B blocks of bits, two
+fingerprints within the radius agree in B - RADIUS (pigeonhole), so the comparison is exact when it is made inside the
+buckets of every choice of so many blocks; B grows with the number of fingerprints, so that buckets stay small. A
+bucket is ordered by population count and cut into tiles of about TILE. A fingerprint is dealt only to those pairs of
+tiles whose counts come within the radius of its own: others are never formed. In a pair of tiles, numpy XORs blocks
+sorted by population count, skips block pairs whose counts differ too much, and counts bits in the rest. A pair
+returns a spanning forest of its links, never all pairs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tellscan.llm._util import fresh, parallelism, save
 from tellscan.llm.graph import connected_components
@@ -26,6 +30,7 @@ SEED = 42
 RADIUS = 4
 TILE = 2048
 BLOCK = 256
+MOST_TILES = 8
 ROWS_AT_ONCE = 1 << 15
 
 
@@ -68,10 +73,19 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return slim.mapInArrow(run, "doc_id long, text_hash long, fp long")
 
 
-def _bands(radius: int) -> list[tuple[int, int]]:
-    """(first bit, number of bits) of radius + 1 bands over 64 bits."""
-    edges = np.linspace(0, 64, radius + 2).round().astype(int)
-    return [(int(a), int(b - a)) for a, b in zip(edges, edges[1:], strict=False)]
+def _masks(radius: int, blocks: int) -> list[int]:
+    """The bits of every choice of blocks - radius of the blocks, as signed longs."""
+    edges = np.linspace(0, 64, blocks + 1).round().astype(int).tolist()
+    parts = [(1 << b) - (1 << a) for a, b in zip(edges, edges[1:], strict=False)]
+    return [_signed(sum(chosen)) for chosen in combinations(parts, blocks - radius)]
+
+
+def _blocks(n: int, radius: int, tile: int) -> int:
+    """The fewest blocks with which a bucket of n even fingerprints has at most MOST_TILES tiles, up to three more than must be."""
+    for extra in (1, 2, 3):
+        if n <= MOST_TILES * tile << 64 * extra // (radius + extra):
+            break
+    return radius + extra
 
 
 def tile_links(left: np.ndarray, right: np.ndarray | None, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
@@ -143,14 +157,22 @@ def _compare(radius: int):
     return run
 
 
-def links(fps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+def links(fps: DataFrame, radius: int = RADIUS, tile: int = TILE, blocks: int | None = None) -> DataFrame:
     """(src, dst): links between different fingerprints, enough to connect each group of linked ones."""
     nodes = fps.select("fp").distinct()
-    bands = F.array(*[F.struct(F.lit(k).alias("band"), F.shiftrightunsigned("fp", a).bitwiseAND((1 << n) - 1).alias("val")) for k, (a, n) in enumerate(_bands(radius))])
-    rows = nodes.select("fp", F.inline(bands))
-    tiles = rows.groupBy("band", "val").agg(F.ceil(F.count("*") / tile).cast("int").alias("m")).where("m > 0")
-    placed = rows.join(tiles, ["band", "val"]).withColumn("tile", F.pmod(F.xxhash64("fp"), F.col("m")).cast("int"))
-    paired = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1))).select("band", "val", "fp", "tile", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"))
+    masks = _masks(radius, blocks or _blocks(nodes.count(), radius, tile))
+    bands = F.array(*[F.struct(F.lit(k).alias("band"), F.col("fp").bitwiseAND(m).alias("val")) for k, m in enumerate(masks)])
+    rows = nodes.select("fp", F.bit_count("fp").alias("ones"), F.inline(bands))
+    cells = rows.groupBy("band", "val", "ones").agg(F.count("*").alias("n"))
+    ordered = Window.partitionBy("band", "val").orderBy("ones")  # at most 65 rows
+
+    def upto(ones: int) -> Column:
+        return F.coalesce(F.sum("n").over(ordered.rangeBetween(Window.unboundedPreceding, ones)), F.lit(0))
+
+    placed = cells.select("band", "val", "ones", "n", upto(-1).alias("at"), F.floor(upto(-radius - 1) / tile).cast("int").alias("low"), F.floor((upto(radius) - 1) / tile).cast("int").alias("high"))
+    several = placed.withColumn("size", F.sum("n").over(Window.partitionBy("band", "val"))).where("size > 1")
+    tiled = rows.join(several, ["band", "val", "ones"]).withColumn("tile", F.floor((F.col("at") + F.pmod(F.xxhash64("fp"), F.col("n"))) / tile).cast("int"))
+    paired = tiled.withColumn("other", F.explode(F.sequence("low", "high"))).select("band", "val", "fp", "tile", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"))
     n = parallelism(fps.sparkSession)
     dealt = paired.repartition(n, "band", "val", "i", "j").sortWithinPartitions("band", "val", "i", "j")
     return dealt.mapInPandas(_compare(radius), "src long, dst long")
@@ -174,8 +196,8 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """The rows of docs, with one row left of each component: that of the smallest doc_id."""
-    root = fresh(docs, "sim_root")
+    root, did, th = (fresh(docs, c) for c in ("sim_root", "sim_id", "sim_th"))
     found = components(docs, id_col, text_col, radius).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    names = found.select(F.col("doc_id").alias(f"{root}_id"), F.col("text_hash").alias(f"{root}_th"), F.col("root").alias(root)).distinct()
-    same = docs[id_col].cast("long").eqNullSafe(F.col(f"{root}_id")) & (F.xxhash64(docs[text_col]) == F.col(f"{root}_th"))
-    return docs.join(names, same).dropDuplicates([root]).drop(root, f"{root}_id", f"{root}_th")
+    names = found.select(F.col("doc_id").alias(did), F.col("text_hash").alias(th), F.col("root").alias(root)).distinct()
+    same = docs[id_col].cast("long").eqNullSafe(F.col(did)) & (F.xxhash64(docs[text_col]) == F.col(th))
+    return docs.join(names, same).dropDuplicates([root]).drop(root, did, th)
