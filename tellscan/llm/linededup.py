@@ -14,11 +14,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tellscan.llm._util import fresh
+from tellscan.llm._util import fresh, parallelism, save
 
 WINDOW = 2
 DIVISOR = 3
 MIN_LINES = 2
+#: Chunks of one hash that are compared in one group; a more frequent hash is dealt to several.
+HOT = 10_000
 #: The rolling hash is sum(BASE ** k * hash of the k-th last line); line hashes have 28 bits, so nothing overflows.
 BASE = 31
 
@@ -71,10 +73,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     long_ones = let(F.col("lines"), lambda x: F.transform(F.filter(chunks(x, window, divisor), lambda c: _end(c) - _start(c) >= min_lines), lambda c: F.struct(c.alias("code"), F.xxhash64(_text(x, c)).alias("h"), _text(x, c).alias("body"))))
     pieces = keyed.select("did", "th", F.inline(long_ones))
     place = F.struct("did", "th", "code")
-    again = pieces.groupBy("h").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a != b").select("h")
-    maybe = pieces.join(again, "h")
-    first = maybe.groupBy("h", "body").agg(F.min(place).alias("first"))
-    removed = maybe.join(first, ["h", "body"]).where(place != F.col("first")).groupBy("did", "th").agg(F.collect_set("code").alias(gone))
+    # one row for each repeated hash; written, so that the join with it can be split where a hash is frequent
+    again = save(pieces.groupBy("h").agg(F.min(place).alias("a"), F.max(place).alias("b"), F.count("*").alias("n")).where("a != b").select("h", (F.floor(F.col("n") / HOT) + 1).alias("salts")), "chunk-hashes")
+    n = parallelism(docs.sparkSession)
+    maybe = pieces.join(again, "h").withColumn("salt", F.pmod(F.xxhash64("did", "th"), F.col("salts"))).repartition(n, "h", "salt")
+    some = maybe.groupBy("h", "salt", "body").agg(F.min(place).alias("first"), F.max("salts").alias("salts"))
+    first = some.groupBy("h", "body").agg(F.min("first").alias("first"), F.max("salts").alias("salts")).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).drop("salts")
+    removed = maybe.join(first, ["h", "salt", "body"]).where(place != F.col("first")).groupBy("did", "th").agg(F.collect_set("code").alias(gone))
     removed = removed.withColumnsRenamed({"did": did, "th": th})
     same = docs[id_col].eqNullSafe(F.col(did)) & (F.xxhash64(docs[text_col]) == F.col(th))
     joined = docs.join(removed, same, "left")
@@ -110,7 +115,8 @@ def dedup_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     pieces = keyed.select("did", "th", F.inline(let(F.col("lines"), starts)))
     place = F.struct("did", "th", "start")
-    first = pieces.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last")
+    # written, so that the join with it can be split where a piece is frequent
+    first = save(pieces.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last").select("h", "first"), "line-pieces")
     removed = pieces.join(first, "h").where(place != F.col("first")).groupBy("did", "th").agg(F.collect_set("start").alias(gone))
     removed = removed.withColumnsRenamed({"did": did, "th": th})
     joined = docs.join(removed, docs[id_col].eqNullSafe(F.col(did)) & (F.xxhash64(docs[text_col]) == F.col(th)), "left")
