@@ -28,7 +28,7 @@ def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffixes.remove_repeats(table(spark, sf_dir, "documents"))
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents"), with_text=True)
 
 
 def op6_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

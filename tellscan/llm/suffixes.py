@@ -1,18 +1,20 @@
 """Operator 5: repeated byte strings by prefix-free parsing.
 
 A rolling hash over GRAM bytes is the trigger: each string of LENGTH bytes is cut at the place of the least hash in its
-first half, a place that depends on the string alone. So a text falls into phrases, and every start of a string belongs
-to one phrase: the string is a suffix of that phrase (at most half of it) followed by what the parse has next. Strings
-are equal when the suffixes are equal in the dictionary of phrases and what follows is equal in the parse.
-
-1. A phrase end's key is the hash of the LENGTH / 2 bytes after it. Keys that occur once can't belong to repeats.
-2. Occurrences with equal key and equal whole extent are repeats of each other in all their starts.
-3. Of the keys with different extents, one occurrence of each extent is fetched with its bytes. In a block of such rows
-   the phrases are sorted by their suffixes and what follows by its prefixes, two suffix orders with their common
-   prefix lengths; joined for each suffix length, they give the classes of equal strings, byte for byte.
-4. A key with more than HOT extents is settled by a hash of each of its strings, dealt out by that hash.
-
-Texts are compressed for the two joins that need them.
+first half, a place that depends on the string alone. So a text is parsed at its cuts, and a string is a suffix of the
+phrase that ends at its cut (at most half of it) followed by what the parse has next. Strings are equal when the
+suffixes are equal in the dictionary of phrases and what follows is equal in the parse.
+
+1. The parse has a row for each cut: the phrase that ends there, what follows, and which strings are cut there. Its key
+   stands for the LENGTH / 2 bytes that follow. Keys that occur once can't belong to repeats.
+2. The dictionary has each different phrase with what follows once, with the number of its places. One that has several
+   places is a repeat in all its strings.
+3. Of the keys with different entries, each entry's bytes are fetched once. In a block of such entries the phrases are
+   sorted by their suffixes and what follows by its prefixes, two suffix orders with their common prefix lengths;
+   joined for each suffix length, they give the classes of equal strings, byte for byte.
+4. A key with more than HOT entries goes by the same classes, found for each string by its digest and dealt out by it.
+
+Digests are SHA-256, cut to 128 bits, in 2 and 4. Texts are compressed for the two joins that need them.
 """
 
 from __future__ import annotations
@@ -62,7 +64,7 @@ def _phrases(length: int):
     half = length // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh3_64_intdigest
+        key, sha = xxhash.xxh3_64_intdigest, hashlib.sha256
         for b in batches:
             ids, hashes, sizes, ends, lows, highs, keys, wholes = [], [], [], [], [], [], [], []
 
@@ -70,8 +72,9 @@ def _phrases(length: int):
                 n = np.array(sizes, dtype=np.int64)
                 e, lo, hi = (np.concatenate(v) for v in (ends, lows, highs))
                 who = [pa.array(v, pa.int64()).take(pa.array(np.repeat(np.arange(len(n)), n))) for v in (ids, hashes)]
-                hashed = [pa.array(np.array(v, dtype=np.uint64).view(np.int64)) for v in (keys, wholes)]
-                return pa.RecordBatch.from_arrays([*who, *(pa.array(v.astype(np.int32)) for v in (e, e - hi, e - lo)), *hashed], ["did", "th", "a", "smin", "smax", "k", "h"])
+                digests = np.frombuffer(b"".join(wholes), dtype="<i8").reshape(-1, 4)
+                hashed = [np.array(keys, dtype=np.uint64).view(np.int64), digests[:, 0].copy(), digests[:, 1].copy()]
+                return pa.RecordBatch.from_arrays([*who, *(pa.array(v.astype(np.int32)) for v in (e, e - hi, e - lo)), *map(pa.array, hashed)], ["did", "th", "a", "smin", "smax", "k", "h1", "h2"])
 
             for did, th, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.large_binary()), strict=True):
                 raw = text.as_buffer()
@@ -79,8 +82,8 @@ def _phrases(length: int):
                     continue
                 e, lo, hi = phrase_ends(np.frombuffer(raw, dtype=np.uint8), length)
                 mv = memoryview(raw)
-                keys += [digest(mv[i : i + half]) for i in e.tolist()]
-                wholes += [digest(mv[i : j + length]) for i, j in zip(lo.tolist(), hi.tolist(), strict=True)]
+                keys += [key(mv[i : i + half]) for i in e.tolist()]
+                wholes += [sha(mv[i : j + length]).digest() for i, j in zip(lo.tolist(), hi.tolist(), strict=True)]
                 for v, x in ((ids, did), (hashes, th), (sizes, len(e)), (ends, e), (lows, lo), (highs, hi)):
                     v.append(x)
                 if len(keys) > 200_000:
@@ -101,8 +104,6 @@ def _squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _fetch(length: int):
-    half = length // 2
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["k", "did", "th", "a", "smin", "smax", "dup", "phrase", "after"]
         kinds = [pa.int64()] * 3 + [pa.int32()] * 3 + [pa.bool_(), pa.binary(), pa.binary()]
@@ -112,7 +113,7 @@ def _fetch(length: int):
                 text = zstandard.decompress(z)
                 for q in asked:
                     a, s = q["a"], q["smax"]
-                    rows.append((q["k"], did, th, a, q["smin"], s, q["dup"], text[a - s : a], text[a + half : a + length]))
+                    rows.append((q["k"], did, th, a, q["smin"], s, q["dup"], text[a - s : a], text[a : a + length]))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names)
 
     return run
@@ -137,11 +138,11 @@ def _padded(values: list[bytes], width: int, backwards: bool) -> np.ndarray:
     return out
 
 
-def repeated_starts(group: np.ndarray, smin: np.ndarray, smax: np.ndarray, dup: np.ndarray, phrase: list[bytes], after: list[bytes], half: int) -> np.ndarray:
+def repeated_starts(group: np.ndarray, smin: np.ndarray, smax: np.ndarray, dup: np.ndarray, phrase: list[bytes], after: list[bytes], length: int) -> np.ndarray:
     """[row, s]: whether the string that begins s bytes before the row's phrase end is there more than once."""
-    n = len(group)
+    n, half = len(group), length // 2
     by_phrase, common_suffix = _order(group, _padded(phrase, half, True))
-    by_after, common_prefix = _order(group, _padded(after, half, False))
+    by_after, common_prefix = _order(group, _padded(after, length, False))
     found = np.zeros((n, half), dtype=bool)
     left, right = np.empty(n, dtype=np.int64), np.empty(n, dtype=np.int64)
     weight = np.where(dup, 2, 1)
@@ -150,7 +151,7 @@ def repeated_starts(group: np.ndarray, smin: np.ndarray, smax: np.ndarray, dup:
         if len(rows) == 0:
             continue
         left[by_phrase] = np.cumsum(common_suffix < s)
-        right[by_after] = np.cumsum(common_prefix < half - s)
+        right[by_after] = np.cumsum(common_prefix < length - s)
         key = left[rows] * (n + 1) + right[rows]
         order = np.argsort(key, kind="stable")
         k = key[order]
@@ -162,11 +163,9 @@ def repeated_starts(group: np.ndarray, smin: np.ndarray, smax: np.ndarray, dup:
 
 
 def _settle(length: int, block: int):
-    half = length // 2
-
     def work(table: pa.Table) -> pa.RecordBatch:
         col = {c: table.column(c).to_numpy() for c in ("k", "did", "th", "a", "smin", "smax", "dup")} | {"did": table.column("did")}
-        rep = repeated_starts(np.unique(col["k"], return_inverse=True)[1], col["smin"], col["smax"], col["dup"], table.column("phrase").to_pylist(), table.column("after").to_pylist(), half)
+        rep = repeated_starts(np.unique(col["k"], return_inverse=True)[1], col["smin"], col["smax"], col["dup"], table.column("phrase").to_pylist(), table.column("after").to_pylist(), length)
         rep[col["dup"]] = False  # known already
         edge = np.diff(np.pad(rep, ((0, 0), (1, 1))).astype(np.int8), axis=1)
         row, s0 = np.nonzero(edge == 1)
@@ -197,15 +196,14 @@ def _settle(length: int, block: int):
 
 
 def _spelt(length: int):
-    """A row for each string of the rows: its place, its 128-bit hash and whether it is known to repeat."""
-    half = length // 2
+    """A row for each string of the rows: its place, its digest and whether it is known to repeat."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
                 both, n = r["phrase"] + r["after"], len(r["phrase"])
                 span = range(r["smin"], r["smax"] + 1)
-                digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(both[n - s : n + half - s] + s.to_bytes(4), r["k"] & 0xFFFFFFFFFFFFFFFF) for s in span), dtype="<i8").reshape(-1, 2)
+                digests = np.frombuffer(b"".join(hashlib.sha256(s.to_bytes(4) + both[n - s : n + length - s]).digest() for s in span), dtype="<i8").reshape(-1, 4)
                 m = len(span)
                 yield pa.RecordBatch.from_arrays([pa.array([r["did"]] * m, pa.int64()), pa.array([r["th"]] * m, pa.int64()), pa.array([r["a"] - s for s in span], pa.int32()), pa.array([r["dup"]] * m), pa.array(digests[:, 0].copy()), pa.array(digests[:, 1].copy())], ["did", "th", "lo", "dup", "h1", "h2"])
 
@@ -221,14 +219,15 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     if length % 16:
         raise ValueError("length must be a multiple of 16")
     rows = docs.select(F.col(id_col).cast("long").alias("did"), F.xxhash64(text_col).alias("th"), F.col(text_col).cast("string").alias("text")).where(F.octet_length("text") >= length)
-    phrases = rows.mapInArrow(_phrases(length), "did long, th long, a int, smin int, smax int, k long, h long")
-    again = phrases.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select("k")
-    some = save(phrases.join(again, "k", "left_semi"), "repeat-phrases")
-    extent = ["k", "h", "smin", "smax"]
-    classes = save(some.groupBy(*extent).agg(F.count("*").alias("n"), F.min(F.struct("did", "th", "a")).alias("one")), "repeat-classes")
-    wholly = some.join(classes.where("n > 1").select(*extent), extent).select("did", "th", (F.col("a") - F.col("smax")).alias("lo"), (F.col("a") - F.col("smin")).alias("hi"))
-    mixed = classes.groupBy("k").agg(F.count("*").alias("extents")).where("extents > 1")
-    asked = classes.join(mixed, "k").select(F.col("one.did").alias("d"), F.col("one.th").alias("t"), F.struct(F.col("one.a").alias("a"), "smin", "smax", "k", (F.col("n") > 1).alias("dup")).alias("q"), (F.col("extents") > hot).alias("hot"))
+    parse = rows.mapInArrow(_phrases(length), "did long, th long, a int, smin int, smax int, k long, h1 long, h2 long")
+    # written, so that the join with it can be split where a key is frequent
+    again = save(parse.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select("k"), "repeat-keys")
+    some = save(parse.join(again, "k", "left_semi"), "repeat-parse")
+    entry = ["k", "h1", "h2", "smin", "smax"]
+    dictionary = save(some.groupBy(*entry).agg(F.count("*").alias("n"), F.min(F.struct("did", "th", "a")).alias("one")), "repeat-dictionary")
+    wholly = some.join(dictionary.where("n > 1").select(*entry), entry).select("did", "th", (F.col("a") - F.col("smax")).alias("lo"), (F.col("a") - F.col("smin")).alias("hi"))
+    mixed = dictionary.groupBy("k").agg(F.count("*").alias("entries")).where("entries > 1")
+    asked = dictionary.join(mixed, "k").select(F.col("one.did").alias("d"), F.col("one.th").alias("t"), F.struct(F.col("one.a").alias("a"), "smin", "smax", "k", (F.col("n") > 1).alias("dup")).alias("q"), (F.col("entries") > hot).alias("hot"))
     fetched = "k long, did long, th long, a int, smin int, smax int, dup boolean, phrase binary, after binary"
 
     def bytes_of(which) -> DataFrame:
@@ -239,7 +238,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     n = parallelism(docs.sparkSession)
     partly = bytes_of(~F.col("hot")).repartition(n, "k").sortWithinPartitions("k").mapInArrow(_settle(length, block), "did long, th long, lo int, hi int")
     found = wholly.unionByName(partly)
-    if not mixed.where(F.col("extents") > hot).isEmpty():
+    if not mixed.where(F.col("entries") > hot).isEmpty():
         spelt = bytes_of(F.col("hot")).mapInArrow(_spelt(length), "did long, th long, lo int, dup boolean, h1 long, h2 long")
         often = spelt.groupBy("h1", "h2").agg(F.sum(F.when(F.col("dup"), 2).otherwise(1)).alias("n")).where("n > 1").select("h1", "h2")
         found = found.unionByName(spelt.where("not dup").join(often, ["h1", "h2"], "left_semi").select("did", "th", "lo", F.col("lo").alias("hi")))
@@ -275,16 +274,16 @@ def _cut(length: int, with_text: bool):
             for did, z, spans in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
                 text = zstandard.decompress(z.as_buffer())
                 left, removed, n = kept(text, [(s["lo"], s["hi"]) for s in spans or ()], length)
-                out.append((did, len(text), removed, n, hashlib.sha256(left).hexdigest(), left if with_text else None))
-            kinds = [pa.int64()] * 4 + [pa.string(), pa.binary()]
+                out.append((did, len(text), removed, n, hashlib.sha256(left).hexdigest(), left.decode(errors="ignore") if with_text else None))
+            kinds = [pa.int64()] * 4 + [pa.string(), pa.string()]
             cols = [pa.array([o[i] for o in out], t) for i, t in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays(cols[: 5 + with_text], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: 5 + with_text])
+            yield pa.RecordBatch.from_arrays(cols[: 5 + with_text], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"][: 5 + with_text])
 
     return run
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, with_text: bool = False, **options) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, binary) for every row of docs.
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept_text, less parts of characters) for every row of docs.
 
     Every byte goes that a string of length bytes covers which begins anywhere else too, in the same text or another.
     A null text is an empty one. Repeated rows are texts like any other and so repeat each other; null ids are kept.
@@ -292,7 +291,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spans = repeats(docs, id_col, text_col, length, **options).groupBy("did", "th").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
     named = spans.select(F.col("did").alias("d"), F.col("th").alias("t"), "spans")
     texts = squeezed(docs, id_col, text_col, 0)
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else "")
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept_text string" if with_text else "")
     return texts.join(named, _keys(texts), "left").select("did", "z", "spans").mapInArrow(_cut(length, with_text), schema)
 
 
