@@ -21,6 +21,8 @@ from tellscan.llm._util import fresh, save
 WINDOW = 13
 #: Bytes of benchmark text that one pass holds in a worker; a larger benchmark is searched in several passes.
 PASS_BYTES = 8 << 20
+#: Words of an item that stay together; longer items are cut, and the parts share all but one word of a window.
+PART = 2048
 #: Patterns of these lengths share a machine, whose longest jump comes from its shortest pattern.
 CLASSES = ((1, 1), (2, 4), (5, 8), (9, WINDOW - 1))
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -101,26 +103,45 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def _dealt(benchmark: DataFrame, item_col: str, item_text: str, window: int, pass_bytes: int) -> tuple[DataFrame, int]:
+    """(item, body, pass) for parts of at most PART + window - 1 words, and the number of passes, none beyond pass_bytes.
+
+    A pass of one part alone may be larger, where its words are.
+    """
+    words = F.regexp_extract_all(F.col(item_text).cast("string"), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), F.lit(0))
+    found = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("item"), words.alias("w")).where(F.size("w") > 0)
+    starts = F.sequence(F.lit(1), F.greatest(F.size("w") - (window - 1), F.lit(1)), F.lit(PART))
+    parts = found.select("item", F.explode(F.transform(starts, lambda i: F.array_join(F.slice("w", i, PART + window - 1), " "))).alias("body")).distinct()
+    size = F.octet_length("body")
+    total = parts.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    passes = max(1, -(-total // pass_bytes))
+    while True:
+        dealt = parts.withColumn("pass", F.pmod(F.xxhash64("item", "body"), F.lit(passes)))
+        if passes == 1 or not total:
+            return dealt, passes
+        # a row for each pass that holds too much; where parts are many, a few more passes even them out
+        over = dealt.groupBy("pass").agg(F.sum(size).alias("bytes"), F.count("*").alias("n")).where((F.col("bytes") > pass_bytes) & (F.col("n") > 1))
+        if over.isEmpty():
+            return dealt, passes
+        passes += 1 + passes // 2
+
+
 def scan(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, pass_bytes: int = PASS_BYTES, keep_text: bool = False) -> DataFrame:
     """The columns of docs (text_col only if keep_text) with n_words, hit_spans and hit_items.
 
     hit_spans holds [start, end, start, end ...) in words, merged and ascending; hit_items the item ids as strings,
     sorted. Null texts, and texts and items without words, hit nothing; a null item id is the string "null"; repeated
-    rows and items count as they stand. The benchmark goes to the workers in passes of at most pass_bytes (an item
-    larger than that is a pass of its own); with several passes the findings are written between them.
+    rows count as they stand, repeated items once. The benchmark goes to the workers in passes of at most pass_bytes;
+    with several passes the findings are written between them.
     """
     spark = docs.sparkSession
-    ids = F.coalesce(F.col(item_col).cast("string"), F.lit("null"))
-    bench = benchmark.select(ids.alias("item"), F.col(item_text).cast("string").alias("body")).where("body is not null")
-    total = bench.agg(F.coalesce(F.sum(F.octet_length("body")), F.lit(0))).first()[0]
-    passes = max(1, -(-total // pass_bytes))
+    bench, passes = _dealt(benchmark, item_col, item_text, window, pass_bytes)
     n_words, spans, items = fresh(docs, "n_words"), fresh(docs, "hit_spans"), fresh(docs, "hit_items")
     out = docs.withColumns({n_words: F.lit(None).cast("long"), spans: F.array().cast("array<int>"), items: F.array().cast("array<string>")})
     names, types = out.columns, out.schema
     at = {c: names.index(c) for c in (text_col, n_words, spans, items)}
     for k in range(passes):
-        part = bench if passes == 1 else bench.where(F.pmod(F.xxhash64("item", "body"), F.lit(passes)) == k)
-        held = spark.sparkContext.broadcast([(r.item, r.body.encode()) for r in part.toLocalIterator()])
+        held = spark.sparkContext.broadcast([(r.item, r.body.encode()) for r in bench.where(F.col("pass") == k).toLocalIterator()])
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             search = Search(held.value, window)
