@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tellscan.llm._util import save
+from tellscan.llm._util import release, save
 
 MAX_ROUNDS = 60
 
@@ -15,7 +15,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
 
     Alternating large-star and small-star steps: the number of rounds grows with the logarithm of the size, and no
     step holds the neighbours of a node together (a minimum per node, which is pre-aggregated, is joined to the edges,
-    where AQE can split a hub). Every round is written to the shared folder. Nulls and loops are ignored; repeated
+    where AQE can split a hub). Every round is written to the shared folder, in place of the last. Nulls and loops are ignored; repeated
     edges count once. An empty input gives an empty result.
     """
     cur = edges.select(F.greatest(src, dst).alias("a"), F.least(src, dst).alias("b")).where("a != b").distinct()
@@ -24,7 +24,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     for _ in range(MAX_ROUNDS):
         if before[0] == 0:
             break
-        cur = save(_small_star(_large_star(cur)), "cc")
+        last, cur = cur, save(_small_star(_large_star(cur)), "cc")
+        release(last)
         now = _state(cur)
         if now == before:
             break
