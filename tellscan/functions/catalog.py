@@ -9,6 +9,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tellscan.functions.advice import RATIONALES, SUGGESTIONS
 from tellscan.functions.guarded import GUARDED
 
 SEVERITIES, CONFIDENCES = ("error", "warning", "info"), ("high", "medium", "low")
@@ -33,16 +34,18 @@ class Rule:
     rationale: str | None = None
     ignore_case: bool = True
     prefix: str = ""
+    #: What is passed over in one go where the rule doesn't match; group 2 is empty then.
+    idle: str = ""
 
     @property
     def regex(self) -> str:
         """Group 1 is matched and left out of the note, group 2 is reported."""
         flags = "(?imdu)" if self.ignore_case else "(?md)"
-        return f"{flags}({self.prefix})({self.pattern})"
+        return f"{flags}({self.prefix})({self.pattern})" + (f"|{self.idle}" if self.idle else "")
 
 
-def _rule(id: str, category: str, severity: str, confidence: str, pattern: str, message: str, suggestion: str = "Say it plainly, or cut it.", **more) -> Rule:
-    return Rule(id, category, severity, confidence, pattern, message, suggestion, **more)
+def _rule(id: str, category: str, severity: str, confidence: str, pattern: str, message: str, **more) -> Rule:
+    return Rule(id, category, severity, confidence, pattern, message, SUGGESTIONS[id], rationale=RATIONALES[category], **more)
 
 
 #: The patterns, word lists and grades of the rules.
@@ -93,8 +96,8 @@ RULES: tuple[Rule, ...] = (
     _rule("em-dash-overuse", "punctuation", "warning", "high", r"—[^\n—]*+(?:\n(?!\s*\n)[^\n—]*+)*+—[^\n—]*+(?:\n(?!\s*\n)[^\n—]*+)*+—(?:[^\n—]*+(?:\n(?!\s*\n)[^\n—]*+)*+—)*+", "Three or more em dashes in a paragraph.", ignore_case=False),
     _rule("question-isnt", "false-correction", "warning", "medium", r"\bthe\s+question\s+is(?:n['’]?t|\s+not)\s+(?:whether|if|how|what|why|who)\b[^.!?\n]{0,80}?,\s*(?:it['’]?s|but)\b", "A question is refused to put another."),
     _rule("less-about-more-about", "false-correction", "warning", "medium", r"\b(?:it['’]?s|it\s+is|this\s+is|that['’]?s|that\s+is)\s+less\s+about\s+[^.!?\n]{1,60}?\b(?:(?:and\s+|,\s*)?more\s+about|than\s+about)\b", "A contrast by formula."),
-    _rule("vague-attribution", "false-concession", "error", "high", r"\bsome\s+(?:critics|experts|observers|scholars|analysts)\s+(?:argue|say|believe|contend|maintain)\b|\bit\s+is\s+widely\s+(?:regarded|considered|seen|believed|acknowledged)\b|\bmany\s+would\s+argue\b", "A claim of nobody in particular.", suggestion="Name who says so."),
-    *(Rule(**arguments) for arguments in GUARDED),
+    _rule("vague-attribution", "false-concession", "error", "high", r"\bsome\s+(?:critics|experts|observers|scholars|analysts)\s+(?:argue|say|believe|contend|maintain)\b|\bit\s+is\s+widely\s+(?:regarded|considered|seen|believed|acknowledged)\b|\bmany\s+would\s+argue\b", "A claim of nobody in particular."),
+    *(_rule(**arguments) for arguments in GUARDED),
 )
 
 BY_ID = {r.id: r for r in RULES}
@@ -113,6 +116,38 @@ def select_rules(select: list[str] | None = None, ignore: list[str] | None = Non
     return [r for r in chosen if r.id not in (ignore or ()) and r.category not in (ignore or ())]
 
 
+def explain(name: str) -> dict:
+    """All that is known of a pattern rule or, if there is none of that name, a judged one; another name is an error."""
+    from tellscan.functions.examples import CASES
+    from tellscan.functions.questions import QUESTION_BY_ID
+
+    if name in BY_ID:
+        r = BY_ID[name]
+        return {"id": r.id, "category": r.category, "severity": r.severity, "confidence": r.confidence, "message": r.message, "why": r.rationale, "fix": r.suggestion, "noted": [CASES[name][0]], "not noted": [CASES[name][1]]}
+    if name in QUESTION_BY_ID:
+        q = QUESTION_BY_ID[name]
+        return {"id": q.id, "category": q.category, "severity": q.severity, "confidence": q.confidence, "message": q.message, "why": q.rationale, "fix": q.suggestion, "question": q.instructions, "levels": list(q.levels)}
+    raise ValueError(f"unknown rule: {name}")
+
+
+def explained(name: str) -> str:
+    """explain() as lines of text; examples stand indented, with their line breaks and tabs spelt out."""
+    out = []
+    for label, value in explain(name).items():
+        if isinstance(value, list):
+            out += [f"{label}:", *("    " + x.replace("\\", "\\\\").replace("\n", "\\n").replace("\r", "\\r").replace("\t", "\\t") for x in value)]
+        elif value is not None:
+            out.append(f"{label}: {value}")
+    return "\n".join(out)
+
+
+def rules_table() -> str:
+    """A line for each pattern rule, in columns."""
+    rows = [(r.id, r.category, r.severity, r.confidence, r.message) for r in RULES]
+    wide = [max(len(row[i]) for row in rows) for i in range(4)]
+    return "\n".join("  ".join([*(x.ljust(w) for x, w in zip(row, wide, strict=False)), row[4]]) for row in rows)
+
+
 def catalog(spark: SparkSession) -> DataFrame:
     rows = [(i, r.id, r.category, r.severity, r.confidence, r.message, r.suggestion, r.rationale) for i, r in enumerate(RULES)]
     return spark.createDataFrame(rows, "ord int, id string, category string, severity string, confidence string, message string, suggestion string, rationale string")

@@ -4,10 +4,16 @@ from __future__ import annotations
 
 import json
 import re
+import time
+import urllib.error
+import urllib.parse
 import urllib.request
-from collections.abc import Mapping
+from collections.abc import Callable, Iterable, Mapping
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
-from typing import Protocol
+from typing import Protocol, TypeVar
+
+T, R = TypeVar("T"), TypeVar("R")
 
 
 class BackendError(RuntimeError):
@@ -71,31 +77,75 @@ def numbers(usage: object) -> dict[str, float]:
     return {k: float(v) for k, v in usage.items() if isinstance(v, int | float) and not isinstance(v, bool)} if isinstance(usage, Mapping) else {}
 
 
+def each(backend: Backend, jobs: Iterable[T], do: Callable[[T], R]) -> list[R]:
+    """do(job) for every job, in order; as many at once as backend.parallel says (1 if it says nothing). The first failure ends it."""
+    workers, jobs = getattr(backend, "parallel", 1), list(jobs)
+    if workers < 2 or len(jobs) < 2:
+        return [do(j) for j in jobs]
+    pool = ThreadPoolExecutor(min(workers, len(jobs)))
+    try:
+        return list(pool.map(do, jobs))
+    finally:
+        pool.shutdown(wait=True, cancel_futures=True)
+
+
+class _NoRedirect(urllib.request.HTTPRedirectHandler):
+    """A key is for one host: a redirect is an error, not another host to send it to."""
+
+    def redirect_request(self, *args, **kwargs):
+        return None
+
+
 @dataclass(frozen=True)
 class HttpBackend:
-    """POSTs {state, model, questions} as JSON and reads {answers, usage}; for a service of the user's own."""
+    """POSTs {state, model, questions} as JSON and reads {answers, usage}; for a service of the user's own.
+
+    url must be https, or http on this machine. A busy or unreachable service is asked again, tries times in all, with
+    a pause of wait seconds that doubles up to a minute; any other refusal fails at once.
+    """
 
     url: str
     model: str
     key: str = field(default="", repr=False)
     timeout: float = 60.0
+    tries: int = 6
+    wait: float = 5.0
+    parallel: int = 8
     name: str = "http"
 
+    def __post_init__(self) -> None:
+        at = urllib.parse.urlsplit(self.url)
+        if not at.hostname or at.username or not (at.scheme == "https" or (at.scheme == "http" and at.hostname in ("localhost", "127.0.0.1", "::1"))):
+            raise ValueError(f"{self.url!r} is no https address")
+
+    def _post(self, body: bytes) -> dict:
+        request = urllib.request.Request(self.url, body, {"Content-Type": "application/json", "Authorization": f"Bearer {self.key}"})
+        with urllib.request.build_opener(_NoRedirect).open(request, timeout=self.timeout) as got:
+            return json.load(got)
+
     def ask(self, state: Mapping, questions: Mapping[str, Mapping]) -> dict[str, Answer]:
         body = json.dumps({"state": state, "model": self.model, "questions": questions}).encode()
-        request = urllib.request.Request(self.url, body, {"Content-Type": "application/json", "Authorization": f"Bearer {self.key}"})
-        try:
-            with urllib.request.urlopen(request, timeout=self.timeout) as got:
-                reply = json.load(got)
-            return {n: read_answer(q, reply["answers"][n], reply.get("usage")) for n, q in questions.items()}
-        except (OSError, ValueError, KeyError, TypeError) as e:
-            raise BackendError(f"{type(e).__name__}: {e}") from e
+        for n in range(self.tries):
+            try:
+                reply = self._post(body)
+                return {q: read_answer(x, reply["answers"][q], reply.get("usage")) for q, x in questions.items()}
+            except (OSError, ValueError, KeyError, TypeError) as e:
+                busy = e.code == 429 or e.code >= 500 if isinstance(e, urllib.error.HTTPError) else isinstance(e, OSError)
+                if not busy or n + 1 == self.tries:
+                    raise BackendError(f"{type(e).__name__}: {e}") from e
+                time.sleep(min(60.0, self.wait * 2**n))
+        raise BackendError("no try was allowed")
 
 
 @dataclass(frozen=True)
 class WordBackend:
-    """Judges by counting: the share of words with a digit or a capital decides. Deterministic; for tests and dry runs."""
+    """Judges by counting: the share of words with a digit or a capital decides. Deterministic; for tests and dry runs.
+
+    bias is added to the share, and favour to the probability of A, so that two runs and both orders can differ.
+    """
 
+    bias: float = 0.0
+    favour: float = 0.0
     name: str = "words"
 
     @staticmethod
@@ -106,13 +156,13 @@ class WordBackend:
     def ask(self, state: Mapping, questions: Mapping[str, Mapping]) -> dict[str, Answer]:
         if "A" in state:
             a, b = self.plainness(state["A"]), self.plainness(state["B"])
-            p = 0.5 + (a - b) / 2
-            made: dict[str, Answer] = {"keep": Answer("choice", {"A": p, "B": 1 - p}, abs(a - b))}
+            p = min(1.0, max(0.0, 0.5 + (a - b) / 2 + self.favour))
+            made: dict[str, Answer] = {"keep": Answer("choice", {"A": p, "B": 1 - p}, abs(2 * p - 1))}
             if "drift" in questions:
                 d = float(sorted(state["A"].split()) != sorted(state["B"].split()))
                 made["drift"] = Answer("noul", d, 1.0)
             return made
-        x = self.plainness(state.get("target") or state.get("paragraph") or "")
+        x = self.plainness(state.get("target") or state.get("paragraph") or "") + self.bias
         usage = {"input_tokens": float(sum(len(str(v)) for v in state.values()) // 4)}
 
         def score(levels: int) -> Answer:

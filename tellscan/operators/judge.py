@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tellscan.functions.questions import REGISTER, Question, select_questions
-from tellscan.operators.backend import Backend, BackendError, numbers
+from tellscan.operators.backend import Backend, BackendError, each, numbers
 from tellscan.operators.scan import NOTE_FIELDS, column_of, context_window, line_of
 from tellscan.operators.split import split
 
@@ -31,9 +31,13 @@ DRIFT = "Does B state anything that A doesn't, or leave out anything that A stat
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """df, computed once: a checkpoint where the cluster names a folder for them, else kept on the executors' disks."""
-    conf = df.sparkSession.sparkContext.getConf()
-    return df.checkpoint() if conf.get("spark.checkpoint.dir", None) else df.persist(StorageLevel.MEMORY_AND_DISK)
+    """df, computed once: a checkpoint in the folder that the cluster names for them, else, on one machine, kept on its disk."""
+    context = df.sparkSession.sparkContext
+    if context.getConf().get("spark.checkpoint.dir", None):
+        return df.checkpoint()
+    if context.master.split("[")[0] != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share, or a lost executor's answers are paid for again")
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def top(probabilities: Column) -> Column:
@@ -60,7 +64,8 @@ def _ask(backend: Backend, state: dict, questions: dict[str, dict]) -> dict:
 def _paragraph_answers(backend: Backend, questions: dict[str, dict], register: str):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            f["request"] = [_ask(backend, {"register": register, "paragraph": asked, "sentence_count": len(s)}, questions) if len(s) >= MIN_SENTENCES else None for asked, s in zip(f["asked"], f["sentences"], strict=True)]
+            due = [(asked, len(s)) for asked, s in zip(f["asked"], f["sentences"], strict=True)]
+            f["request"] = each(backend, due, lambda x: _ask(backend, {"register": register, "paragraph": x[0], "sentence_count": x[1]}, questions) if x[1] >= MIN_SENTENCES else None)
             yield f
 
     return run
@@ -69,11 +74,10 @@ def _paragraph_answers(backend: Backend, questions: dict[str, dict], register: s
 def _sentence_answers(backend: Backend, questions: dict[str, dict], register: str):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            out = []
-            for s in f["sentences"]:
-                all_asked = [x["asked"] for x in s]
-                out.append([_ask(backend, {"register": register, "paragraph": {"sentences": all_asked}, "target_index": i, "target": t}, questions) for i, t in enumerate(all_asked)])
-            f["requests"] = out
+            texts = [[x["asked"] for x in s] for s in f["sentences"]]
+            due = [(all_asked, i) for all_asked in texts for i in range(len(all_asked))]
+            got = iter(each(backend, due, lambda x: _ask(backend, {"register": register, "paragraph": {"sentences": x[0]}, "target_index": x[1], "target": x[0][x[1]]}, questions)))
+            f["requests"] = [[next(got) for _ in all_asked] for all_asked in texts]
             yield f
 
     return run
@@ -125,10 +129,10 @@ def judge(docs: DataFrame, backend: Backend, questions: Sequence[Question] | Non
         kind = units.schema["sentences"].dataType.simpleString()
         key_type = units.schema[key].dataType.simpleString()
         answered = settle(targets.select(key, "sentences").mapInPandas(_sentence_answers(backend, asked, register), f"`{key}` {key_type}, sentences {kind}, requests array<{REQUEST}>"))
-        each = answered.select(key, F.inline(F.arrays_zip("sentences", "requests")))
-        flagged = each.select(key, _span(F.col("sentences")).alias("unit"), F.explode(_flags(F.col("requests.answers"), of_sentence, strict)).alias("f"))
+        apiece = answered.select(key, F.inline(F.arrays_zip("sentences", "requests")))
+        flagged = apiece.select(key, _span(F.col("sentences")).alias("unit"), F.explode(_flags(F.col("requests.answers"), of_sentence, strict)).alias("f"))
         found = found.unionByName(flagged.select(key, (F.col("f.ord") + len(of_paragraph)).alias("ord"), F.col("f.confidence").alias("confidence"), "unit"))
-        usage = usage.unionByName(each.select(F.explode("requests.usage").alias("counter", "n")))
+        usage = usage.unionByName(apiece.select(F.explode("requests.usage").alias("counter", "n")))
 
     ordered = of_paragraph + of_sentence
     notes = found.join(rows, key)
@@ -179,7 +183,7 @@ def compare(pairs: DataFrame, backend: Backend, key: str = "pair_id", a: str = "
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            out = pd.DataFrame([verdict(*v) for v in zip(f["a"], f["b"], f["turned"], strict=True)], columns=names)
+            out = pd.DataFrame(each(backend, zip(f["a"], f["b"], f["turned"], strict=True), lambda v: verdict(*v)), columns=names)
             out.insert(0, key, f[key].to_numpy())
             yield out
 

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tellscan.functions.catalog import Rule, select_rules
+from tellscan.functions.literals import needed_words
 
 #: Context on each side of a match, and the length of a match that needs none.
 SIDE, ALONE = 40, 40
@@ -31,26 +33,55 @@ def squash(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"\s+", " "), r"^ | $", "")
 
 
-def spans(text: Column, rule: Rule) -> Column:
-    """array of (off, m): 0-based code point offset and text of each match, left to right."""
+def folded(text: Column) -> Column:
+    """text in which needed words are found whatever their case, the four characters included that patterns take for Latin letters."""
+    return F.lower(F.translate(text, "\u017f\u0131\u0130\u212a", "siik"))
+
+
+def hopeful(low: Column, rule: Rule) -> Column | None:
+    """Whether a folded text holds a word that every match needs; None where the rule has no such words."""
+    found = [F.contains(low, F.lit(w)) for w in needed_words(rule.pattern)]
+    return reduce(Column.__or__, found) if found else None
+
+
+def spans(text: Column, rule: Rule, low: Column | None = None) -> Column:
+    """array of (off, m): 0-based code point offset and text of each match, left to right. low is the folded text.
+
+    The pattern runs only where the text holds a needed word, and its places are taken only where it matches.
+    """
     kind = "array<struct<off:int,m:string>>"
-    pieces = F.arrays_zip(F.split(text, rule.regex, -1).alias("p"), F.regexp_extract_all(text, F.lit(rule.regex), F.lit(1)).alias("a"), F.regexp_extract_all(text, F.lit(rule.regex), F.lit(2)).alias("b"))
+    groups = {"g": 0} | ({"b": 2} if rule.prefix or rule.idle else {})
+    pieces = F.arrays_zip(F.split(text, rule.regex, -1).alias("p"), *[F.regexp_extract_all(text, F.lit(rule.regex), F.lit(n)).alias(c) for c, n in groups.items()])
 
     def step(acc: Column, x: Column) -> Column:
-        off = acc["at"] + F.length(x["p"]) + F.coalesce(F.length(x["a"]), F.lit(0))
-        new = F.array(F.struct(off.alias("off"), x["b"].alias("m")))
-        return F.struct((off + F.coalesce(F.length(x["b"]), F.lit(0))).alias("at"), F.when(x["b"].isNull(), acc["found"]).otherwise(F.concat(acc["found"], new)).alias("found"))
+        m = x["b"] if "b" in groups else x["g"]
+        end = acc["at"] + F.length(x["p"]) + F.coalesce(F.length(x["g"]), F.lit(0))
+        new = F.array(F.struct((end - F.length(m)).alias("off"), m.alias("m")))
+        return F.struct(end.alias("at"), F.when(m.isNull() | (m == ""), acc["found"]).otherwise(F.concat(acc["found"], new)).alias("found"))
 
     found = F.aggregate(pieces, F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("found")), step, lambda acc: acc["found"])
     for skip in rule.skip:
         found = _unless(found, skip)
-    return F.when(F.regexp_like(text, F.lit(rule.regex)), found).otherwise(F.array().cast(kind))
+    may = [] if low is None or (words := hopeful(low, rule)) is None else [words]
+    may += [] if rule.idle else [F.regexp_like(text, F.lit(rule.regex))]
+    return F.when(reduce(Column.__and__, may), found).otherwise(F.array().cast(kind)) if may else found
 
 
 def _unless(found: Column, skip: str) -> Column:
     return F.filter(found, lambda s: ~F.regexp_like(s["m"], F.lit(skip)))
 
 
+def n_notes(text: Column, rule: Rule, low: Column) -> Column:
+    """How many notes of the rule a text has; 0 for a null text."""
+    if rule.skip or rule.idle:
+        n = F.size(spans(text, rule, low))
+    else:
+        words = hopeful(low, rule)
+        n = F.regexp_count(text, F.lit(rule.regex))
+        n = n if words is None else F.when(words, n)
+    return F.when(text.isNull(), F.lit(0)).otherwise(F.coalesce(n, F.lit(0))).cast("long")
+
+
 def line_of(text: Column, off: Column) -> Column:
     """1-based line of a 0-based offset; only line feeds end lines."""
     pre = F.substring(text, F.lit(1), off)
@@ -80,7 +111,7 @@ def scan(docs: DataFrame, rules: Sequence[Rule] | None = None, key: str = "doc_i
     """
     rules = select_rules() if rules is None else list(rules)
     kept = docs.select(F.col(key), F.col(text_col).alias("source")).where(F.col("source").isNotNull())
-    kept = kept.withColumn("body", blank_markdown(F.col("source")) if markdown else F.col("source"))
+    kept = kept.withColumn("body", blank_markdown(F.col("source")) if markdown else F.col("source")).withColumn("low", folded(F.col("body")))
 
     def notes(i: int, r: Rule) -> Column:
         def note(s: Column) -> Column:
@@ -88,7 +119,7 @@ def scan(docs: DataFrame, rules: Sequence[Rule] | None = None, key: str = "doc_i
             message = F.replace(F.lit(r.message), F.lit("%{count}"), count.cast("string")) if r.count_group else F.lit(r.message)
             return F.struct(F.lit(i).alias("ord"), s["off"].alias("off"), s["m"].alias("m"), F.lit(r.severity).alias("severity"), F.lit(r.confidence).alias("confidence"), F.lit(r.id).alias("rule"), F.lit(r.category).alias("category"), message.alias("message"), count.alias("count"), F.lit(r.rationale).cast("string").alias("rationale"), F.lit(r.suggestion).alias("suggestion"))
 
-        return F.transform(spans(F.col("body"), r), note)
+        return F.transform(spans(F.col("body"), r, F.col("low")), note)
 
     if not rules:
         raise ValueError("no rules")
@@ -98,5 +129,5 @@ def scan(docs: DataFrame, rules: Sequence[Rule] | None = None, key: str = "doc_i
 
 def counts(docs: DataFrame, rules: Sequence[Rule], key: str = "doc_id", text_col: str = "text") -> DataFrame:
     """key, rule, n for every row and rule, n being the number of matches that aren't skipped."""
-    each = F.array(*[F.struct(F.lit(r.id).alias("rule"), (F.size(spans(F.col(text_col), r)) if r.skip else F.regexp_count(text_col, F.lit(r.regex))).cast("long").alias("n")) for r in rules])
-    return docs.select(key, F.inline(each)).select(key, "rule", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
+    each = F.array(*[F.struct(F.lit(r.id).alias("rule"), n_notes(F.col("body"), r, F.col("low")).alias("n")) for r in rules])
+    return docs.select(key, F.col(text_col).alias("body"), folded(F.col(text_col)).alias("low")).select(key, F.inline(each))

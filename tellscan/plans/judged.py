@@ -8,14 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tellscan.functions.catalog import BY_ID
-from tellscan.functions.questions import question_catalog
+from tellscan.functions.questions import QUESTIONS, question_catalog
 from tellscan.operators.backend import WordBackend
-from tellscan.operators.calibrate import FLOORS, GATE_AGREE, GATE_FLIP, GATE_PAIRS, agreement, flips, gates
-from tellscan.operators.judge import compare, judge
+from tellscan.operators.calibrate import FLOORS, GATE_AGREE, GATE_AUC, GATE_FLIP, GATE_PAIRS, GATED, agreement, flips
+from tellscan.operators.corpus import HUMAN, both_orders, calibration, flagged_units, pairs_of, rank_auc, scored
+from tellscan.operators.judge import MEDIUM, compare, judge, settle
 from tellscan.operators.labels import score_rules, totals
 from tellscan.operators.split import split
-from tellscan.plans.queries import DEFAULT, EXAMPLES, ORDER, _sql_documents, documents, spread
+from tellscan.plans.queries import DEFAULT, SENTENCES, SQL_DOCUMENTS, documents, spread
+from tellscan.plans.rule_sql import sql_count
 
 #: What is put before and after every third text: what Markdown takes for no prose.
 BEFORE, AFTER = "---\ntitle: none\n---\n\n# Heading\n\n- item\n  goes on\n\n", "\n\n```\ncode. Code.\n```\n\nSee `x`. Then https://example.org goes.\n"
@@ -27,7 +28,8 @@ def markdown_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def judge_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return question_catalog(spark)
+    """The questions, their levels in one text."""
+    return question_catalog(spark).withColumn("levels", F.array_join("levels", " | "))
 
 
 def judged_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,28 +48,56 @@ def compare_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare(pairs, WordBackend()).select("pair_id", "keep", F.round("p_keep_b", 6).alias("p_keep_b"), F.round("keep_confidence", 6).alias("keep_confidence"))
 
 
-def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two labels as two runs, with a confidence made from the id."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source")
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality", "toxic", (F.col("doc_id") * 37 % 101 / 100).alias("confidence"))
-    return docs.join(labels, "doc_id")
+#: Two runs that see a little more or less in a text, and a judge that favours the first place.
+ONE, AGAIN, PARTIAL = WordBackend(), WordBackend(bias=0.03), WordBackend(favour=0.02)
+
+
+def _spoken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn as a unit about its conversation: what a user says is the human side."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    side = F.when(F.col("role") == "user", HUMAN).otherwise(F.col("role"))
+    return spread(turns).select(F.col("conv_id").alias("source_id"), "turn", F.lit("chat").alias("register"), side.alias("side"), F.col("text").alias("asked"))
+
+
+def turn_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """source_id, turn, register, side, rule, score, flagged, confidence, flagged_again: every question about every turn, twice."""
+    turns = _spoken(spark, sf_dir)
+    both = [scored(turns, ONE, AGAIN, QUESTIONS, unit) for unit in ("paragraph", "sentence")]
+    return both[0].unionByName(both[1]).withColumns({"score": F.round("score", 6), "confidence": F.round("confidence", 6)})
+
+
+def role_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank_auc(turn_scores(spark, sf_dir))
+
+
+def flag_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flagged_units(turn_scores(spark, sf_dir))
+
+
+def run_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return agreement(turn_scores(spark, sf_dir), "register", "confidence", "flagged", "flagged_again")
+
+
+def _turned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first turn of each side of a conversation against the user's first, in both orders."""
+    turns = _spoken(spark, sf_dir).where(F.col("asked").isNotNull())
+    firsts = turns.groupBy("source_id", "register", "side").agg(F.min(F.struct("turn", "asked")).alias("t")).select("source_id", "register", "side", F.col("t.asked").alias("asked"))
+    return both_orders(pairs_of(firsts), PARTIAL)
 
 
 def flip_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flips(_runs(spark, sf_dir), "source", "confidence", "quality", "toxic")
+    return flips(_turned(spark, sf_dir), "register", "confidence", "keep", "keep_again")
 
 
 def gate_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    runs = _runs(spark, sf_dir)
-    aucs = spark.createDataFrame([("no-news", 0.42), ("names-nothing", 0.51)], "rule string, auc double")
-    return gates(aucs, flips(runs, "source", "confidence", "quality", "toxic"), agreement(runs, "source", "confidence", "quality", "toxic"))
+    return calibration(settle(turn_scores(spark, sf_dir)), _turned(spark, sf_dir), "assistant", "chat")
 
 
 def label_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document as a labelled paragraph: its sentence is the example that belongs to its id, added or not."""
-    sentence = F.element_at(F.array(*[F.lit(EXAMPLES[i][0]) for i in ORDER]), (F.col("doc_id") % len(ORDER) + 1).cast("int"))
+    """Each document as a labelled paragraph: its sentence is the example or counterexample that was added to it."""
+    sentence = F.element_at(F.array(*map(F.lit, SENTENCES)), (F.pmod("doc_id", F.lit(len(SENTENCES))) + 1).cast("int"))
     rows = documents(spark, sf_dir).select(sentence.alias("sentence"), F.col("text").alias("paragraph"), (F.col("doc_id") % 2 == 0).alias("slop"), F.col("source").alias("family"), F.lit(None).cast("string").alias("shape"))
-    return totals(score_rules(rows, [BY_ID[r.id] for r in DEFAULT]))
+    return totals(score_rules(rows, DEFAULT))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -76,19 +106,61 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "judged_notes": judged_notes,
     "judge_usage": judge_usage,
     "compare_turns": compare_turns,
+    "turn_scores": turn_scores,
+    "role_auc": role_auc,
+    "flag_table": flag_table,
+    "run_agreement": run_agreement,
     "flip_rates": flip_rates,
     "gate_lines": gate_lines,
     "label_totals": label_totals,
 }
 
-_RUNS = "j AS (SELECT source, quality IS NOT DISTINCT FROM toxic AS same, (doc_id * 37 % 101) / 100.0::DOUBLE AS confidence FROM documents JOIN labels USING (doc_id))"
+
+
+def _text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
 _PLAIN = "coalesce(len(list_filter(regexp_extract_all({0}, '[^\\s\\v]+'), lambda w: regexp_matches(w, '[0-9A-Z]'))) / nullif(len(regexp_extract_all({0}, '[^\\s\\v]+')), 0), 0)"
-_SENTENCES = " ".join(f"WHEN {k} THEN '{EXAMPLES[i][0]}'" for k, i in enumerate(ORDER))
-_PATTERNS = {r.id: EXAMPLES[r.id][1].replace("'", "''") for r in DEFAULT}
-_HITS = " UNION ALL ".join(f"SELECT '{i}' AS rule, family, slop, contains(text, sentence) AS known, regexp_matches(sentence, '{p}') AS hit FROM l" for i, p in _PATTERNS.items())
+_FLOORS = "f AS (SELECT unnest([" + ", ".join(f"{x}::DOUBLE" for x in FLOORS) + "]) AS floor)"
+
+
+def _flag(p: str) -> str:
+    return f"{p}[1] = list_max({p}) AND len(list_filter({p}, lambda v: v = list_max({p}))) = 1"
+
+
+def _levels(x: str) -> str:
+    return f"list_transform(range(levels), lambda i: abs(1 - abs(least(1::DOUBLE, 4 * {x}) - i / (levels - 1))))"
+
+
+if any(q.flag_level for q in QUESTIONS):
+    raise ValueError("the SQL takes the first level for the flagged one")
+_SCORES = f"""t AS (SELECT conv_id AS source_id, turn, 'chat' AS register, CASE role WHEN 'user' THEN '{HUMAN}' ELSE role END AS side, {_PLAIN.format("text")} AS x FROM conversations WHERE text IS NOT NULL),
+q AS (SELECT * FROM (VALUES {", ".join(f"('{q.id}', {len(q.levels)})" for q in QUESTIONS)}) q(rule, levels)),
+r AS (SELECT t.*, rule, levels, {_levels("x")} AS r1, {_levels(f"(x + {AGAIN.bias}::DOUBLE)")} AS r2 FROM t, q),
+p AS (SELECT *, list_transform(r1, lambda v: v / list_sum(r1)) AS p1, list_transform(r2, lambda v: v / list_sum(r2)) AS p2 FROM r),
+s AS (SELECT source_id, turn, register, side, rule, round(list_sum(list_transform(range(levels), lambda i: p1[i + 1] * i)), 6)::DOUBLE AS score, {_flag("p1")} AS flagged,
+  round(least(1::DOUBLE, 2 * (list_reverse_sort(p1)[1] - list_reverse_sort(p1)[2])), 6)::DOUBLE AS confidence, {_flag("p2")} AS flagged_again FROM p)"""
+_AUC = f"""u AS (SELECT register, rule, m.side, s.score, s.side <> '{HUMAN}' AS model FROM s JOIN (SELECT DISTINCT register, rule, side FROM s WHERE side <> '{HUMAN}') m USING (register, rule) WHERE s.side = m.side OR s.side = '{HUMAN}'),
+k AS (SELECT *, rank() OVER (PARTITION BY register, side, rule ORDER BY score) + (count(*) OVER (PARTITION BY register, side, rule, score) - 1) / 2.0 AS k FROM u),
+a AS (SELECT register, side, rule, count(*) FILTER (model) AS n_pos, count(*) FILTER (NOT model) AS n_neg, sum(k) FILTER (model) AS ranks FROM k GROUP BY register, side, rule),
+auc AS (SELECT register, side, rule, n_pos, n_neg, CASE WHEN n_pos > 0 AND n_neg > 0 THEN round((ranks - n_pos * (n_pos + 1) / 2.0) / (n_pos * n_neg), 9)::DOUBLE END AS auc FROM a)"""
+_BANDS = f"{_FLOORS}, g AS (SELECT register, floor, count(*) FILTER (confidence >= floor) AS n, count(*) FILTER (confidence >= floor AND flagged = flagged_again) AS agreed FROM s CROSS JOIN f GROUP BY register, floor)"
+_TURNED = f"""o AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn, text) AS place FROM conversations WHERE text IS NOT NULL),
+w AS (SELECT role, {_PLAIN.format("h.text")} AS xa, {_PLAIN.format("m.text")} AS xb FROM (SELECT * FROM o WHERE place = 1 AND role <> 'user') m JOIN (SELECT conv_id, text FROM o WHERE place = 1 AND role = 'user') h USING (conv_id)),
+v AS (SELECT least(1::DOUBLE, greatest(0::DOUBLE, 0.5::DOUBLE + (xa - xb) / 2 + {PARTIAL.favour}::DOUBLE)) AS pa, least(1::DOUBLE, greatest(0::DOUBLE, 0.5::DOUBLE + (xb - xa) / 2 + {PARTIAL.favour}::DOUBLE)) AS pb FROM w),
+c AS (SELECT 1 - pa >= 0.5 AS keep, pb >= 0.5 AS keep_again, least(abs(2 * pa - 1), abs(2 * pb - 1)) AS sure FROM v),
+fl AS (SELECT 'chat' AS register, floor, count(*) FILTER (sure >= floor) AS n, count(*) FILTER (sure >= floor AND keep <> keep_again) AS flipped FROM c CROSS JOIN f GROUP BY floor)"""
+_ADDED = ", ".join("'" + t.replace("'", "''") + "'" for t in SENTENCES)
+_HITS = " UNION ALL ".join(f"SELECT '{r.id}' AS rule, family, slop, {sql_count(r, 'chr(10) || chr(10) || sentence')} > 0 AS hit FROM l" for r in DEFAULT)
 ORACLE_SQL: dict[str, str] = {
+    "judge_catalog": "SELECT * FROM (VALUES " + ", ".join(f"({i}::INT, {_text(q.id)}, {_text(q.unit)}, {_text(q.severity)}, {_text(q.confidence)}, {_text(q.excerpt)}, {_text(q.instructions)}, {_text(' | '.join(q.levels))}, {_text(q.message)}, {_text(q.suggestion)})" for i, q in enumerate(QUESTIONS)) + ") t(ord, id, unit, severity, confidence, excerpt, instructions, levels, message, suggestion)",
     "compare_turns": f"WITH p AS (SELECT concat_ws('/', conv_id, turn, role) AS pair_id, text AS a, lead(text) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS b FROM conversations), q AS (SELECT pair_id, {_PLAIN.format('b')} - {_PLAIN.format('a')} AS d FROM p WHERE b IS NOT NULL) SELECT pair_id, CASE WHEN d >= 0 THEN 'B' ELSE 'A' END AS keep, round(0.5 + d / 2, 6)::DOUBLE AS p_keep_b, round(abs(d), 6)::DOUBLE AS keep_confidence FROM q",
-    "flip_rates": f"WITH {_RUNS}, f AS (SELECT unnest([" + ", ".join(f"{x}::DOUBLE" for x in FLOORS) + "]) AS floor), s AS (SELECT source, floor, count(*) FILTER (confidence >= floor) AS n, count(*) FILTER (confidence >= floor AND NOT same) AS flipped FROM j CROSS JOIN f GROUP BY source, floor) SELECT source, floor, n, flipped, CASE WHEN n > 0 THEN round(flipped / n, 9)::DOUBLE END AS rate FROM s",
-    "gate_lines": f"WITH {_RUNS}, s AS (SELECT count(*) AS n, count(*) FILTER (NOT same) / nullif(count(*), 0) AS f FROM j WHERE confidence >= {FLOORS[0]}) SELECT 'auc' AS gate, 'no-news' AS subject, 'ok' AS status, 0.42::DOUBLE AS value, NULL::BIGINT AS n UNION ALL SELECT 'auc', 'names-nothing', 'FAIL', 0.51, NULL UNION ALL SELECT 'flip', 'compare', CASE WHEN n < {GATE_PAIRS} THEN 'n/a' WHEN f < {GATE_FLIP} THEN 'ok' ELSE 'FAIL' END, round(f, 9), n FROM s UNION ALL SELECT 'agreement', 'check', CASE WHEN 1 - f >= {GATE_AGREE} THEN 'ok' ELSE 'FAIL' END, round(1 - f, 9), n FROM s",
-    "label_totals": f"WITH {_sql_documents()}, l AS (SELECT source AS family, doc_id % 2 = 0 AS slop, text, CASE doc_id % {len(ORDER)} {_SENTENCES} END AS sentence FROM d), h AS ({_HITS}) SELECT rule, family, count(*) FILTER (slop AND hit) AS slop_hit, count(*) FILTER (slop) AS slop_all, count(*) FILTER (NOT slop AND NOT hit) AS plain_pass, count(*) FILTER (NOT slop) AS plain_all FROM h WHERE known GROUP BY rule, family",
+    "turn_scores": f"WITH {_SCORES} SELECT * FROM s",
+    "role_auc": f"WITH {_SCORES}, {_AUC} SELECT * FROM auc",
+    "flag_table": f"WITH {_SCORES} SELECT register, side, rule, count(*) FILTER (flagged AND confidence >= {MEDIUM}) AS n_flagged, count(*) AS n FROM s GROUP BY register, side, rule",
+    "run_agreement": f"WITH {_SCORES}, {_BANDS} SELECT register, floor, n, agreed, CASE WHEN n > 0 THEN round(agreed / n, 9)::DOUBLE END AS rate FROM g",
+    "flip_rates": f"WITH {_FLOORS}, {_TURNED} SELECT register, floor, n, flipped, CASE WHEN n > 0 THEN round(flipped / n, 9)::DOUBLE END AS rate FROM fl",
+    "gate_lines": f"WITH {_SCORES}, {_AUC}, {_BANDS}, {_TURNED} SELECT 'auc' AS gate, rule AS subject, CASE WHEN auc < {GATE_AUC} THEN 'ok' ELSE 'FAIL' END AS status, auc AS value, NULL::BIGINT AS n FROM auc WHERE side = 'assistant' AND rule IN {GATED} UNION ALL SELECT 'flip', 'compare', CASE WHEN n < {GATE_PAIRS} THEN 'n/a' WHEN flipped / n < {GATE_FLIP} THEN 'ok' ELSE 'FAIL' END, CASE WHEN n > 0 THEN round(flipped / n, 9) END, n FROM fl WHERE floor = {FLOORS[0]} UNION ALL SELECT 'agreement', 'check', CASE WHEN agreed / nullif(n, 0) >= {GATE_AGREE} THEN 'ok' ELSE 'FAIL' END, round(agreed / nullif(n, 0), 9), n FROM g WHERE floor = {FLOORS[0]}",
+    "label_totals": f"WITH {SQL_DOCUMENTS}, l AS (SELECT source AS family, doc_id % 2 = 0 AS slop, ([{_ADDED}])[(doc_id % {len(SENTENCES)} + 1)::INT] AS sentence FROM d WHERE text IS NOT NULL), h AS ({_HITS}) SELECT rule, family, count(*) FILTER (slop AND hit) AS slop_hit, count(*) FILTER (slop) AS slop_all, count(*) FILTER (NOT slop AND NOT hit) AS plain_pass, count(*) FILTER (NOT slop) AS plain_all FROM h GROUP BY rule, family",
 }

@@ -1,71 +1,50 @@
-"""Queries over the driver's tables. The texts hold none of the phrases, so each query adds the rules' own examples by
-id, in the same way in Spark and in SQL; a rule's example goes to every SPREAD-th document."""
+"""Queries over the driver's tables. The texts hold none of the phrases, so each document has one more paragraph, by its id:
+a sentence of our own for or against a rule, the same in Spark and in SQL. The SQL of a rule is derived from the rule."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from tellscan.functions.catalog import BY_ID, RULES, catalog, select_rules
+from tellscan.functions.catalog import BY_ID, RULES, Rule, catalog, select_rules
 from tellscan.functions.examples import CASES
-from tellscan.operators.calibrate import FLOORS, agreement, auc
+from tellscan.operators.calibrate import auc
 from tellscan.operators.report import json_by_document
-from tellscan.operators.scan import blank_markdown, counts, scan
+from tellscan.operators.scan import MARKDOWN_NOISE, blank_markdown, counts, folded, n_notes, scan
 from tellscan.operators.split import paragraphs, split
+from tellscan.plans.rule_sql import NONE, is_plain, sql_count, sql_notes
 
-SPREAD = 7
-#: A sentence of our own for each rule that SQL can count too, and the pattern in a dialect without lookaround.
-EXAMPLES = {
-    "no-x-no-y": ("The shop had no bread, no milk, no eggs today.", r"(?i)\bno\s+[\w'-]+,\s+no\s+[\w'-]+(?:,?\s+(?:and\s+)?no\s+[\w'-]+)*"),
-    "did-not-x-did-not-y": ("He did not call, did not write and did not visit.", r"(?i)\b(?:did\s+not|didn't)\s+[\w'-]+(?:,?\s+(?:and\s+)?(?:did\s+not|didn't)\s+[\w'-]+)+"),
-    "cleanly": ("The road forks cleanly into two.", r"(?i)\bcleanly\s+(?:in(?:to|\s+(?:two|three|half))|onto)\b"),
-    "you-already-know": ("As you already know, trains run late.", r"(?i)\byou\s+already\s+know\b"),
-    "is-the-entire": ("Speed is the entire point of it.", r"(?i)\bis\s+the\s+entire\s+(?:point|game|thing|business\s+model|deal|story)\b"),
-    "the-entire-is": ("The entire game is patience.", r"(?i)\bthe\s+entire\s+(?:point|game|thing|business\s+model|deal|story)\s+is\b"),
-    "is-real-and-not": ("The cost is real, but small.", r"(?i)\bis\s+real,?\s+(?:and|but|not)\b"),
-    "the-punchline-is": ("The punchline: nobody came.", r"(?i)\bthe\s+(?:punchline|honest\s+(?:answer|version))\s*(?:is\b|[:?])"),
-    "thats-how-x": ("Water froze. That is how pipes burst.", r"(?i)(?:\A|[.!?]\s+|\n\s*\n)\s*(?:that|this)(?:'s| is)\s+how\b"),
-    "is-is": ("The trouble is is that it rains.", r"(?i)\bis,?\s+is\b"),
-    "earns-its-place": ("The appendix earns its place.", r"(?i)\b(?:earns?|earned|earning)\s+(?:its|their|his|her)\s+(?:place|keep)\b"),
-    "does-a-lot-of-work": ("That comma does a lot of heavy lifting.", r"(?i)\b(?:does|do|doing|did)\s+a\s+lot\s+of\s+(?:heavy\s+lifting\b|work\s+(?:here|in\s+th(?:at|is))\b)"),
-    "failure-mode-here": ("The failure mode here is haste.", r"(?i)\bthe\s+failure\s+mode\s+here\s+is\b"),
-    "right-up-until": ("It works right up until it breaks.", r"(?i)\bright\s+up\s+until\s+it\s+(?:doesn'?t|isn'?t|stops|breaks)\b"),
-    "two-things-true": ("Two things can be true.", r"(?i)\b(?:two|both)\s+things\s+(?:can\s+(?:both\s+)?be|are)\s+true\b"),
-    "none-of-this-is-to-say": ("None of this is to say it failed.", r"(?i)\bnone\s+of\s+(?:this|that|the\s+above)\s+is\s+to\s+say\b"),
-    "genuinely": ("A genuinely cold day.", r"(?i)\bgenuinely\b"),
-    "stands-serves-as": ("The barn serves as a school.", r"(?i)\b(?:stands|serves)\s+as\b|\bis\s+a\s+(?:testament|reminder)\s+to\b"),
-    "vital-role": ("Salt plays a vital role there.", r"(?i)\bplays?\s+a\s+(?:vital|crucial|pivotal|significant|key|central)\s+role\b"),
-    "rich-tapestry": ("The valley is a rich tapestry.", r"(?i)\brich\s+tapestry\b|\btapestry\s+of\b"),
-    "em-dash": ("The door — green — was shut.", "—"),
-    "vague-attribution": ("Some critics argue it leaks.", r"(?i)\bsome\s+(?:critics|experts|observers|scholars|analysts)\s+(?:argue|say|believe|contend|maintain)\b|\bit\s+is\s+widely\s+(?:regarded|considered|seen|believed|acknowledged)\b|\bmany\s+would\s+argue\b"),
-}
-ORDER = list(EXAMPLES)
-DEFAULT = [BY_ID[i] for i in ORDER if BY_ID[i].confidence != "low"]
+DEFAULT = select_rules()
+SENTENCES = [t for pair in CASES.values() for t in pair]
+#: How many documents of a rule, source and side are shown.
+FIRST = 5
+#: Fixed value: words in a row that two texts may not share.
+SHINGLE = 6
 
 
 def spread(docs: DataFrame) -> DataFrame:
-    """docs dealt to all cores where the files give fewer parts: matching costs far more than moving the texts once."""
-    cores = docs.sparkSession.sparkContext.defaultParallelism
-    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+    """docs dealt anew to as many parts as a shuffle has: matching costs far more than moving the texts once."""
+    return docs.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents, each with one more paragraph: an example or a counterexample of a rule, by id."""
     docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source"))
-    added = F.coalesce(*[F.when(F.col("doc_id") % len(ORDER) == k, F.lit("\n\n" + EXAMPLES[i][0])) for k, i in enumerate(ORDER)])
-    return docs.withColumn("text", F.when(F.col("doc_id") % SPREAD < 3, F.concat("text", added)).otherwise(F.col("text")))
+    added = F.element_at(F.array(*map(F.lit, SENTENCES)), (F.pmod("doc_id", F.lit(len(SENTENCES))) + 1).cast("int"))
+    return docs.withColumn("text", F.concat("text", F.lit("\n\n"), added))
 
 
-def _sql_documents() -> str:
-    cases = " ".join(f"WHEN {k} THEN chr(10) || chr(10) || '{EXAMPLES[i][0]}'" for k, i in enumerate(ORDER))
-    return f"d AS (SELECT doc_id, lang, source, CASE WHEN doc_id % {SPREAD} < 3 THEN text || CASE doc_id % {len(ORDER)} {cases} END ELSE text END AS text FROM documents)"
+def sided(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents with a side: what the labels say of their quality, or none."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.when(F.col("quality") == 1, "good").when(F.col("quality") == 0, "bad").alias("label"))
+    return documents(spark, sf_dir).join(labels, "doc_id", "left").withColumn("side", F.coalesce("label", F.lit("none"))).drop("label")
 
 
-def _sql_count(rule: str) -> str:
-    pattern = EXAMPLES[rule][1].replace("'", "''")
-    return f"coalesce(len(regexp_extract_all(text, '{pattern}')), 0)::BIGINT"
+_ADDED = ", ".join("'" + t.replace("'", "''") + "'" for t in SENTENCES)
+SQL_DOCUMENTS = f"d AS (SELECT doc_id, lang, source, text || chr(10) || chr(10) || ([{_ADDED}])[(doc_id % {len(SENTENCES)} + 1)::INT] AS text FROM documents)"
+SQL_SIDED = f"{SQL_DOCUMENTS}, e AS (SELECT d.*, CASE quality WHEN 1 THEN 'good' WHEN 0 THEN 'bad' ELSE 'none' END AS side FROM d LEFT JOIN labels USING (doc_id))"
 
 
 def rule_query(rule: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -75,49 +54,64 @@ def rule_query(rule: str) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
-def guarded_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents, each with one more paragraph: a guarded rule's example or counterexample, by id."""
-    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source"))
-    added = F.array(*[F.lit(t) for pair in CASES.values() for t in pair])
-    return docs.withColumn("text", F.concat("text", F.lit("\n\n"), F.element_at(added, (F.pmod("doc_id", F.size(added)) + 1).cast("int"))))
-
-
-def guarded_rule_query(rule: str) -> Callable[[SparkSession, str], DataFrame]:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return counts(guarded_documents(spark, sf_dir), [BY_ID[rule]]).select("doc_id", F.col("n").alias("n_notes"))
-
-    return run
+def _total(rules: Sequence[Rule]) -> Column:
+    return sum((n_notes(F.col("text"), r, F.col("low")) for r in rules), F.lit(0).cast("long"))
 
 
 def notes_by_document(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, n_notes, n_errors for every document, those without notes included."""
-    docs = documents(spark, sf_dir)
-    per_rule = counts(docs, DEFAULT)
-    errors = F.col("rule").isin([r.id for r in DEFAULT if r.severity == "error"])
-    got = per_rule.groupBy("doc_id").agg(F.sum("n").alias("n_notes"), F.sum(F.when(errors, F.col("n")).otherwise(0)).alias("n_errors"))
-    return docs.select("doc_id").join(got, "doc_id", "left").select("doc_id", F.coalesce("n_notes", F.lit(0)).alias("n_notes"), F.coalesce("n_errors", F.lit(0)).alias("n_errors"))
+    """doc_id, n_notes, n_errors for every document, of all rules that aren't low; those without notes are included."""
+    docs = documents(spark, sf_dir).withColumn("low", folded(F.col("text")))
+    parts = {s: [r for r in DEFAULT if (r.severity == "error") == s] for s in (True, False)}
+    counted = docs.select("doc_id", _total(parts[True]).alias("n_errors"), _total(parts[False]).alias("others"))
+    return counted.select("doc_id", (F.col("n_errors") + F.col("others")).alias("n_notes"), "n_errors")
 
 
 def notes_per_1k_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
-    words = F.size(F.filter(F.split("text", r"[\x09-\x0D ]+"), lambda w: w != ""))
-    n = sum((F.regexp_count("text", F.lit(r.regex)) for r in DEFAULT), F.lit(0))
-    got = docs.groupBy("source").agg(F.sum(words).alias("words"), F.sum(n).alias("notes"))
+    """source, side, words, notes, per_1k: notes of all rules that aren't low for each thousand words."""
+    docs = sided(spark, sf_dir).withColumn("low", folded(F.col("text")))
+    words = F.coalesce(F.regexp_count("text", F.lit(r"[^\x09-\x0D ]+")), F.lit(0))
+    got = docs.groupBy("source", "side").agg(F.sum(words.cast("long")).alias("words"), F.sum(_total(DEFAULT)).alias("notes"))
     return got.withColumn("per_1k", F.when(F.col("words") > 0, F.round(1000 * F.col("notes") / F.col("words"), 6)).otherwise(F.lit(0.0)))
 
 
+def _first(rows: DataFrame, group: list[str], hit: Column) -> DataFrame:
+    """group, place and hit's fields: the FIRST least hits of each group.
+
+    Each part sends its own FIRST, so no group is sorted or gathered as a whole.
+    """
+    some = rows.groupBy(*group, F.spark_partition_id().alias("part")).agg(F.sort_array(F.collect_list(hit)).alias("hits"))
+    merged = some.withColumn("hits", F.slice("hits", 1, FIRST)).groupBy(*group).agg(F.slice(F.sort_array(F.flatten(F.collect_list("hits"))), 1, FIRST).alias("hits"))
+    return merged.select(*group, F.posexplode("hits").alias("place", "hit")).select(*group, (F.col("place") + 1).alias("place"), "hit.*")
+
+
 def first_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first five documents of each rule and source with notes."""
-    docs = documents(spark, sf_dir)
-    hits = counts(docs, DEFAULT).where("n > 0").join(docs.select("doc_id", "source"), "doc_id")
-    at = Window.partitionBy("rule", "source").orderBy("doc_id")
-    return hits.withColumn("place", F.row_number().over(at)).where("place <= 5").select("rule", "source", "doc_id", "n", "place")
+    """rule, source, side, place, doc_id, n: the first FIRST documents with notes of each rule, source and side."""
+    docs = sided(spark, sf_dir).withColumn("low", folded(F.col("text")))
+    hits = F.array(*[F.struct(F.lit(r.id).alias("rule"), n_notes(F.col("text"), r, F.col("low")).alias("n")) for r in DEFAULT])
+    each = docs.select("doc_id", "source", "side", F.inline(F.filter(hits, lambda h: h["n"] > 0)))
+    return _first(each, ["rule", "source", "side"], F.struct("doc_id", "n"))
+
+
+def first_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """rule, side, place, doc_id, line, column, context: the first FIRST notes of each rule and side."""
+    docs = sided(spark, sf_dir).select(F.struct("doc_id", "side").alias("doc"), "text")
+    found = scan(docs, DEFAULT, key="doc").select("rule", "doc.side", "doc.doc_id", "line", "column", "context")
+    return _first(found, ["rule", "side"], F.struct("doc_id", "line", "column", "context"))
 
 
 def all_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(documents(spark, sf_dir), list(RULES))
 
 
+def plain_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, rule, line, column, excerpt, context, count: the notes of the rules whose matches SQL can place."""
+    return scan(documents(spark, sf_dir), PLAIN).select("doc_id", "rule", "line", "column", "excerpt", "context", "count", "message")
+
+
+#: Rules that need no look-around but for their gaps.
+PLAIN = [r for r in RULES if r.id not in NONE and is_plain(r)]
+
+
 def rule_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog(spark)
 
@@ -132,6 +126,12 @@ def paragraph_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", F.size(found).cast("long").alias("n_paragraphs"))
 
 
+def paragraph_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, paragraph, offset, length, text of the blocks between blank lines."""
+    found = documents(spark, sf_dir).select("doc_id", F.posexplode(paragraphs(F.col("text"))).alias("paragraph", "p"))
+    return found.select("doc_id", "paragraph", "p.offset", "p.length", "p.text")
+
+
 def paragraph_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split(documents(spark, sf_dir))
 
@@ -141,42 +141,71 @@ def notes_as_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How well the length of a text tells good documents from bad, by source."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", F.col("n_chars").alias("score"))
-    sides = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", (F.col("quality") == 1).alias("good"))
-    return auc(docs.join(sides, "doc_id"), "source", "score", "good")
+    """How well notes for each thousand words tell bad documents from good, by source."""
+    docs = sided(spark, sf_dir).where("side <> 'none'").withColumn("low", folded(F.col("text")))
+    words = F.coalesce(F.regexp_count("text", F.lit(r"[^\x09-\x0D ]+")), F.lit(0))
+    rated = docs.select("source", (F.col("side") == "bad").alias("bad"), F.when(words > 0, F.round(1000 * _total(DEFAULT) / words, 6)).alias("rate"))
+    return auc(rated, "source", "rate", "bad")
+
+
+def note_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """category, n_rules, n_notes over all rules that aren't low."""
+    docs = documents(spark, sf_dir).withColumn("low", folded(F.col("text")))
+    each = F.array(*[F.struct(F.lit(r.category).alias("category"), F.lit(r.id).alias("rule"), n_notes(F.col("text"), r, F.col("low")).alias("n")) for r in DEFAULT])
+    found = docs.select(F.inline(F.filter(each, lambda h: h["n"] > 0))).groupBy("category", "rule").agg(F.sum("n").alias("n"))
+    return found.groupBy("category").agg(F.count("*").alias("n_rules"), F.sum("n").alias("n_notes"))
+
+
+def shared_shingles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_shared: how many different runs of SHINGLE words a document has in common with any benchmark item."""
 
+    def runs(table: str, key: str) -> DataFrame:
+        words = F.regexp_extract_all(F.lower("text"), F.lit(r"[^\x09-\x0D ]+"), F.lit(0))
+        rows = spark.read.parquet(f"{sf_dir}/{table}.parquet").select(key, words.alias("w")).where(F.size("w") >= SHINGLE)
+        return rows.select(key, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - (SHINGLE - 1)), lambda i: F.array_join(F.slice("w", i, SHINGLE), " ")))).alias("run"))
 
-def label_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How often both labels are the same, by source and confidence; the confidence is made up from the id."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source")
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality", "toxic", (F.col("doc_id") * 37 % 101 / 100).alias("confidence"))
-    return agreement(docs.join(labels, "doc_id"), "source", "confidence", "quality", "toxic")
+    return runs("documents", "doc_id").join(runs("benchmark", "item_id").select("run").distinct(), "run", "left_semi").groupBy("doc_id").agg(F.count("*").alias("n_shared"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    **{f"rule_{i.replace('-', '_')}": rule_query(i) for i in ORDER},
-    **{f"rule_{i.replace('-', '_')}": guarded_rule_query(i) for i in CASES},
+    **{f"rule_{r.id.replace('-', '_')}": rule_query(r.id) for r in RULES},
     "notes_by_document": notes_by_document,
     "notes_per_1k_words": notes_per_1k_words,
     "first_hits": first_hits,
+    "first_notes": first_notes,
     "all_notes": all_notes,
+    "plain_notes": plain_notes,
     "rule_catalog": rule_catalog,
     "blanked_pages": blanked_pages,
     "paragraph_counts": paragraph_counts,
+    "paragraph_spans": paragraph_spans,
     "paragraph_sentences": paragraph_sentences,
     "notes_as_json": notes_as_json,
     "quality_auc": quality_auc,
-    "label_agreement": label_agreement,
+    "note_categories": note_categories,
+    "shared_shingles": shared_shingles,
 }
 _ALL = " + ".join(f"n{k}" for k, _ in enumerate(DEFAULT))
 _ERRORS = " + ".join(f"n{k}" for k, r in enumerate(DEFAULT) if r.severity == "error")
-_COUNTED = f"WITH {_sql_documents()}, e AS (SELECT doc_id, source, text, " + ", ".join(f"{_sql_count(r.id)} AS n{k}" for k, r in enumerate(DEFAULT)) + " FROM d)"
+_COUNTS = ", ".join(f"{sql_count(r)} AS n{k}" for k, r in enumerate(DEFAULT))
 ORACLE_SQL: dict[str, str] = {
-    **{f"rule_{i.replace('-', '_')}": f"WITH {_sql_documents()} SELECT doc_id, {_sql_count(i)} AS n_notes FROM d" for i in ORDER},
-    "notes_by_document": f"{_COUNTED} SELECT d.doc_id, coalesce({_ALL}, 0)::BIGINT AS n_notes, coalesce({_ERRORS}, 0)::BIGINT AS n_errors FROM d LEFT JOIN e USING (doc_id)",
-    "notes_per_1k_words": f"{_COUNTED}, s AS (SELECT source, sum(len(list_filter(regexp_split_to_array(text, '[\\x09-\\x0D ]+'), lambda w: w <> '')))::BIGINT AS words, sum({_ALL})::BIGINT AS notes FROM e GROUP BY source) SELECT source, words, notes, CASE WHEN words > 0 THEN round(1000 * notes / words, 6) ELSE 0 END AS per_1k FROM s",
-    "paragraph_counts": f"WITH {_sql_documents()} SELECT doc_id, coalesce(len(list_filter(regexp_split_to_array(text, '\\r?\\n[ \\t\\x{{00A0}}]*\\r?\\n'), lambda p: regexp_matches(p, '[^ \\t\\n\\v\\f\\r]'))), -1)::BIGINT AS n_paragraphs FROM d",
-    "quality_auc": "WITH j AS (SELECT source, n_chars AS score, quality = 1 AS good FROM documents JOIN labels USING (doc_id) WHERE n_chars IS NOT NULL AND quality IS NOT NULL), r AS (SELECT source, good, rank() OVER (PARTITION BY source ORDER BY score) + (count(*) OVER (PARTITION BY source, score) - 1) / 2.0 AS r FROM j), s AS (SELECT source, count(*) FILTER (good) AS n_pos, count(*) FILTER (NOT good) AS n_neg, sum(r) FILTER (good) AS ranks FROM r GROUP BY source) SELECT source, n_pos::BIGINT AS n_pos, n_neg::BIGINT AS n_neg, CASE WHEN n_pos > 0 AND n_neg > 0 THEN round((ranks - n_pos * (n_pos + 1) / 2.0) / (n_pos * n_neg), 9)::DOUBLE END AS auc FROM s",
-    "label_agreement": "WITH j AS (SELECT source, quality IS NOT DISTINCT FROM toxic AS same, (doc_id * 37 % 101) / 100.0::DOUBLE AS confidence FROM documents JOIN labels USING (doc_id)), f AS (SELECT unnest([" + ", ".join(f"{x}::DOUBLE" for x in FLOORS) + "]) AS floor), s AS (SELECT source, floor, count(*) FILTER (confidence >= floor) AS n, count(*) FILTER (confidence >= floor AND same) AS agreed FROM j CROSS JOIN f GROUP BY source, floor) SELECT source, floor, n, agreed, CASE WHEN n > 0 THEN round(agreed / n, 9)::DOUBLE END AS rate FROM s",
+    **{f"rule_{r.id.replace('-', '_')}": f"WITH {SQL_DOCUMENTS} SELECT doc_id, {sql_count(r)} AS n_notes FROM d" for r in RULES if r.id not in NONE},
+    "notes_by_document": f"WITH {SQL_DOCUMENTS}, c AS (SELECT doc_id, {_COUNTS} FROM d) SELECT doc_id, {_ALL} AS n_notes, {_ERRORS} AS n_errors FROM c",
+    "notes_per_1k_words": f"WITH {SQL_SIDED}, c AS (SELECT source, side, coalesce(len(regexp_extract_all(text, '[^\x09-\x0D ]+')), 0) AS w, {_COUNTS} FROM e), s AS (SELECT source, side, sum(w)::BIGINT AS words, sum({_ALL})::BIGINT AS notes FROM c GROUP BY source, side) SELECT source, side, words, notes, CASE WHEN words > 0 THEN round(1000 * notes / words, 6) ELSE 0 END AS per_1k FROM s",
+    "first_hits": f"WITH {SQL_SIDED}, h AS (" + " UNION ALL ".join(f"SELECT '{r.id}' AS rule, source, side, doc_id, {sql_count(r)} AS n FROM e" for r in DEFAULT) + f"), p AS (SELECT *, row_number() OVER (PARTITION BY rule, source, side ORDER BY doc_id)::INT AS place FROM h WHERE n > 0) SELECT rule, source, side, place, doc_id, n FROM p WHERE place <= {FIRST}",
+    "plain_notes": f"WITH {SQL_DOCUMENTS} " + " UNION ALL ".join(sql_notes(r) for r in PLAIN),
+    "rule_catalog": "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join([f"{i}::INT", *("NULL::VARCHAR" if v is None else "'" + v.replace("'", "''") + "'" for v in (r.id, r.category, r.severity, r.confidence, r.message, r.suggestion, r.rationale))]) + ")" for i, r in enumerate(RULES)) + ") t(ord, id, category, severity, confidence, message, suggestion, rationale)",
+    "blanked_pages": f"SELECT page_id, array_to_string(list_transform(string_split(regexp_replace(html, '{MARKDOWN_NOISE.replace('(?md)', '(?m)')}', chr(1) || '\\0' || chr(2), 'g'), chr(1)), lambda x: CASE WHEN contains(x, chr(2)) THEN regexp_replace(split_part(x, chr(2), 1), '[^\\n]', ' ', 'g') || split_part(x, chr(2), 2) ELSE x END), '') AS blanked FROM pages",
+    "paragraph_spans": f"""WITH {SQL_DOCUMENTS}, x AS (SELECT doc_id, string_split(regexp_replace(text, '\\r?\\n[ \\t\\x{{00A0}}]*\\r?\\n', chr(1) || '\\0' || chr(2), 'g'), chr(1)) AS x FROM d WHERE text IS NOT NULL),
+      y AS (SELECT doc_id, i, x[i] AS piece, length(replace(array_to_string(x[1:i - 1], ''), chr(2), '')) AS base FROM (SELECT *, unnest(range(1, len(x) + 1)) AS i FROM x)),
+      z AS (SELECT doc_id, i, CASE WHEN i > 1 THEN split_part(piece, chr(2), 2) ELSE piece END AS body, base + CASE WHEN i > 1 THEN length(split_part(piece, chr(2), 1)) ELSE 0 END AS base FROM y),
+      t AS (SELECT doc_id, i, base + length(body) - length(regexp_replace(body, '\\A[\\s\\v\\x00]+', '')) AS "offset", regexp_replace(body, '\\A[\\s\\v\\x00]+|[\\s\\v\\x00]+\\z', '', 'g') AS text FROM z)
+      SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INT AS paragraph, "offset"::INT AS "offset", length(text)::INT AS length, text FROM t WHERE text <> ''""",
+    "paragraph_counts": f"WITH {SQL_DOCUMENTS} SELECT doc_id, coalesce(len(list_filter(regexp_split_to_array(text, '\\r?\\n[ \\t\\x{{00A0}}]*\\r?\\n'), lambda p: regexp_matches(p, '[^ \\t\\n\\v\\f\\r]'))), -1)::BIGINT AS n_paragraphs FROM d",
+    "quality_auc": f"WITH {SQL_SIDED}, c AS (SELECT source, side = 'bad' AS bad, coalesce(len(regexp_extract_all(text, '[^\\x09-\\x0D ]+')), 0) AS w, {_COUNTS} FROM e WHERE side <> 'none'), j AS (SELECT source, bad, round(1000 * ({_ALL}) / w, 6) AS score FROM c WHERE w > 0), r AS (SELECT source, bad, rank() OVER (PARTITION BY source ORDER BY score) + (count(*) OVER (PARTITION BY source, score) - 1) / 2.0 AS r FROM j), s AS (SELECT source, count(*) FILTER (bad) AS n_pos, count(*) FILTER (NOT bad) AS n_neg, sum(r) FILTER (bad) AS ranks FROM r GROUP BY source) SELECT source, n_pos::BIGINT AS n_pos, n_neg::BIGINT AS n_neg, CASE WHEN n_pos > 0 AND n_neg > 0 THEN round((ranks - n_pos * (n_pos + 1) / 2.0) / (n_pos * n_neg), 9)::DOUBLE END AS auc FROM s",
+    "note_categories": f"WITH {SQL_DOCUMENTS}, h AS (" + " UNION ALL ".join(f"SELECT '{r.category}' AS category, '{r.id}' AS rule, sum({sql_count(r)})::BIGINT AS n FROM d" for r in DEFAULT) + ") SELECT category, count(*) AS n_rules, sum(n)::BIGINT AS n_notes FROM h WHERE n > 0 GROUP BY category",
+    "shared_shingles": " ".join(f"""WITH a AS (SELECT doc_id, regexp_extract_all(lower(text), '[^\\x09-\\x0D ]+') AS w FROM documents), b AS (SELECT regexp_extract_all(lower(text), '[^\\x09-\\x0D ]+') AS w FROM benchmark),
+      x AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + {SHINGLE - 1}], ' ') AS run FROM (SELECT doc_id, w, unnest(range(1, len(w) - {SHINGLE - 2})) AS i FROM a WHERE len(w) >= {SHINGLE})),
+      y AS (SELECT DISTINCT array_to_string(w[i:i + {SHINGLE - 1}], ' ') AS run FROM (SELECT w, unnest(range(1, len(w) - {SHINGLE - 2})) AS i FROM b WHERE len(w) >= {SHINGLE}))
+      SELECT doc_id, count(*) AS n_shared FROM x JOIN y USING (run) GROUP BY doc_id""".split()),
 }

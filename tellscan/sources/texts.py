@@ -14,6 +14,14 @@ def whole_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return raw.select("path", F.when(F.is_valid_utf8(F.col("content").cast("string")), body).otherwise(bad.cast("string")).alias("text"))
 
 
+def one_text(spark: SparkSession, raw: bytes, path: str = "-") -> DataFrame:
+    """(path, text) of bytes that were read already, as from standard input; bytes that aren't UTF-8 are an error."""
+    try:
+        return spark.createDataFrame([(path, raw.decode())], "path string, text string")
+    except UnicodeDecodeError as e:
+        raise ValueError(f"{path} is not valid UTF-8") from e
+
+
 def require_text(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs, or an error if every text is blank."""
     if docs.where(F.regexp_like(F.coalesce(F.col(text_col), F.lit("")), F.lit(r"\S"))).isEmpty():

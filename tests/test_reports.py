@@ -35,7 +35,7 @@ def test_reports(spark):
     found = json.loads(got[0].json)
     assert [(n["rule"], n["line"]) for n in found] == [("rich-tapestry", 1), ("genuinely", 2), ("em-dash", 2)] and "count" not in found[0]
     first = as_text(notes).orderBy("line", "column").first().report.split("\n")
-    assert first[0].startswith("0:1:7: error (high confidence) rich-tapestry  ") and [x[:10] for x in first[1:]] == ["    excerp", "    why: ", "    fix: S"]
+    assert first[0].startswith("0:1:7: error (high confidence) rich-tapestry  ") and [x[:10] for x in first[1:]] == ["    excerp", "    why: P", "    fix: N"]
     assert low_notes(notes).first().n == 1
 
 
