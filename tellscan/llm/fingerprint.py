@@ -159,7 +159,8 @@ def _told_apart(found: DataFrame, rows: DataFrame, make: Callable[[str], str]) -
     ranks = clashes.select("key", F.posexplode("forms").alias("rank", "canon"))
     named = rows.mapInArrow(_forms(make, True), "fingerprint string, canon string, text_sha256 string")
     tags = named.join(ranks, [named.fingerprint == ranks.key, named.canon == ranks.canon]).select(named.text_sha256, F.concat("key", F.lit("-"), "rank").alias("tagged")).distinct()
-    return found.join(tags, "text_sha256", "left").withColumn("fingerprint", F.coalesce("tagged", "fingerprint")).select(*FIELDS)
+    told = found.join(tags, "text_sha256", "left").withColumn("fingerprint", F.coalesce("tagged", "fingerprint"))
+    return told.withColumn("edited_fingerprint", F.when(F.col("near_edited") == 1, F.col("fingerprint")).otherwise(F.col("edited_fingerprint"))).select(*FIELDS)
 
 
 def _forms(make: Callable[[str], str], with_sha: bool = False):

@@ -33,8 +33,8 @@ MIN_GRAMS = 1
 COUNT_CACHE, TOGETHER = 500_000, 1 << 16
 #: Characters of a text taken at a time, bits of a code point in a code (three fit in a long), and the blank around words.
 STEP, BITS, BLANK = 1 << 20, 21, 32
-#: keep(): documents that score less are rejected too. 0 rejects only those without letters.
-MIN_SCORE = 0.0
+#: keep() rejects a text that scores so many standard deviations less than the learning texts of its language do on average.
+DEVIATIONS = 5.0
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -219,11 +219,27 @@ def report(docs: DataFrame) -> DataFrame:
     return predict(slim, profiles(docs), keep_text=False)
 
 
-def keep(docs: DataFrame, text_col: str = "text", min_score: float = MIN_SCORE, **options) -> DataFrame:
-    """The rows of docs whose language is told: those that are "und" or score under min_score go."""
+def floors(docs: DataFrame, known: dict[str, dict[str, int]], id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", deviations: float = DEVIATIONS) -> dict[str, float]:
+    """The least score that keep() takes for each language: what its own learning texts score, less so many standard deviations; one text has none."""
+    rows = docs.where(F.col(lang_col).isNotNull() & ~held_out(id_col)).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
+    right = predict(rows, known, "text", keep_text=False).where("lang_pred = lang")
+    found = right.groupBy("lang").agg((F.avg("score") - deviations * F.coalesce(F.stddev("score"), F.lit(0.0))).alias("floor"))
+    return {r.lang: r.floor for r in found.collect()}  # a row for each language
+
+
+def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", deviations: float = DEVIATIONS, **options) -> DataFrame:
+    """The rows of docs whose language is told: "und" goes, and what scores far less than texts of the language it is taken for.
+
+    Null texts and texts without letters are "und"; so is every text when nothing was learnt. Repeated rows fare alike.
+    """
     lang, score = fresh(docs, "lang_pred"), fresh(docs, "lang_score")
-    out = predict(docs, profiles(docs, text_col=text_col, **options), text_col, lang, score)
-    return out.where((F.col(lang) != UNKNOWN) & (F.col(score) >= min_score)).drop(lang, score)
+    known = profiles(docs, id_col=id_col, text_col=text_col, lang_col=lang_col, **options)
+    least = floors(docs, known, id_col, text_col, lang_col, deviations)
+    out = predict(docs, known, text_col, lang, score)
+    floor = F.lit(0.0)
+    for name, value in least.items():
+        floor = F.when(F.col(lang) == name, F.lit(value)).otherwise(floor)
+    return out.where((F.col(lang) != UNKNOWN) & (F.col(score) >= floor - 1e-9)).drop(lang, score)
 
 
 def naive(text: str | None, known: dict[str, dict[str, int]], size: int = PROFILE, max_n: int = MAX_N) -> tuple[str, float]:

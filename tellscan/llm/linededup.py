@@ -61,12 +61,13 @@ def _text(lines: Column, code: Column) -> Column:
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, divisor: int = DIVISOR, min_lines: int = MIN_LINES, out_lines: str = "n_lines", out_removed: str = "n_removed") -> DataFrame:
-    """The rows of docs with text_col less its repeated chunks, and the numbers of lines before and removed.
+    """The rows of docs (without columns named as the two numbers) with text_col less its repeated chunks, and the numbers of lines before and removed.
 
     A null text stays null with 0 lines; an empty one is one empty line. Rows of equal id (null included) and equal
     text are the same document: they get equal results. A document may become empty; its row stays. Every line break
     beside a removed chunk but one goes with it.
     """
+    docs = docs.drop(*(c for c in docs.columns if c.lower() in (out_lines.lower(), out_removed.lower())))
     did, th, gone = (fresh(docs, c) for c in ("cdc_id", "cdc_text", "cdc_gone"))
     lines = F.split(F.col(text_col), "\n", -1)
     keyed = docs.select(F.col(id_col).alias("did"), F.xxhash64(text_col).alias("th"), lines.alias("lines")).where(F.col("lines").isNotNull())
@@ -76,7 +77,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # one row for each repeated hash; written, so that the join with it can be split where a hash is frequent
     again = save(pieces.groupBy("h").agg(F.min(place).alias("a"), F.max(place).alias("b"), F.count("*").alias("n")).where("a != b").select("h", (F.floor(F.col("n") / HOT) + 1).alias("salts")), "chunk-hashes")
     n = parallelism(docs.sparkSession)
-    maybe = pieces.join(again, "h").withColumn("salt", F.pmod(F.xxhash64("did", "th"), F.col("salts"))).repartition(n, "h", "salt")
+    maybe = pieces.join(again.hint("merge"), "h").withColumn("salt", F.pmod(F.xxhash64("did", "th"), F.col("salts"))).repartition(n, "h", "salt")
     some = maybe.groupBy("h", "salt", "body").agg(F.min(place).alias("first"), F.max("salts").alias("salts"))
     first = some.groupBy("h", "body").agg(F.min("first").alias("first"), F.max("salts").alias("salts")).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).drop("salts")
     removed = maybe.join(first, ["h", "salt", "body"]).where(place != F.col("first")).groupBy("did", "th").agg(F.collect_set("code").alias(gone))
@@ -105,6 +106,7 @@ def dedup_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Each min_lines successive lines are a piece, and a text of fewer lines is one. SHA-256 stands for a piece. Lines of a
     piece that occurred before, by (doc_id, text hash, line), go; so the first occurrence of every line stays.
     """
+    docs = docs.drop(*(c for c in docs.columns if c.lower() in (out_lines.lower(), out_removed.lower())))
     did, th, gone = (fresh(docs, c) for c in ("run_id", "run_text", "run_gone"))
     lines = F.split(F.col(text_col), "\n", -1)
     keyed = docs.select(F.col(id_col).alias("did"), F.xxhash64(text_col).alias("th"), lines.alias("lines")).where(F.col("lines").isNotNull())
@@ -117,7 +119,7 @@ def dedup_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     place = F.struct("did", "th", "start")
     # written, so that the join with it can be split where a piece is frequent
     first = save(pieces.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last").select("h", "first"), "line-pieces")
-    removed = pieces.join(first, "h").where(place != F.col("first")).groupBy("did", "th").agg(F.collect_set("start").alias(gone))
+    removed = pieces.join(first.hint("merge"), "h").where(place != F.col("first")).groupBy("did", "th").agg(F.collect_set("start").alias(gone))
     removed = removed.withColumnsRenamed({"did": did, "th": th})
     joined = docs.join(removed, docs[id_col].eqNullSafe(F.col(did)) & (F.xxhash64(docs[text_col]) == F.col(th)), "left")
 

@@ -115,12 +115,16 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """docs as drawn: each row once for each draw, with mix_epoch and mix_pos. Rows of one id are drawn alike."""
-    epoch, pos, did = (fresh(docs, c) for c in ("mix_epoch", "mix_pos", "mix_id"))
+    """docs as drawn: each row once for each draw, with mix_epoch and mix_pos.
+
+    Rows of one id, source and number of tokens are told apart by nothing, so that all of them come for the least place
+    at which one of them is drawn in an epoch; otherwise as draws(). Names that docs has already get underscores.
+    """
+    epoch, pos, did, source, size = (fresh(docs, c) for c in ("mix_epoch", "mix_pos", "mix_id", "mix_source", "mix_tokens"))
     got = draws(docs, id_col, text_col, source_col, **options)
-    once = got.select(F.col("did").alias(did), F.col("source").alias(f"{did}_source"), F.col("n_tokens").alias(f"{did}_tokens"), F.col("epoch").alias(epoch), F.col("mix_pos").alias(pos)).dropDuplicates([did, f"{did}_source", f"{did}_tokens", epoch])
-    same = docs[id_col].eqNullSafe(F.col(did)) & docs[source_col].eqNullSafe(F.col(f"{did}_source")) & (tokens(docs[text_col]) == F.col(f"{did}_tokens"))
-    return docs.join(once, same).drop(did, f"{did}_source", f"{did}_tokens")
+    once = got.groupBy(F.col("did").alias(did), F.col("source").alias(source), F.col("n_tokens").alias(size), F.col("epoch").alias(epoch)).agg(F.min("mix_pos").alias(pos))
+    same = docs[id_col].eqNullSafe(F.col(did)) & docs[source_col].eqNullSafe(F.col(source)) & (tokens(docs[text_col]) == F.col(size))
+    return docs.join(once, same).drop(did, source, size)
 
 
 ORACLE_SQL = rf"""
