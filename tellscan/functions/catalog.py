@@ -36,6 +36,8 @@ class Rule:
     prefix: str = ""
     #: What is passed over in one go where the rule doesn't match; group 2 is empty then.
     idle: str = ""
+    #: So many words in a row that must come back in a text with a match.
+    echo: int = 0
 
     @property
     def regex(self) -> str:

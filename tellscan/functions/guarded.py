@@ -75,7 +75,7 @@ GUARDED: tuple[dict, ...] = (
     _rule("is-the-whole-x", "closer", "warning", "medium", rf"(?<![\w'’-])(?!(?:that|this){NB}is{NB}the{NB}whole{NB}(?:{CLOSERS})(?![\w'’-]))(?!(?:what|which|who|where|when|how)(?![\w'’-]))[\w'’-]+{NB}is{NB}the{NB}(?:(?:whole|real|actual){NB}(?:{WHOLE_NOUNS})|entire{NB}(?!(?:point|game|thing|deal|story)(?![\w'’-]))(?:{WHOLE_NOUNS}))(?![\w'’-])", "One thing is ranked as the whole of another."),
     _rule("bare-equative", "closer", "warning", "medium", rf"The{GAP}(?:{EQUATED}){GAP}(?:here{GAP})?is(?:n['’]t|{GAP}not)?{GAP}the{GAP}(?!(?:one|same|only|first|last|best|worst|next|other|latter|former)\b)(?=[a-z])", "A definition by equation.", ignore_case=False, prefix=SENTENCE + BULLET),
     _rule("epistrophe", "cadence", "info", "low", rf"\b((?!the\b|a\b|an\b)[\w'’-]+){INDENT}([\w'’-]{{4,}}),(?:[ \t]{{1,2}}|\r?\n(?!\s*\n)[ \t]{{0,4}})(?:(?:and|but){INDENT})?(?=\w)(?:[^.,;:!?\n\s]|(?<![ \t])[ \t]{{1,2}}(?![ \t])|\r?\n(?!\s*\n)[ \t]{{0,4}}){{5,60}}?\b\3{INDENT}\4[.!?]", "Two clauses end on the same words."),
-    _rule("phrase-echo", "cadence", "info", "low", rf"(?<![{LETTER}'’-])(?=(?:[\w'’-]+{ECHO_GAP}){{0,2}}[a-z]{{6,}}(?![\w'’-]))([a-z][\w'’-]{{3,}}){ECHO_GAP}([a-z][\w'’-]{{3,}}){ECHO_GAP}([a-z][\w'’-]{{3,}})\b(?=(?>(?:{LIST_LINE}[^{LETTER}]){{1,80}}[{LETTER}]+){{0,400}}?(?:{LIST_LINE}[^{LETTER}\"“‘'`*|-]){{1,80}}\3{ECHO_GAP}\4{ECHO_GAP}\5\b)", "Three words come back within some hundred words.", ignore_case=False),
+    _rule("phrase-echo", "cadence", "info", "low", rf"(?<![{LETTER}'’-])(?=(?:[\w'’-]+{ECHO_GAP}){{0,2}}[a-z]{{6,}}(?![\w'’-]))([a-z][\w'’-]{{3,}}){ECHO_GAP}([a-z][\w'’-]{{3,}}){ECHO_GAP}([a-z][\w'’-]{{3,}})\b(?=(?>(?:{LIST_LINE}[^{LETTER}]){{1,80}}[{LETTER}]+){{0,400}}?(?:{LIST_LINE}[^{LETTER}\"“‘'`*|-]){{1,80}}\3{ECHO_GAP}\4{ECHO_GAP}\5\b)", "Three words come back within some hundred words.", ignore_case=False, echo=3),
     _rule("from-x-to-y-chain", "cadence", "warning", "high", rf"\b{FROM_TO}(?:,\s+(?:and\s+)?{FROM_TO}(?=[^\w\s'-]|\s+(?:and|or|but|in|on|at|by|with|within|over|across|as|when|while|which|that|so|because|what|how|why|who)\b|\s*\z))++", "A chain of %{count} ranges.", count_group=r"(?i)(?:\A|,\s+(?:and\s+)?)from\b", skip=(r"(?i)\bto\s+(?:[\w'-]+\s+){0,2}([\w'-]+),\s+(?:and\s+)?from\s+(?:[\w'-]+\s+){0,2}\1(?![\w'-])", r"(?i)\bfrom\s+(?:the\s+)?((?:[\w'-]+\s+){0,2}[\w'-]+)\s+to\s+(?:the\s+)?\1(?=,|\s*\z)")),
     _rule("one-x-one-y", "cadence", "warning", "high", rf"{ONE_ITEM}{COMMA_AND}{ONE_ITEM}(?:(?:{COMMA_AND}|{GAP}and{GAP}){ONE_ITEM}(?=[^\w\s'’-]|\s+(?:and|or|but|in|on|at|by|with|for|to|of|from|per|each|that|which|who|when|where|so|because|is|are|was|were)\b|\s*\z))++", "A chain of %{count} single items.", count_group=r"(?i)(?:\A|,\s+(?:and\s+)?|\s+and\s+)one\b", skip=(r"(?i)(?:\bone\s+for\b[\s\S]*?){3}",), prefix=r"(?:^|(?<=[.!?:;—–])[ \t]{1,2})"),
     _rule("the-x-is-the-x", "cadence", "error", "high", rf"\bthe\s+({HEADS})\b(?:[^.!?;:,\n]|\r?\n(?!\s*\n)){{1,50}}?\bis(?:n['’]t|\s+not)?\s+the\s+\3(?=[,.;:!?]|\s+(?:of|for|with|in|on|to|at|behind|about|that|which|why|here|there|the|a|an|this|these|those|my|our|your|their|its|his|her|it|they|we|you|i|he|she|every|each|most|many|some|any|no|nobody|everyone|people|[a-z]+s)\b)", "A noun is equated with itself."),

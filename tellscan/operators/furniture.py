@@ -92,10 +92,10 @@ def dropped_lines(lines: Column, markdown: bool) -> Column:
 
 
 def _blanked(lines: Column, gone: Column) -> Column:
-    def one(line: Column, i: Column) -> Column:
-        return F.when(F.substring(gone, i + 1, F.lit(1)) == "1", F.regexp_replace(line, r"[^\r]|\r(?!\z)", " ")).otherwise(line)
+    def one(line: Column, dropped: Column) -> Column:
+        return F.when(dropped == "1", F.regexp_replace(line, r"[^\r]|\r(?!\z)", " ")).otherwise(line)
 
-    return F.array_join(F.transform(lines, one), "\n")
+    return F.array_join(F.zip_with(lines, F.slice(F.split(gone, ""), F.lit(1), F.size(lines)), one), "\n")
 
 
 def copies(text: Column, markdown: bool = False) -> Column:

@@ -38,8 +38,20 @@ def folded(text: Column) -> Column:
     return F.lower(F.translate(text, "\u017f\u0131\u0130\u212a", "siik"))
 
 
-def hopeful(low: Column, rule: Rule) -> Column | None:
-    """Whether a folded text holds a word that every match needs; None where the rule has no such words."""
+def comes_back(text: Column, n: int) -> Column:
+    """Whether n words in a row stand in a text more than once; a word is a run of ASCII letters, digits and underscores."""
+
+    def again(words: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - n, F.lit(0))), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(n)]))
+        return (F.size(words) > n) & let(runs, lambda r: F.size(F.array_distinct(r)) < F.size(r))
+
+    return let(F.regexp_extract_all(text, F.lit(r"\w+"), F.lit(0)), again)
+
+
+def hopeful(text: Column, low: Column, rule: Rule) -> Column | None:
+    """Whether a text, folded to low, holds what every match needs; None where the rule has no such thing."""
+    if rule.echo:
+        return comes_back(text, rule.echo)
     found = [F.contains(low, F.lit(w)) for w in needed_words(rule.pattern)]
     return reduce(Column.__or__, found) if found else None
 
@@ -62,7 +74,7 @@ def spans(text: Column, rule: Rule, low: Column | None = None) -> Column:
     found = F.aggregate(pieces, F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("found")), step, lambda acc: acc["found"])
     for skip in rule.skip:
         found = _unless(found, skip)
-    may = [] if low is None or (words := hopeful(low, rule)) is None else [words]
+    may = [] if low is None or (words := hopeful(text, low, rule)) is None else [words]
     may += [] if rule.idle else [F.regexp_like(text, F.lit(rule.regex))]
     return F.when(reduce(Column.__and__, may), found).otherwise(F.array().cast(kind)) if may else found
 
@@ -74,12 +86,9 @@ def _unless(found: Column, skip: str) -> Column:
 def n_notes(text: Column, rule: Rule, low: Column) -> Column:
     """How many notes of the rule a text has; 0 for a null text."""
     if rule.skip or rule.idle:
-        n = F.size(spans(text, rule, low))
-    else:
-        words = hopeful(low, rule)
-        n = F.regexp_count(text, F.lit(rule.regex))
-        n = n if words is None else F.when(words, n)
-    return F.when(text.isNull(), F.lit(0)).otherwise(F.coalesce(n, F.lit(0))).cast("long")
+        return F.coalesce(F.size(spans(text, rule, low)), F.lit(0))
+    words, n = hopeful(text, low, rule), F.regexp_count(text, F.lit(rule.regex))
+    return F.coalesce(n, F.lit(0)) if words is None else F.when(words, n).otherwise(F.lit(0))
 
 
 def line_of(text: Column, off: Column) -> Column:
@@ -129,5 +138,5 @@ def scan(docs: DataFrame, rules: Sequence[Rule] | None = None, key: str = "doc_i
 
 def counts(docs: DataFrame, rules: Sequence[Rule], key: str = "doc_id", text_col: str = "text") -> DataFrame:
     """key, rule, n for every row and rule, n being the number of matches that aren't skipped."""
-    each = F.array(*[F.struct(F.lit(r.id).alias("rule"), n_notes(F.col("body"), r, F.col("low")).alias("n")) for r in rules])
+    each = F.array(*[F.struct(F.lit(r.id).alias("rule"), n_notes(F.col("body"), r, F.col("low")).cast("long").alias("n")) for r in rules])
     return docs.select(key, F.col(text_col).alias("body"), folded(F.col(text_col)).alias("low")).select(key, F.inline(each))

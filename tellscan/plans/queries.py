@@ -55,7 +55,7 @@ def rule_query(rule: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def _total(rules: Sequence[Rule]) -> Column:
-    return sum((n_notes(F.col("text"), r, F.col("low")) for r in rules), F.lit(0).cast("long"))
+    return sum((n_notes(F.col("text"), r, F.col("low")) for r in rules), F.lit(0)).cast("long")
 
 
 def notes_by_document(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,7 +87,7 @@ def _first(rows: DataFrame, group: list[str], hit: Column) -> DataFrame:
 def first_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """rule, source, side, place, doc_id, n: the first FIRST documents with notes of each rule, source and side."""
     docs = sided(spark, sf_dir).withColumn("low", folded(F.col("text")))
-    hits = F.array(*[F.struct(F.lit(r.id).alias("rule"), n_notes(F.col("text"), r, F.col("low")).alias("n")) for r in DEFAULT])
+    hits = F.array(*[F.struct(F.lit(r.id).alias("rule"), n_notes(F.col("text"), r, F.col("low")).cast("long").alias("n")) for r in DEFAULT])
     each = docs.select("doc_id", "source", "side", F.inline(F.filter(hits, lambda h: h["n"] > 0)))
     return _first(each, ["rule", "source", "side"], F.struct("doc_id", "n"))
 
@@ -151,7 +151,7 @@ def quality_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def note_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """category, n_rules, n_notes over all rules that aren't low."""
     docs = documents(spark, sf_dir).withColumn("low", folded(F.col("text")))
-    each = F.array(*[F.struct(F.lit(r.category).alias("category"), F.lit(r.id).alias("rule"), n_notes(F.col("text"), r, F.col("low")).alias("n")) for r in DEFAULT])
+    each = F.array(*[F.struct(F.lit(r.category).alias("category"), F.lit(r.id).alias("rule"), n_notes(F.col("text"), r, F.col("low")).cast("long").alias("n")) for r in DEFAULT])
     found = docs.select(F.inline(F.filter(each, lambda h: h["n"] > 0))).groupBy("category", "rule").agg(F.sum("n").alias("n"))
     return found.groupBy("category").agg(F.count("*").alias("n_rules"), F.sum("n").alias("n_notes"))
 
