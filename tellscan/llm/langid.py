@@ -115,7 +115,11 @@ def gram_of(code: int) -> str:
 
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_n: int = MAX_N, size: int = PROFILE) -> DataFrame:
-    """(lang, gram, rank): the profiles, from all rows with a language that aren't held out."""
+    """(lang, gram, rank): the profiles, from all rows with a language that aren't held out.
+
+    Of n-grams that are as frequent, the first by code points ranks first. Null texts and texts without letters teach
+    nothing, repeated rows as often as they stand; from an empty table nothing is learnt.
+    """
     if not 1 <= max_n <= MAX_N:
         raise ValueError(f"max_n must be from 1 to {MAX_N}")
     rows = docs.where(F.col(lang_col).isNotNull() & ~held_out(id_col)).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
@@ -214,7 +218,7 @@ def predict(docs: DataFrame, known: dict[str, dict[str, int]], text_col: str = "
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, lang_pred, score for every row of docs (columns doc_id, text and lang)."""
+    """doc_id, held_out, lang_pred, score for every row of docs (columns doc_id, text and lang); hard cases as in predict()."""
     slim = docs.select("doc_id", held_out("doc_id").alias("held_out"), F.col("text").cast("string").alias("text"))
     return predict(slim, profiles(docs), keep_text=False)
 

@@ -150,7 +150,8 @@ def scan(docs: DataFrame) -> DataFrame:
 
     sentence_ids are the identifiers found when cut by line, in order and joined by blanks; license is that of the
     first rule that matches either cut and null where none does, licenses all of them, in rule order. A null text has
-    none. Rows repeat as they stand.
+    none. Rows repeat as they stand; an empty table gives an empty result. Where two rules match, the one that stands
+    first in RULES names the document, wherever in the text it matched.
     """
 
     def matched(seqs: Column) -> Column:

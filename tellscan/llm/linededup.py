@@ -96,7 +96,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """doc_id, text, n_lines, n_removed for every row of docs."""
+    """doc_id, text, n_lines, n_removed for every row of docs. Of equal chunks the one of the least (doc_id, text hash, line) stays, a null id first."""
     return dedup_lines(docs.select("doc_id", "text"))
 
 

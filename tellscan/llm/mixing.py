@@ -80,7 +80,8 @@ def draws(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     mix_pos, from 0 to under 1, is how far through its source's tokens a draw begins; in its order the sources are
     mixed by weight all along. A null source is a source; one without tokens has weight 0 and isn't drawn. Null texts
     have no tokens and are drawn in full epochs, and in the last while any room is left. Repeated rows are drawn each
-    for itself; a null id is hashed as an empty one. An empty table gives an empty result.
+    for itself; a null id is hashed as an empty one. Rows of one hash are drawn by number of tokens, and as they come
+    where that is equal too. An empty table gives an empty result.
     """
     rows = save(docs.select(F.col(id_col).alias("did"), F.col(source_col).alias("source"), tokens(F.col(text_col)).alias("n_tokens")), "mix-tokens")
     per_source = rows.groupBy("source").agg(F.sum("n_tokens").alias("n_tok"), F.count("*").alias("n_rows"))
@@ -111,6 +112,7 @@ def draws(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
 
 
 def report(docs: DataFrame) -> DataFrame:
+    """doc_id, source, n_tokens, epoch, block, mix_pos for every draw; nulls, ties, repeated rows and empty tables as in draws()."""
     return draws(docs).withColumnRenamed("did", "doc_id")
 
 
