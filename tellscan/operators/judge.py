@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from tellscan.functions.questions import REGISTER, Question, select_questions
 from tellscan.operators.backend import Backend, BackendError, each, numbers
-from tellscan.operators.scan import NOTE_FIELDS, column_of, context_window, line_of
-from tellscan.operators.split import split
+from tellscan.operators.scan import NOTE_FIELDS, column_of, context_window
+from tellscan.operators.split import AROUND, split
 
 #: Sentences a paragraph must have for a paragraph question, bands of confidence, the listed price of a token.
 MIN_SENTENCES = 3
@@ -107,7 +107,7 @@ def judge(docs: DataFrame, backend: Backend, questions: Sequence[Question] | Non
     questions = select_questions(strict=strict) if questions is None else list(questions)
     of_paragraph, of_sentence = ([q for q in questions if q.unit == u] for u in ("paragraph", "sentence"))
     rows = docs.select(F.col(key), F.col(text_col).alias("source")).where(F.col(key).isNotNull())
-    units = split(rows, key, "source", markdown).select(key, "offset", "length", "text", "asked", "sentences")
+    units = split(rows, key, "source", markdown, around=True).drop("paragraph")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in units.schema)
 
     units, schema = units.withColumn("request", F.lit(None).cast(REQUEST)), f"{schema}, request {REQUEST}"
@@ -117,10 +117,10 @@ def judge(docs: DataFrame, backend: Backend, questions: Sequence[Question] | Non
     flags = _flags(F.col("request.answers"), of_paragraph, strict) if of_paragraph else F.array().cast("array<struct<ord:int,confidence:string>>")
     units = units.withColumn("flags", F.when(F.col("request").isNotNull(), flags))
 
-    whole = F.struct("offset", "length", "text")
+    whole, here = F.struct("offset", "length", "text"), F.struct("offset", *AROUND).alias("here")
     points = {"all": whole, "first": _span(F.element_at("sentences", 1)), "last": _span(F.element_at("sentences", -1))}
     at = F.coalesce(*[F.when(F.col("f.ord") == i, points[q.excerpt]) for i, q in enumerate(of_paragraph)], F.lit(None).cast("struct<offset:int,length:int,text:string>"))
-    found = units.select(key, "offset", "length", "text", "sentences", F.explode("flags").alias("f")).select(key, F.col("f.ord").alias("ord"), F.col("f.confidence").alias("confidence"), at.alias("unit"))
+    found = units.select(key, "offset", "length", "text", "sentences", here, F.explode("flags").alias("f")).select(key, F.col("f.ord").alias("ord"), F.col("f.confidence").alias("confidence"), at.alias("unit"), "here")
     usage = units.where("request is not null").select(F.explode("request.usage").alias("counter", "n"))
 
     if of_sentence:
@@ -128,20 +128,27 @@ def judge(docs: DataFrame, backend: Backend, questions: Sequence[Question] | Non
         targets = units if strict or not of_paragraph else units.where((F.size("sentences") < MIN_SENTENCES) | (F.size("flags") > 0))
         kind = units.schema["sentences"].dataType.simpleString()
         key_type = units.schema[key].dataType.simpleString()
-        answered = settle(targets.select(key, "sentences").mapInPandas(_sentence_answers(backend, asked, register), f"`{key}` {key_type}, sentences {kind}, requests array<{REQUEST}>"))
-        apiece = answered.select(key, F.inline(F.arrays_zip("sentences", "requests")))
-        flagged = apiece.select(key, _span(F.col("sentences")).alias("unit"), F.explode(_flags(F.col("requests.answers"), of_sentence, strict)).alias("f"))
-        found = found.unionByName(flagged.select(key, (F.col("f.ord") + len(of_paragraph)).alias("ord"), F.col("f.confidence").alias("confidence"), "unit"))
+        around = units.select(here).schema["here"].dataType.simpleString()
+        answered = settle(targets.select(key, "sentences", here).mapInPandas(_sentence_answers(backend, asked, register), f"`{key}` {key_type}, sentences {kind}, here {around}, requests array<{REQUEST}>"))
+        apiece = answered.select(key, "here", F.inline(F.arrays_zip("sentences", "requests")))
+        flagged = apiece.select(key, "here", _span(F.col("sentences")).alias("unit"), F.explode(_flags(F.col("requests.answers"), of_sentence, strict)).alias("f"))
+        found = found.unionByName(flagged.select(key, (F.col("f.ord") + len(of_paragraph)).alias("ord"), F.col("f.confidence").alias("confidence"), "unit", "here"))
         usage = usage.unionByName(apiece.select(F.explode("requests.usage").alias("counter", "n")))
 
     ordered = of_paragraph + of_sentence
-    notes = found.join(rows, key)
-    off, span = F.col("unit.offset"), F.col("unit.length")
-    said = F.substring(F.col("source"), off + 1, span)
+    off, span, here = F.col("unit.offset"), F.col("unit.length"), F.col("here")
+    inside = off - here["offset"]
+    said = F.substring(here["written"], inside + 1, span)
+    upto = F.substring(here["written"], F.lit(1), inside)
+    line = here["line"] + F.length(upto) - F.length(F.replace(upto, F.lit("\n"), F.lit("")))
+    column = F.when(F.contains(upto, F.lit("\n")), column_of(here["written"], inside)).otherwise(here["column"] + inside)
+    around = F.concat(here["before"], here["written"], here["after"])
+    # as context_window() of the whole text: what is cut off at an end is there whether this end has more text or not
+    context = context_window(around, F.length(here["before"]) + inside, said)
     fields = {name: F.coalesce(*[F.when(F.col("ord") == i, F.lit(getattr(q, a))) for i, q in enumerate(ordered)], F.lit(None).cast("string")) for name, a in (("severity", "severity"), ("rule", "id"), ("category", "category"), ("message", "message"), ("rationale", "rationale"), ("suggestion", "suggestion"))}
-    fields |= {"line": line_of(F.col("source"), off), "column": column_of(F.col("source"), off), "confidence": F.col("confidence"), "excerpt": F.col("unit.text"), "context": context_window(F.col("source"), off, said), "count": F.lit(None).cast("int")}
+    fields |= {"line": line, "column": column, "confidence": F.col("confidence"), "excerpt": F.col("unit.text"), "context": context, "count": F.lit(None).cast("int")}
     totals = usage.groupBy("counter").agg(F.sum("n").alias("total"))
-    return notes.select(key, *[fields[n].alias(n) for n in NOTE_FIELDS], "ord"), totals
+    return found.select(key, *[fields[n].alias(n) for n in NOTE_FIELDS], "ord"), totals
 
 
 def _span(sentence: Column) -> Column:

@@ -6,13 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tellscan.operators.furniture import INLINE, copies
-from tellscan.operators.scan import let, squash
+from tellscan.operators.scan import SIDE, let, squash
 
 #: What separates paragraphs and sentences, and what ends a piece that goes on.
 PARAGRAPH_BREAK = r"\r?\n[ \t ]*\r?\n"
 SENTENCE_BREAK = rf"""(?<=[.!?]|[.!?]["'”’)\]])\s+(?=["'“‘(\[A-Z0-9{INLINE}])"""
 GOES_ON = r"\b(?:e\.g|i\.e|vs|etc|cf|Fig|No|Dr|Mr|Mrs|Ms|St|Inc|Ltd|Sec|Ch|Vol)\.\z|(?<!\p{IsAlphabetic})(?:\p{IsAlphabetic}\.){2,6}\z|\A\d+\.\z"
-SPAN = "array<struct<offset:int,length:int,text:string>>"
+SPAN = "array<struct<offset:int,length:int,line:int,column:int,text:string>>"
+#: Characters before and after a paragraph that go with it: one more than a note's context takes.
+NEAR = SIDE + 1
+#: Where a paragraph stands: its line and column, its own characters, and those near it.
+AROUND = ("line", "column", "written", "before", "after")
 SENTENCE = "array<struct<offset:int,length:int,text:string,asked:string>>"
 
 
@@ -21,16 +25,23 @@ def _pieces(text: Column, pattern: str) -> Column:
     return F.arrays_zip(F.split(text, pattern, -1).alias("p"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("g"))
 
 
+def _breaks(text: Column) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
+
+
 def paragraphs(text: Column) -> Column:
-    """array of (offset, length, text): blocks between blank lines, trimmed; offset is a code point of text, from 0."""
+    """array of (offset, length, line, column, text): blocks between blank lines, trimmed; offset is a code point of text, from 0."""
 
     def step(acc: Column, x: Column) -> Column:
         lead = F.length(x["p"]) - F.length(F.regexp_replace(x["p"], r"\A[\s\x00]+", ""))
+        before = F.substring(x["p"], F.lit(1), lead)
         body = F.regexp_replace(x["p"], r"\A[\s\x00]+|[\s\x00]+\z", "")
-        new = F.array(F.struct((acc["at"] + lead).alias("offset"), F.length(body).alias("length"), body.alias("text")))
-        return F.struct((acc["at"] + F.length(x["p"]) + F.coalesce(F.length(x["g"]), F.lit(0))).alias("at"), F.when(body == "", acc["found"]).otherwise(F.concat(acc["found"], new)).alias("found"))
+        place = (acc["line"] + _breaks(before)).alias("line"), (F.length(F.substring_index(before, "\n", -1)) + 1).alias("column")  # a piece begins a line
+        new = F.array(F.struct((acc["at"] + lead).alias("offset"), F.length(body).alias("length"), *place, body.alias("text")))
+        whole = F.concat(x["p"], F.coalesce(x["g"], F.lit("")))
+        return F.struct((acc["at"] + F.length(whole)).alias("at"), (acc["line"] + _breaks(whole)).alias("line"), F.when(body == "", acc["found"]).otherwise(F.concat(acc["found"], new)).alias("found"))
 
-    return F.aggregate(_pieces(text, PARAGRAPH_BREAK), F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("found")), step, lambda acc: acc["found"])
+    return F.aggregate(_pieces(text, PARAGRAPH_BREAK), F.struct(F.lit(0).alias("at"), F.lit(1).alias("line"), F.array().cast(SPAN).alias("found")), step, lambda acc: acc["found"])
 
 
 def sentences(body: Column, base: Column, text: Column | None = None, shown: Column | None = None) -> Column:
@@ -54,22 +65,24 @@ def sentences(body: Column, base: Column, text: Column | None = None, shown: Col
 
 
 def _cut(text: Column, markdown: bool) -> Column:
-    """array of (offset, length, body, text, shown): each paragraph as it is split, as it is written and as it is asked about."""
+    """array of (offset, length, line, column, body, text, shown, before, after): each paragraph as it is split, as it is written, as it is asked about, and what stands around it."""
 
     def each(c: Column) -> Column:
         def one(p: Column) -> Column:
             def at(copy: Column) -> Column:
                 return F.when(copy == c["body"], p["text"]).otherwise(F.substring(copy, p["offset"] + 1, p["length"]))
 
-            return F.struct(p["offset"].alias("offset"), p["length"].alias("length"), p["text"].alias("body"), at(text).alias("text"), at(c["shown"]).alias("shown"))
+            start = F.greatest(p["offset"] - NEAR, F.lit(0))
+            around = F.substring(text, start + 1, p["offset"] - start).alias("before"), F.substring(text, p["offset"] + p["length"] + 1, F.lit(NEAR)).alias("after")
+            return F.struct(*[p[f].alias(f) for f in ("offset", "length", "line", "column")], p["text"].alias("body"), at(text).alias("text"), at(c["shown"]).alias("shown"), *around)
 
         return F.transform(paragraphs(c["body"]), one)
 
     return let(copies(text, markdown), each)
 
 
-def split(docs: DataFrame, key: str = "doc_id", text_col: str = "text", markdown: bool = False) -> DataFrame:
-    """key, paragraph, offset, length, text, asked, sentences: a row for each paragraph. Null and blank texts have none.
+def split(docs: DataFrame, key: str = "doc_id", text_col: str = "text", markdown: bool = False, around: bool = False) -> DataFrame:
+    """key, paragraph, offset, length, text, asked, sentences (and AROUND): a row for each paragraph. Null and blank texts have none.
 
     Furniture is no paragraph. With markdown, nor are code, comments, front matter and a lone sentence before a colon.
     """
@@ -77,4 +90,5 @@ def split(docs: DataFrame, key: str = "doc_id", text_col: str = "text", markdown
     found = rows.withColumn("sentences", sentences(F.col("body"), F.col("offset"), F.col("text"), F.col("shown")))
     if markdown:
         found = found.where((F.size("sentences") != 1) | ~F.col("body").endswith(":"))
-    return found.select(key, "paragraph", "offset", "length", squash(F.col("text")).alias("text"), squash(F.col("shown")).alias("asked"), "sentences")
+    more = [F.col("line"), F.col("column"), F.col("text").alias("written"), F.col("before"), F.col("after")] if around else []
+    return found.select(key, "paragraph", "offset", "length", squash(F.col("text")).alias("text"), squash(F.col("shown")).alias("asked"), "sentences", *more)
