@@ -8,14 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tellscan.functions.questions import QUESTIONS, question_catalog
+from tellscan.functions.questions import QUESTIONS, question_catalog, select_questions
 from tellscan.operators.backend import WordBackend
 from tellscan.operators.calibrate import FLOORS, GATE_AGREE, GATE_AUC, GATE_FLIP, GATE_PAIRS, GATED, agreement, flips
 from tellscan.operators.corpus import HUMAN, both_orders, calibration, flagged_units, pairs_of, rank_auc, scored
-from tellscan.operators.judge import MEDIUM, compare, judge, settle
+from tellscan.operators.judge import HIGH, MEDIUM, MIN_SENTENCES, compare, judge, settle
 from tellscan.operators.labels import score_rules, totals
 from tellscan.operators.split import split
-from tellscan.plans.queries import DEFAULT, SENTENCES, SQL_DOCUMENTS, documents, spread
+from tellscan.plans.queries import DEFAULT, ORACLE_SQL as SQL, SENTENCES, SQL_DOCUMENTS, documents, spread
 from tellscan.plans.rule_sql import sql_count
 
 #: What is put before and after every third text: what Markdown takes for no prose.
@@ -36,6 +36,15 @@ def judged_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(documents(spark, sf_dir), WordBackend())[0]
 
 
+def judged_places(strict: bool) -> Callable[[SparkSession, str], DataFrame]:
+    """doc_id, line, column, rule, severity, confidence, excerpt of the judged notes."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return judge(documents(spark, sf_dir), WordBackend(), strict=strict)[0].select("doc_id", "line", "column", "rule", "severity", "confidence", "excerpt")
+
+    return run
+
+
 def judge_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(documents(spark, sf_dir), WordBackend())[1]
 
@@ -104,6 +113,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "markdown_paragraphs": markdown_paragraphs,
     "judge_catalog": judge_catalog,
     "judged_notes": judged_notes,
+    "judged_places": judged_places(False),
+    "judged_places_strict": judged_places(True),
     "judge_usage": judge_usage,
     "compare_turns": compare_turns,
     "turn_scores": turn_scores,
@@ -135,6 +146,30 @@ def _levels(x: str) -> str:
 
 if any(q.flag_level for q in QUESTIONS):
     raise ValueError("the SQL takes the first level for the flagged one")
+_SQUASHED = "trim(regexp_replace({0}, '\\s+', ' ', 'g'), ' ')"
+_GRADES = "['high', 'medium', 'low']"
+
+
+def _sql_judged(strict: bool) -> str:
+    """The judged notes of documents by the backend that counts words, from the paragraphs and sentences that SQL finds."""
+    asked = select_questions(strict=strict)
+    rows = ", ".join(f"({i}, {_text(q.id)}, {_text(q.unit)}, {len(q.levels)}, {_text(q.severity)}, {_text(q.confidence)}, {_text(q.excerpt)})" for i, q in enumerate(asked))
+    sure = "confidence >= 0" if strict else f"confidence >= {MEDIUM}"
+    judged = f"SELECT *, CASE WHEN confidence >= {HIGH} THEN 'high' WHEN confidence >= {MEDIUM} THEN 'medium' ELSE 'low' END AS band FROM (SELECT *, least(1::DOUBLE, 2 * (list_reverse_sort(p)[1] - list_reverse_sort(p)[2])) AS confidence FROM (SELECT *, list_transform(raw, lambda v: v / list_sum(raw)) AS p FROM (SELECT *, {_levels('x')} AS raw FROM {{0}}))) WHERE {_flag('p')} AND {sure}"
+    due = "TRUE" if strict else f"k < {MIN_SENTENCES} OR (doc_id, paragraph) IN (SELECT (doc_id, paragraph) FROM flagged)"
+    return f"""{SQL["sentence_spans"][: SQL["sentence_spans"].rindex('SELECT doc_id')].rstrip()},
+      sents AS ({SQL["sentence_spans"][SQL["sentence_spans"].rindex('SELECT doc_id') :]}),
+      questions AS (SELECT * FROM (VALUES {rows}) q(ord, rule, unit, levels, severity, grade, excerpt_of)),
+      paras AS (SELECT p.doc_id, p.paragraph, p."offset", {_SQUASHED.format('p.text')} AS text, count(*) AS k, arg_min(s."offset", s.sentence) AS first_at, arg_max(s."offset", s.sentence) AS last_at, arg_min(s.text, s.sentence) AS first_text, arg_max(s.text, s.sentence) AS last_text FROM p JOIN sents s USING (doc_id, paragraph) GROUP BY ALL),
+      of_paras AS (SELECT * FROM (SELECT *, {_PLAIN.format('text')} AS x FROM paras WHERE k >= {MIN_SENTENCES}), questions WHERE unit = 'paragraph'),
+      flagged AS ({judged.format('of_paras')}),
+      of_sents AS (SELECT * FROM (SELECT s.doc_id, s.paragraph, s."offset", s.text, {_PLAIN.format('s.text')} AS x FROM sents s JOIN paras USING (doc_id, paragraph) WHERE {due}), questions WHERE unit = 'sentence'),
+      notes AS (SELECT doc_id, rule, severity, grade, band, CASE excerpt_of WHEN 'first' THEN first_at WHEN 'last' THEN last_at ELSE "offset" END AS at_, CASE excerpt_of WHEN 'first' THEN first_text WHEN 'last' THEN last_text ELSE text END AS excerpt FROM flagged
+        UNION ALL SELECT doc_id, rule, severity, grade, band, "offset", text FROM ({judged.format('of_sents')}))
+      SELECT doc_id, (length(pre) - length(replace(pre, chr(10), '')) + 1)::INT AS line, (length(string_split(pre, chr(10))[-1]) + 1)::INT AS "column", rule, severity, {_GRADES}[greatest(list_position({_GRADES}, band), list_position({_GRADES}, grade))] AS confidence, excerpt
+      FROM (SELECT n.*, left(d.text, at_) AS pre FROM notes n JOIN d USING (doc_id))"""
+
+
 _SCORES = f"""t AS (SELECT conv_id AS source_id, turn, 'chat' AS register, CASE role WHEN 'user' THEN '{HUMAN}' ELSE role END AS side, {_PLAIN.format("text")} AS x FROM conversations WHERE text IS NOT NULL),
 q AS (SELECT * FROM (VALUES {", ".join(f"('{q.id}', {len(q.levels)})" for q in QUESTIONS)}) q(rule, levels)),
 r AS (SELECT t.*, rule, levels, {_levels("x")} AS r1, {_levels(f"(x + {AGAIN.bias}::DOUBLE)")} AS r2 FROM t, q),
@@ -156,6 +191,8 @@ _HITS = " UNION ALL ".join(f"SELECT '{r.id}' AS rule, family, slop, {sql_count(r
 ORACLE_SQL: dict[str, str] = {
     "judge_catalog": "SELECT * FROM (VALUES " + ", ".join(f"({i}::INT, {_text(q.id)}, {_text(q.unit)}, {_text(q.severity)}, {_text(q.confidence)}, {_text(q.excerpt)}, {_text(q.instructions)}, {_text(' | '.join(q.levels))}, {_text(q.message)}, {_text(q.suggestion)})" for i, q in enumerate(QUESTIONS)) + ") t(ord, id, unit, severity, confidence, excerpt, instructions, levels, message, suggestion)",
     "compare_turns": f"WITH p AS (SELECT concat_ws('/', conv_id, turn, role) AS pair_id, text AS a, lead(text) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS b FROM conversations), q AS (SELECT pair_id, {_PLAIN.format('b')} - {_PLAIN.format('a')} AS d FROM p WHERE b IS NOT NULL) SELECT pair_id, CASE WHEN d >= 0 THEN 'B' ELSE 'A' END AS keep, round(0.5 + d / 2, 6)::DOUBLE AS p_keep_b, round(abs(d), 6)::DOUBLE AS keep_confidence FROM q",
+    "judged_places": _sql_judged(False),
+    "judged_places_strict": _sql_judged(True),
     "turn_scores": f"WITH {_SCORES} SELECT * FROM s",
     "role_auc": f"WITH {_SCORES}, {_AUC} SELECT * FROM auc",
     "flag_table": f"WITH {_SCORES} SELECT register, side, rule, count(*) FILTER (flagged AND confidence >= {MEDIUM}) AS n_flagged, count(*) AS n FROM s GROUP BY register, side, rule",

@@ -13,7 +13,7 @@ from tellscan.functions.examples import CASES
 from tellscan.operators.calibrate import auc
 from tellscan.operators.report import json_by_document
 from tellscan.operators.scan import MARKDOWN_NOISE, blank_markdown, counts, folded, n_notes, scan
-from tellscan.operators.split import paragraphs, split
+from tellscan.operators.split import paragraphs, sentences, split
 from tellscan.plans.rule_sql import NONE, is_plain, sql_count, sql_notes
 
 DEFAULT = select_rules()
@@ -132,6 +132,13 @@ def paragraph_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "paragraph", "p.offset", "p.length", "p.text")
 
 
+def sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, paragraph, sentence, offset, length, text of the sentences of the blocks between blank lines."""
+    found = F.transform(paragraphs(F.col("text")), lambda p: sentences(p["text"], p["offset"]))
+    each = documents(spark, sf_dir).select("doc_id", F.posexplode(found).alias("paragraph", "s"))
+    return each.select("doc_id", "paragraph", F.posexplode("s").alias("sentence", "x")).select("doc_id", "paragraph", "sentence", "x.offset", "x.length", "x.text")
+
+
 def paragraph_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split(documents(spark, sf_dir))
 
@@ -179,6 +186,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "blanked_pages": blanked_pages,
     "paragraph_counts": paragraph_counts,
     "paragraph_spans": paragraph_spans,
+    "sentence_spans": sentence_spans,
     "paragraph_sentences": paragraph_sentences,
     "notes_as_json": notes_as_json,
     "quality_auc": quality_auc,
@@ -188,6 +196,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _ALL = " + ".join(f"n{k}" for k, _ in enumerate(DEFAULT))
 _ERRORS = " + ".join(f"n{k}" for k, r in enumerate(DEFAULT) if r.severity == "error")
 _COUNTS = ", ".join(f"{sql_count(r)} AS n{k}" for k, r in enumerate(DEFAULT))
+_PARAGRAPHS = f"""WITH {SQL_DOCUMENTS}, x AS (SELECT doc_id, string_split(regexp_replace(text, '\\r?\\n[ \\t\\x{{00A0}}]*\\r?\\n', chr(1) || '\\0' || chr(2), 'g'), chr(1)) AS x FROM d WHERE text IS NOT NULL),
+      y AS (SELECT doc_id, i, x[i] AS piece, length(replace(array_to_string(x[1:i - 1], ''), chr(2), '')) AS base FROM (SELECT *, unnest(range(1, len(x) + 1)) AS i FROM x)),
+      z AS (SELECT doc_id, i, CASE WHEN i > 1 THEN split_part(piece, chr(2), 2) ELSE piece END AS body, base + CASE WHEN i > 1 THEN length(split_part(piece, chr(2), 1)) ELSE 0 END AS base FROM y),
+      t AS (SELECT doc_id, i, base + length(body) - length(regexp_replace(body, '\\A[\\s\\v\\x00]+', '')) AS "offset", regexp_replace(body, '\\A[\\s\\v\\x00]+|[\\s\\v\\x00]+\\z', '', 'g') AS text FROM z),
+      p AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INT AS paragraph, "offset"::INT AS "offset", length(text)::INT AS length, text FROM t WHERE text <> '')"""
+#: Fixed value: split.GOES_ON without look-behind.
+_GOES_ON = r"\b(?:e\.g|i\.e|vs|etc|cf|Fig|No|Dr|Mr|Mrs|Ms|St|Inc|Ltd|Sec|Ch|Vol)\.\z|(?:\A|[^\pL])(?:\pL\.){2,6}\z|\A\d+\.\z"
 ORACLE_SQL: dict[str, str] = {
     **{f"rule_{r.id.replace('-', '_')}": f"WITH {SQL_DOCUMENTS} SELECT doc_id, {sql_count(r)} AS n_notes FROM d" for r in RULES if r.id not in NONE},
     "notes_by_document": f"WITH {SQL_DOCUMENTS}, c AS (SELECT doc_id, {_COUNTS} FROM d) SELECT doc_id, {_ALL} AS n_notes, {_ERRORS} AS n_errors FROM c",
@@ -196,11 +211,14 @@ ORACLE_SQL: dict[str, str] = {
     "plain_notes": f"WITH {SQL_DOCUMENTS} " + " UNION ALL ".join(sql_notes(r) for r in PLAIN),
     "rule_catalog": "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join([f"{i}::INT", *("NULL::VARCHAR" if v is None else "'" + v.replace("'", "''") + "'" for v in (r.id, r.category, r.severity, r.confidence, r.message, r.suggestion, r.rationale))]) + ")" for i, r in enumerate(RULES)) + ") t(ord, id, category, severity, confidence, message, suggestion, rationale)",
     "blanked_pages": f"SELECT page_id, array_to_string(list_transform(string_split(regexp_replace(html, '{MARKDOWN_NOISE.replace('(?md)', '(?m)')}', chr(1) || '\\0' || chr(2), 'g'), chr(1)), lambda x: CASE WHEN contains(x, chr(2)) THEN regexp_replace(split_part(x, chr(2), 1), '[^\\n]', ' ', 'g') || split_part(x, chr(2), 2) ELSE x END), '') AS blanked FROM pages",
-    "paragraph_spans": f"""WITH {SQL_DOCUMENTS}, x AS (SELECT doc_id, string_split(regexp_replace(text, '\\r?\\n[ \\t\\x{{00A0}}]*\\r?\\n', chr(1) || '\\0' || chr(2), 'g'), chr(1)) AS x FROM d WHERE text IS NOT NULL),
-      y AS (SELECT doc_id, i, x[i] AS piece, length(replace(array_to_string(x[1:i - 1], ''), chr(2), '')) AS base FROM (SELECT *, unnest(range(1, len(x) + 1)) AS i FROM x)),
-      z AS (SELECT doc_id, i, CASE WHEN i > 1 THEN split_part(piece, chr(2), 2) ELSE piece END AS body, base + CASE WHEN i > 1 THEN length(split_part(piece, chr(2), 1)) ELSE 0 END AS base FROM y),
-      t AS (SELECT doc_id, i, base + length(body) - length(regexp_replace(body, '\\A[\\s\\v\\x00]+', '')) AS "offset", regexp_replace(body, '\\A[\\s\\v\\x00]+|[\\s\\v\\x00]+\\z', '', 'g') AS text FROM z)
-      SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INT AS paragraph, "offset"::INT AS "offset", length(text)::INT AS length, text FROM t WHERE text <> ''""",
+    "paragraph_spans": f"{_PARAGRAPHS} SELECT * FROM p",
+    "sentence_spans": f"""{_PARAGRAPHS},
+      m AS (SELECT doc_id, paragraph, "offset" AS base, string_split(regexp_replace(text, '([.!?]["''”’)\\]]?)(\\s+)(["''“‘(\\[A-Z0-9])', '\\1' || chr(1) || '\\2' || chr(2) || '\\3', 'g'), chr(1)) AS x FROM p),
+      n AS (SELECT doc_id, paragraph, base + length(replace(array_to_string(x[1:i - 1], ''), chr(2), '')) AS pos, i, CASE WHEN i > 1 THEN split_part(x[i], chr(2), 1) ELSE '' END AS gap, CASE WHEN i > 1 THEN split_part(x[i], chr(2), 2) ELSE x[i] END AS body FROM (SELECT *, unnest(range(1, len(x) + 1)) AS i FROM m)),
+      o AS (SELECT *, coalesce(lag(regexp_matches(body, '{_GOES_ON}')) OVER (PARTITION BY doc_id, paragraph ORDER BY i), FALSE) AS goes_on FROM n),
+      q AS (SELECT *, sum(CASE WHEN goes_on THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, paragraph ORDER BY i ROWS UNBOUNDED PRECEDING) - 1 AS sentence FROM o),
+      r AS (SELECT doc_id, paragraph, sentence, min(pos + length(gap)) AS "offset", string_agg(CASE WHEN goes_on THEN gap || body ELSE body END, '' ORDER BY i) AS raw FROM q GROUP BY doc_id, paragraph, sentence)
+      SELECT doc_id, paragraph, sentence::INT AS sentence, "offset"::INT AS "offset", length(raw)::INT AS length, trim(regexp_replace(raw, '\\s+', ' ', 'g'), ' ') AS text FROM r""",
     "paragraph_counts": f"WITH {SQL_DOCUMENTS} SELECT doc_id, coalesce(len(list_filter(regexp_split_to_array(text, '\\r?\\n[ \\t\\x{{00A0}}]*\\r?\\n'), lambda p: regexp_matches(p, '[^ \\t\\n\\v\\f\\r]'))), -1)::BIGINT AS n_paragraphs FROM d",
     "quality_auc": f"WITH {SQL_SIDED}, c AS (SELECT source, side = 'bad' AS bad, coalesce(len(regexp_extract_all(text, '[^\\x09-\\x0D ]+')), 0) AS w, {_COUNTS} FROM e WHERE side <> 'none'), j AS (SELECT source, bad, round(1000 * ({_ALL}) / w, 6) AS score FROM c WHERE w > 0), r AS (SELECT source, bad, rank() OVER (PARTITION BY source ORDER BY score) + (count(*) OVER (PARTITION BY source, score) - 1) / 2.0 AS r FROM j), s AS (SELECT source, count(*) FILTER (bad) AS n_pos, count(*) FILTER (NOT bad) AS n_neg, sum(r) FILTER (bad) AS ranks FROM r GROUP BY source) SELECT source, n_pos::BIGINT AS n_pos, n_neg::BIGINT AS n_neg, CASE WHEN n_pos > 0 AND n_neg > 0 THEN round((ranks - n_pos * (n_pos + 1) / 2.0) / (n_pos * n_neg), 9)::DOUBLE END AS auc FROM s",
     "note_categories": f"WITH {SQL_DOCUMENTS}, h AS (" + " UNION ALL ".join(f"SELECT '{r.category}' AS category, '{r.id}' AS rule, sum({sql_count(r)})::BIGINT AS n FROM d" for r in DEFAULT) + ") SELECT category, count(*) AS n_rules, sum(n)::BIGINT AS n_notes FROM h WHERE n > 0 GROUP BY category",
