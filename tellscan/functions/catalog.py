@@ -38,12 +38,17 @@ class Rule:
     idle: str = ""
     #: So many words in a row that must come back in a text with a match.
     echo: int = 0
+    #: What every match holds, as a pattern that fails sooner: it begins with a mark.
+    hint: str = ""
+
+    @property
+    def flags(self) -> str:
+        return "(?imdu)" if self.ignore_case else "(?md)"
 
     @property
     def regex(self) -> str:
         """Group 1 is matched and left out of the note, group 2 is reported."""
-        flags = "(?imdu)" if self.ignore_case else "(?md)"
-        return f"{flags}({self.prefix})({self.pattern})" + (f"|{self.idle}" if self.idle else "")
+        return f"{self.flags}({self.prefix})({self.pattern})" + (f"|{self.idle}" if self.idle else "")
 
 
 def _rule(id: str, category: str, severity: str, confidence: str, pattern: str, message: str, **more) -> Rule:

@@ -65,7 +65,15 @@ ECHO_GAP = r"(?:[ \t ]{1,2}|\r?\n(?![ \t ]*\r?\n)[ \t ]{0,4})"
 LIST_LINE = r"(?!\r?\n[ \t]*(?:[-*+•|]|\d+[.)])[ \t])"
 
 
+#: What goes before a note whose prefix is SIXTY.
+STOPPED = r"[.!?][ \t]{1,2}"
+#: The end of the first of three short sentences, and the other two.
+SHORT_ENDS = r"\.(?:(?:[ \t]{1,2}|\r?\n[ \t]{0,4})[A-Za-z][^.!?\n\"“”0-9]{3,29}\.){2}"
+
+
 def _rule(id: str, category: str, severity: str, confidence: str, pattern: str, message: str, **more) -> dict:
+    if more.get("prefix") == SIXTY:
+        more |= {"idle": OTHER_SENTENCE, "hint": f"{STOPPED}(?:{pattern})"}
     return {"id": id, "category": category, "severity": severity, "confidence": confidence, "pattern": pattern, "message": message, **more}
 
 
@@ -98,13 +106,13 @@ GUARDED: tuple[dict, ...] = (
     _rule("isnt-x-its-y", "false-correction", "warning", "medium", r"(?:\b(?:is|are|was|were)\s+not|\b(?:is|are|was|were)n['’]t|\b(?:it|that|this|there)['’]s\s+not|\b(?:they|these|those|we|you)['’]re\s+not)" + rf"{GAP}(?>{ARTICLE}){NOT_REPLACED}[\w'’-]+[^.!?;\n]{{0,40}}?(?:[.!?;]|[ \t]*[—–]|,){GAP}(?:it|this|that|these|those|they)(?:['’]s|['’]re|\s+is|\s+are|\s+was|\s+were){GAP}(?>{ARTICLE}){NOT_REPLACED}[\w'’-]+", "One description is refused to give another."),
     _rule("not-by-x-but-by-y", "false-correction", "warning", "medium", rf"\bnot{GAP}(by|for|from|with|about|in|on|at|to|of|through|because{GAP}of|out{GAP}of){GAP}(?:[\w'’-]+{GAP}){{0,5}}[\w'’-]+,?{GAP}but{GAP}(?:rather{GAP})?\3{GAP}(?!(?:that|this|it|him|her|them|me|us|you|which|whom|what)\b){ARTICLE}[\w'’-]+", "A correction on a repeated preposition."),
     _rule("everyone-nobody", "cadence", "warning", "high", rf"(?:(?:everyone|everybody)[ \t]+[^,.;:!?\n]{{2,80}},[ \t]{{1,2}}(?:nobody|no[ \t]+one|none(?![ \t]+(?:of|more|less|so)\b|[ \t]+\w+er\b)|one[ \t]+{NOT_A_UNIT})|(?:nobody|no[ \t]+one)[ \t]+[^,.;:!?\n]{{2,80}},[ \t]{{1,2}}(?:everyone|everybody|one[ \t]+{NOT_A_UNIT}))[ \t]+[^,.;:!?\n]{{2,80}}[.;!?]", "All against none in one sentence.", prefix=r"(?:^|(?<=[.!?:;])[ \t]{1,2})"),
-    _rule("punch-sentence", "cadence", "info", "medium", r"(?<![A-Z]\.[ \t]|[A-Z][a-z]\.[ \t]|[A-Z][a-z]{2}\.[ \t]|[A-Z][a-z]{3}\.[ \t]|[ \t][a-z]\.[ \t]|[A-Z]\.[ \t]{2}|[A-Z][a-z]\.[ \t]{2}|[A-Z][a-z]{2}\.[ \t]{2}|[A-Z][a-z]{3}\.[ \t]{2}|[ \t][a-z]\.[ \t]{2})(?:(?:Not|No|Never|Nothing|None)(?:(?:[ \t]|\r?\n(?!\s*\n)[ \t]*)[a-z][A-Za-z'’-]*){0,2}|[A-Z][A-Za-z'’-]{4,})\.(?=[ \t]{1,2}[A-Z](?:[^.!?\n]|\r?\n(?!\s*\n)){40})", "A beat without a verb between two long sentences.", ignore_case=False, prefix=SIXTY, idle=OTHER_SENTENCE),
+    _rule("punch-sentence", "cadence", "info", "medium", r"(?<![A-Z]\.[ \t]|[A-Z][a-z]\.[ \t]|[A-Z][a-z]{2}\.[ \t]|[A-Z][a-z]{3}\.[ \t]|[ \t][a-z]\.[ \t]|[A-Z]\.[ \t]{2}|[A-Z][a-z]\.[ \t]{2}|[A-Z][a-z]{2}\.[ \t]{2}|[A-Z][a-z]{3}\.[ \t]{2}|[ \t][a-z]\.[ \t]{2})(?:(?:Not|No|Never|Nothing|None)(?:(?:[ \t]|\r?\n(?!\s*\n)[ \t]*)[a-z][A-Za-z'’-]*){0,2}|[A-Z][A-Za-z'’-]{4,})\.(?=[ \t]{1,2}[A-Z](?:[^.!?\n]|\r?\n(?!\s*\n)){40})", "A beat without a verb between two long sentences.", ignore_case=False, prefix=SIXTY),
     _rule("np-fragment-and", "cadence", "warning", "medium", rf"(?:A|An|One){GAP}(?:(?!{AUXILIARY})[\w'’-]+{GAP}){{0,2}}(?!{AUXILIARY})[\w'’-]+,?{GAP}and{GAP}(?:a|an|one){GAP}(?:(?!{AUXILIARY})[\w'’-]+(?:{GAP}|(?=\.))){{1,3}}\.(?=\s|\z)", "Two nouns stand for a sentence.", ignore_case=False, prefix=SENTENCE + BULLET),
     _rule("negative-subject", "cadence", "warning", "medium", rf"(?:[*_]{{1,2}})?(?:{NEGATIVE}(?>(?:[ \t]+(?!and\b)[\w'’-]+){{1,8}})[ \t]+and[ \t]+{NEGATIVE}(?>(?:[ \t]+[\w'’-]+){{1,8}}){CLAUSE_END}|(?<=\A|[.;:!?\n][ \t]{{0,40}}|[.;:!?\n][ \t]{{0,40}}[*_]{{1,2}}|\A[*_]{{1,2}}){NEGATIVE}(?>(?:[ \t]+(?!that\b)[\w'’-]+){{1,3}})[ \t]+that[ \t]+(?:(?:does|do|did|has|have|had|is|are|was|were)[ \t]+not|(?:doesn|don|didn|hasn|haven|hadn|isn|aren|wasn|weren)['’]t)(?>(?:[ \t]+[\w'’-]+){{1,10}}){CLAUSE_END})", "A subject that names nobody.", prefix=r"(?:\A|(?<=[.;:!?\n])[ \t]*|\b(?:and|but|or|so|yet|nor)\b[ \t]+)"),
     _rule("quip-question", "reader-address", "info", "medium", rf"(?:No|New|Still|Not|Already|Ready|Curious|Unsure|Stuck|Tired|Confused|Worried){GAP}(?:(?!{QUIP_AUXILIARY})[\w'’-]+{GAP}){{0,3}}(?!{QUIP_AUXILIARY})[\w'’-]+[ \t]*\?", "A question without a verb.", ignore_case=False, prefix=SENTENCE),
-    _rule("mic-drop-closer", "cadence", "info", "medium", rf"(?:Nothing|Most|None|Everything|Everyone|Nobody|Then|Neither|Both)(?:,?{GAP}[\w'’-]+){{1,7}}[.!?]{PARAGRAPH_END}", "A short sweeping closer after a long sentence.", ignore_case=False, prefix=SIXTY, idle=OTHER_SENTENCE),
-    _rule("bare-auxiliary-closer", "cadence", "info", "medium", rf"(?![^.!?\n]*\b(?:what|that|which|who|why|how)\b)[A-Z][\w'’-]*(?:[ \t]+[\w'’-]+){{0,2}}[ \t]+(?:(?:did|does|do|was|were|is|are|had|has|could|would|should|might|must)(?:n['’]t)?|can(?:['’]t)?|will|won['’]t)\.{PARAGRAPH_END}", "A closer that ends on an auxiliary.", ignore_case=False, prefix=SIXTY, idle=OTHER_SENTENCE),
-    _rule("short-run", "cadence", "info", "medium", rf"(?:{SHORT}(?:[ \t]{{1,2}}|\r?\n(?!\s*\n)[ \t]{{0,4}})(?![-*+•][ \t]|o[ \t]+[A-Z]|\d+[.)][ \t]|[A-Za-z][.)][ \t]+[A-Z])){{2}}{SHORT}(?=\s|\z)", "Three short sentences in a row.", ignore_case=False, prefix=r"(?:\A|(?<=\n\n)|(?<=[.!?])[ \t]{0,2}\r?\n|(?<=[.!?])[ \t]{1,2})[ \t]{0,4}(?:[-*+•][ \t]+|o[ \t]+(?=[A-Z])|\d+[.)][ \t]+|[A-Za-z][.)][ \t]+(?=[A-Z]))?", skip=(r"\b(?:Corp|Prof|Dept|Sept|Univ|Assn|approx|misc|cont|Ave|Blvd|Fig|Est|Inc|Ltd|vol|etc|Mrs|Mr|Ms|Dr|St|Jr|Sr|No)\.", r"\A\S+\.[ \t\r\n]+\S+\.[ \t\r\n]+\S+\.\z", r"\A[a-z][^.!?]*\.\s+[a-z][^.!?]*\.\s+[a-z][^.!?]*\.\z")),
+    _rule("mic-drop-closer", "cadence", "info", "medium", rf"(?:Nothing|Most|None|Everything|Everyone|Nobody|Then|Neither|Both)(?:,?{GAP}[\w'’-]+){{1,7}}[.!?]{PARAGRAPH_END}", "A short sweeping closer after a long sentence.", ignore_case=False, prefix=SIXTY),
+    _rule("bare-auxiliary-closer", "cadence", "info", "medium", rf"(?![^.!?\n]*\b(?:what|that|which|who|why|how)\b)[A-Z][\w'’-]*(?:[ \t]+[\w'’-]+){{0,2}}[ \t]+(?:(?:did|does|do|was|were|is|are|had|has|could|would|should|might|must)(?:n['’]t)?|can(?:['’]t)?|will|won['’]t)\.{PARAGRAPH_END}", "A closer that ends on an auxiliary.", ignore_case=False, prefix=SIXTY),
+    _rule("short-run", "cadence", "info", "medium", rf"(?:{SHORT}(?:[ \t]{{1,2}}|\r?\n(?!\s*\n)[ \t]{{0,4}})(?![-*+•][ \t]|o[ \t]+[A-Z]|\d+[.)][ \t]|[A-Za-z][.)][ \t]+[A-Z])){{2}}{SHORT}(?=\s|\z)", "Three short sentences in a row.", ignore_case=False, prefix=r"(?:\A|(?<=\n\n)|(?<=[.!?])[ \t]{0,2}\r?\n|(?<=[.!?])[ \t]{1,2})[ \t]{0,4}(?:[-*+•][ \t]+|o[ \t]+(?=[A-Z])|\d+[.)][ \t]+|[A-Za-z][.)][ \t]+(?=[A-Z]))?", skip=(r"\b(?:Corp|Prof|Dept|Sept|Univ|Assn|approx|misc|cont|Ave|Blvd|Fig|Est|Inc|Ltd|vol|etc|Mrs|Mr|Ms|Dr|St|Jr|Sr|No)\.", r"\A\S+\.[ \t\r\n]+\S+\.[ \t\r\n]+\S+\.\z", r"\A[a-z][^.!?]*\.\s+[a-z][^.!?]*\.\s+[a-z][^.!?]*\.\z"), hint=SHORT_ENDS),
     _rule("trailing-significance-participle", "puffery", "error", "high", r"(?:(?<!\w)|\G)\w++(?<!ing),[ \t]+(?:further[ \t]+|thereby[ \t]+|thus[ \t]+|ultimately[ \t]+)?(?:highlighting|showcasing|reinforcing|shaping|enhancing|cementing|solidifying|embodying|fostering|facilitating|signall?ing(?![ \t]+to\b))(?![ \t]*(?:,|and\b|or\b))[ \t]+\S", "A tail that claims significance."),
     _rule("trailing-restatement", "closer", "warning", "low", rf",{NB}(?:which{NB}means\b|which{NB}is{NB}to{NB}say\b|meaning{NB}(?:that|the|a|an|this|these|those|it|he|she|we|you|they|there|nothing|every|each|any|all|most|some|your|our|their|its)\b|making{NB}(?:it|them|us|you|the(?:{NB}[\w'’-]+){{1,2}}){NB}(?:[a-z]+er|(?:im)?possible|(?:more|less)(?:{NB}[a-z]+)?)(?={NB}(?:to|for|than)\b|[ \t]*[.,;:!?)]|[ \t]*\r?\n|[ \t]*\z)|allowing{NB}(?:it|them|us|you){NB}to\b|giving{NB}(?:them|us|you){NB}(?:more|less|time|room)\b|leaving{NB}(?:them|us|you){NB}with(?:out)?\b)", "A tail that says the sentence again."),
 )

@@ -75,6 +75,7 @@ def spans(text: Column, rule: Rule, low: Column | None = None) -> Column:
     for skip in rule.skip:
         found = _unless(found, skip)
     may = [] if low is None or (words := hopeful(text, low, rule)) is None else [words]
+    may += [F.regexp_like(text, F.lit(rule.flags + rule.hint))] if rule.hint else []
     may += [] if rule.idle else [F.regexp_like(text, F.lit(rule.regex))]
     return F.when(reduce(Column.__and__, may), found).otherwise(F.array().cast(kind)) if may else found
 

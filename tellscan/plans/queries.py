@@ -25,8 +25,9 @@ SHINGLE = 6
 
 
 def spread(docs: DataFrame) -> DataFrame:
-    """docs dealt anew to as many parts as a shuffle has: matching costs far more than moving the texts once."""
-    return docs.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    """docs, dealt to all cores if the files give fewer parts than there are: a large table, in many parts, is never moved for a scan."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

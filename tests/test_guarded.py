@@ -1,3 +1,4 @@
+import random
 import time
 from dataclasses import replace
 
@@ -66,12 +67,24 @@ def test_needed_words_lose_no_note(spark):
         assert docs.select(*[c.alias(r.id) for c, r in zip(both, part, strict=True)]).where(" or ".join(f"not `{r.id}`" for r in part)).isEmpty()
 
 
+def test_hints_lose_no_note(spark):
+    """On texts of short and long sentences dealt at random, a rule with a hint finds what it finds without."""
+    rng = random.Random(83)
+    parts = ["Rain fell.", "We went home.", "They stayed.", "No one came!", f"{LONG}.", f"{LONG}?", "Nothing was decided.", "The mayor did.", "Never again.", "Lovely.", "See p. 3.", "It is a.", "The end"]
+    texts = ["".join(rng.choice(parts) + rng.choice([" ", "  ", "\n", "\n\n", "\n  "]) for _ in range(rng.randrange(3, 14))) for _ in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    hinted = [r for r in RULES if r.hint]
+    got = docs.select(*[F.struct(spans(F.col("text"), r).alias("a"), spans(F.col("text"), replace(r, hint="")).alias("b")).alias(r.id) for r in hinted]).collect()
+    for r in hinted:
+        assert all(x[r.id].a == x[r.id].b for x in got) and any(x[r.id].a for x in got), r.id
+
+
 def test_sentences_that_fail_are_passed_over_once(spark):
     """What idle passes over holds no note: the spans are those of the pattern without it."""
     texts = [f"{LONG}. Never again. {LONG}\n{LONG}. Nothing was decided.\n\nA line\nwithout a stop\n{LONG}! {LONG}. The mayor did.", f"{LONG}\n\n{LONG}, 3.5 more; {LONG}. Most of it was lost.", "x. " * 40 + f"{LONG}.  None of that. {LONG} again and again."]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     for r in (r for r in RULES if r.idle):
-        got = docs.select(spans(F.col("text"), r).alias("a"), spans(F.col("text"), replace(r, idle="")).alias("b")).collect()
+        got = docs.select(spans(F.col("text"), r).alias("a"), spans(F.col("text"), replace(r, idle="", hint="")).alias("b")).collect()
         assert all(x.a == x.b for x in got) and any(x.a for x in got), r.id
 
 
