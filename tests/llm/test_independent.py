@@ -85,6 +85,23 @@ def test_all_links_are_found_whatever_the_tiles(spark, options):
     assert sorted(map(sorted, classes.values())) == sorted(map(sorted, found.values()))
 
 
+@pytest.mark.parametrize("together", [500_000, 20])
+def test_components_of_long_chains_and_random_edges(spark, monkeypatch, together):
+    monkeypatch.setattr(graph, "TOGETHER", together)
+    rng = random.Random(73)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(260)] + [(i, i + 1) for i in range(5000, 5150)]
+    root = {x: x for e in edges if e[0] != e[1] for x in e}
+    for _ in root:
+        for a, b in edges:
+            if a != b:
+                root[a] = root[b] = min(root[a], root[b])
+    rows = spark.createDataFrame([*edges, *edges[:5]], "src long, dst long").repartition(3)
+    assert {r.node: r.root for r in graph.connected_components(rows).collect()} == root
+    pairs = rows.select(*[F.struct(F.col(c).alias("t"), F.lit(1).alias("u")).alias(c) for c in ("src", "dst")])
+    assert {r.node.t: r.root.t for r in graph.connected_components(pairs).collect()} == root
+    assert graph.connected_components(rows.where("false")).count() == 0
+
+
 def spelt_profiles(rows, size=300):
     """rank of each n-gram by language, from grams spelt out word by word."""
     counts = {}
