@@ -22,6 +22,36 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+#: Pieces of a text that are folded together.
+CHUNK = 256
+
+
+def fold(pieces: Column, state: dict[str, Column], kind: str, step: Callable[[Column, Column], tuple[dict[str, Column], Column]]) -> Column:
+    """The arrays of kind that step gives for each piece, joined, while it carries state from piece to piece; null for null.
+
+    A fold copies its state at each step, all that it has gathered with it. So pieces are folded in chunks, and only
+    the chunks gather everything: the copies grow with pieces times CHUNK and not with the square of pieces.
+    """
+    none = F.array().cast(kind).alias("found")
+
+    def inner(acc: Column, x: Column) -> Column:
+        after, new = step(acc, x)
+        return F.struct(*[after[n].alias(n) for n in state], F.concat(acc["found"], new).alias("found"))
+
+    def outer(of: Column) -> Callable[[Column, Column], Column]:
+        def one(acc: Column, k: Column) -> Column:
+            part = F.aggregate(F.slice(of, k * CHUNK + 1, F.lit(CHUNK)), F.struct(*[acc[n].alias(n) for n in state], none), inner)
+            return let(part, lambda r: F.struct(*[r[n].alias(n) for n in state], F.concat(acc["found"], r["found"]).alias("found")))
+
+        return one
+
+    def all_of(of: Column) -> Column:
+        chunks = F.sequence(F.lit(0), F.floor((F.greatest(F.size(of), F.lit(1)) - 1) / CHUNK).cast("int"))
+        return F.aggregate(chunks, F.struct(*[c.alias(n) for n, c in state.items()], none), outer(of), lambda acc: acc["found"])
+
+    return let(pieces, lambda of: F.when(of.isNotNull(), all_of(of)))
+
+
 def blank_markdown(text: Column) -> Column:
     """text with code, comments and URLs as blanks of equal length, line breaks kept."""
     between = F.split(text, MARKDOWN_NOISE, -1)
@@ -65,13 +95,12 @@ def spans(text: Column, rule: Rule, low: Column | None = None) -> Column:
     groups = {"g": 0} | ({"b": 2} if rule.prefix or rule.idle else {})
     pieces = F.arrays_zip(F.split(text, rule.regex, -1).alias("p"), *[F.regexp_extract_all(text, F.lit(rule.regex), F.lit(n)).alias(c) for c, n in groups.items()])
 
-    def step(acc: Column, x: Column) -> Column:
+    def step(acc: Column, x: Column) -> tuple[dict[str, Column], Column]:
         m = x["b"] if "b" in groups else x["g"]
         end = acc["at"] + F.length(x["p"]) + F.coalesce(F.length(x["g"]), F.lit(0))
-        new = F.array(F.struct((end - F.length(m)).alias("off"), m.alias("m")))
-        return F.struct(end.alias("at"), F.when(m.isNull() | (m == ""), acc["found"]).otherwise(F.concat(acc["found"], new)).alias("found"))
+        return {"at": end}, F.when(m.isNull() | (m == ""), F.array().cast(kind)).otherwise(F.array(F.struct((end - F.length(m)).alias("off"), m.alias("m"))))
 
-    found = F.aggregate(pieces, F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("found")), step, lambda acc: acc["found"])
+    found = fold(pieces, {"at": F.lit(0)}, kind, step)
     for skip in rule.skip:
         found = _unless(found, skip)
     may = [] if low is None or (words := hopeful(text, low, rule)) is None else [words]

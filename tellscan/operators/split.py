@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tellscan.operators.furniture import INLINE, copies
-from tellscan.operators.scan import SIDE, let, squash
+from tellscan.operators.scan import SIDE, fold, let, squash
 
 #: What separates paragraphs and sentences, and what ends a piece that goes on.
 PARAGRAPH_BREAK = r"\r?\n[ \t ]*\r?\n"
@@ -32,16 +32,16 @@ def _breaks(text: Column) -> Column:
 def paragraphs(text: Column) -> Column:
     """array of (offset, length, line, column, text): blocks between blank lines, trimmed; offset is a code point of text, from 0."""
 
-    def step(acc: Column, x: Column) -> Column:
+    def step(acc: Column, x: Column) -> tuple[dict[str, Column], Column]:
         lead = F.length(x["p"]) - F.length(F.regexp_replace(x["p"], r"\A[\s\x00]+", ""))
         before = F.substring(x["p"], F.lit(1), lead)
         body = F.regexp_replace(x["p"], r"\A[\s\x00]+|[\s\x00]+\z", "")
         place = (acc["line"] + _breaks(before)).alias("line"), (F.length(F.substring_index(before, "\n", -1)) + 1).alias("column")  # a piece begins a line
         new = F.array(F.struct((acc["at"] + lead).alias("offset"), F.length(body).alias("length"), *place, body.alias("text")))
         whole = F.concat(x["p"], F.coalesce(x["g"], F.lit("")))
-        return F.struct((acc["at"] + F.length(whole)).alias("at"), (acc["line"] + _breaks(whole)).alias("line"), F.when(body == "", acc["found"]).otherwise(F.concat(acc["found"], new)).alias("found"))
+        return {"at": acc["at"] + F.length(whole), "line": acc["line"] + _breaks(whole)}, F.when(body == "", F.array().cast(SPAN)).otherwise(new)
 
-    return F.aggregate(_pieces(text, PARAGRAPH_BREAK), F.struct(F.lit(0).alias("at"), F.lit(1).alias("line"), F.array().cast(SPAN).alias("found")), step, lambda acc: acc["found"])
+    return fold(_pieces(text, PARAGRAPH_BREAK), {"at": F.lit(0), "line": F.lit(1)}, SPAN, step)
 
 
 def sentences(body: Column, base: Column, text: Column | None = None, shown: Column | None = None) -> Column:
@@ -52,16 +52,21 @@ def sentences(body: Column, base: Column, text: Column | None = None, shown: Col
     text = body if text is None else text
     shown = text if shown is None else shown
 
-    def step(acc: Column, x: Column) -> Column:
-        start = F.coalesce(acc["start"], acc["at"])
-        end = acc["at"] + F.length(x["p"])
-        more = x["g"].isNotNull() & F.regexp_like(x["p"], F.lit(GOES_ON))
-        cut = [squash(F.substring(c, start + 1, end - start)).alias(n) for c, n in ((text, "text"), (shown, "asked"))]
-        new = F.array(F.struct((base + start).alias("offset"), (end - start).alias("length"), *cut))
-        return F.struct((end + F.coalesce(F.length(x["g"]), F.lit(0))).alias("at"), F.when(more, start).alias("start"), F.when(more, acc["found"]).otherwise(F.concat(acc["found"], new)).alias("found"))
-
-    first = F.struct(F.lit(0).alias("at"), F.lit(None).cast("int").alias("start"), F.array().cast(SENTENCE).alias("found"))
-    return F.aggregate(_pieces(body, SENTENCE_BREAK), first, step, lambda acc: acc["found"])
+    def cut(same: Column) -> Column:
+        def step(acc: Column, x: Column) -> tuple[dict[str, Column], Column]:
+            start = F.coalesce(acc["start"], acc["at"])
+            end = acc["at"] + F.length(x["p"])
+            raw = F.concat(acc["raw"], x["p"])
+            more = x["g"].isNotNull() & F.regexp_like(x["p"], F.lit(GOES_ON))
+            pieces = [squash(F.when(same, raw).otherwise(F.substring(c, start + 1, end - start))).alias(n) for c, n in ((text, "text"), (shown, "asked"))]
+            new = F.array(F.struct((base + start).alias("offset"), (end - start).alias("length"), *pieces))
+            after = {"at": end + F.coalesce(F.length(x["g"]), F.lit(0)), "start": F.when(more, start), "raw": F.when(more, F.concat(raw, x["g"])).otherwise(F.lit(""))}
+            return after, F.when(more, F.array().cast(SENTENCE)).otherwise(new)
+
+        return fold(_pieces(body, SENTENCE_BREAK), {"at": F.lit(0), "start": F.lit(None).cast("int"), "raw": F.lit("")}, SENTENCE, step)
+
+    # where nothing was blanked, a sentence is its pieces, and no text is walked from its start for each sentence
+    return let((text == body) & (shown == body), cut)
 
 
 def _cut(text: Column, markdown: bool) -> Column:

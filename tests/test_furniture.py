@@ -1,9 +1,12 @@
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
+from tellscan.functions.catalog import BY_ID
 from tellscan.operators.furniture import INLINE, copies
+from tellscan.operators.scan import scan
 from tellscan.operators.split import split
 
 TEXT = """---
@@ -93,3 +96,17 @@ def test_crlf_splits_alike(spark):
 def test_many_lines(spark):
     text = "- item\nSome prose here. And more.\n\n" * 10_000
     assert split(spark.createDataFrame([(1, text)], "doc_id long, text string"), markdown=True).count() == 10_000
+
+
+def test_pieces_beyond_one_chunk_take_their_share_of_time(spark):
+    """Three times CHUNK pieces and more: offsets run on over chunks, and 20,000 sentences take no time that grows with their square."""
+    text = "e.g. One. " + "Two words.\n" * 700 + "Fig. 3.\n\nAn end. U.S. Trade — fell — too. " * 600
+    rows = split(spark.createDataFrame([(1, text)], "doc_id long, text string")).orderBy("paragraph").collect()
+    assert len(rows) == 601 and len(rows[0].sentences) == 702
+    assert all(" ".join(text[s.offset : s.offset + s.length].split()) == s.text for r in rows for s in r.sentences)
+    assert all(text[r.offset : r.offset + r.length].split() == r.text.split() for r in rows)
+    notes = scan(spark.createDataFrame([(1, text)], "doc_id long, text string"), [BY_ID["em-dash"]])
+    assert notes.count() == 1200 and notes.select(F.max("line")).first()[0] == text.count("\n") + 1
+    began = time.time()
+    many = spark.createDataFrame([(1, "A sentence of words. " * 20_000), (2, "A paragraph.\n\n" * 20_000)], "doc_id long, text string")
+    assert split(many).selectExpr("sum(size(sentences))").first()[0] == 40_000 and time.time() - began < 30
