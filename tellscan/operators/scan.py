@@ -95,12 +95,14 @@ def spans(text: Column, rule: Rule, low: Column | None = None) -> Column:
     groups = {"g": 0} | ({"b": 2} if rule.prefix or rule.idle else {})
     pieces = F.arrays_zip(F.split(text, rule.regex, -1).alias("p"), *[F.regexp_extract_all(text, F.lit(rule.regex), F.lit(n)).alias(c) for c, n in groups.items()])
 
-    def step(acc: Column, x: Column) -> tuple[dict[str, Column], Column]:
+    def step(acc: Column, x: Column) -> Column:
         m = x["b"] if "b" in groups else x["g"]
         end = acc["at"] + F.length(x["p"]) + F.coalesce(F.length(x["g"]), F.lit(0))
-        return {"at": end}, F.when(m.isNull() | (m == ""), F.array().cast(kind)).otherwise(F.array(F.struct((end - F.length(m)).alias("off"), m.alias("m"))))
+        new = F.array(F.struct((end - F.length(m)).alias("off"), m.alias("m")))
+        return F.struct(end.alias("at"), F.when(m.isNull() | (m == ""), acc["found"]).otherwise(F.concat(acc["found"], new)).alias("found"))
 
-    found = fold(pieces, {"at": F.lit(0)}, kind, step)
+    # a plain fold: notes of one rule in one text are few, and a plan has one for each rule
+    found = F.aggregate(pieces, F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("found")), step, lambda acc: acc["found"])
     for skip in rule.skip:
         found = _unless(found, skip)
     may = [] if low is None or (words := hopeful(text, low, rule)) is None else [words]
