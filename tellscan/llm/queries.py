@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tellscan.llm import chat, decontam, fingerprint, langid, licenses, linededup, mixing, passages, simhash, suffixes
+from tellscan.llm import chat, decontam, fim, fingerprint, htmltext, langid, licenses, linededup, mixing, passages, resample, simhash, suffixes
 from tellscan.llm._util import table
 
 
@@ -52,6 +52,18 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.report(table(spark, sf_dir, "documents"))
+
+
+def op13_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.report(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_substring_dedup": op2_substring_dedup,
@@ -63,6 +75,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_language_id": op9_language_id,
     "op10_decontamination": op10_decontamination,
+    "op11_importance_resampling": op11_importance_resampling,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_html_extraction": op13_html_extraction,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -70,6 +85,8 @@ ORACLE_SQL: dict[str, str] = {
     "op6_license_scans": licenses.oracle_sql(),
     "op3_line_dedup": linededup.ORACLE_SQL,
     "op8_mixing": mixing.ORACLE_SQL,
+    "op11_importance_resampling": resample.ORACLE_SQL,
+    "op12_fill_in_middle": fim.ORACLE_SQL,
     "op10_decontamination": r"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
