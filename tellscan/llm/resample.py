@@ -1,9 +1,10 @@
 """Operator 11: importance resampling towards a target distribution, by DuckDB in each partition.
 
 Runs of one and two words are hashed into buckets, and the documents' and the target's shares of a bucket give its gain.
-In each partition DuckDB unnests the words of its rows, forms n-grams by window and counts them by a bucket that a
-registered zlib CRC gives. These counts, at most BUCKETS rows for a partition, are written as Parquet; Spark adds them up
-to gains. A second pass means the gains over a document, adds noise from a hash of its id, and the highest scores are drawn.
+In each partition DuckDB unnests the words of its rows, forms n-grams by window and takes their buckets by a registered
+zlib CRC. The buckets of each row and the counts of each partition are written as Parquet in one pass over the texts;
+Spark adds the counts up to gains and means these over the buckets of each row. Noise from a hash of the row's id is
+added, and the highest scores are drawn.
 """
 
 from __future__ import annotations
@@ -25,44 +26,57 @@ MOST_WORDS, BUCKETS, PERCENT, MIN_WORDS, SEED = 2, 10_000, 25, 20, 7
 
 
 def _ngrams(most_words: int, buckets: int) -> str:
-    """DuckDB SQL: the CTE f(pos, bucket) with a row for each n-gram of batch(pos, body), repeats included."""
+    """DuckDB SQL over batch(pos, body): pos, k and bucket of each run of k words, repeats included, row after row."""
     leads = "".join(f", lead(w, {k}) OVER () AS w{k}, lead(pos, {k}) OVER () AS pos{k}" for k in range(1, most_words))
     runs = ["w", *[f"CASE WHEN pos{k} = pos THEN w || {' || '.join(f"' ' || w{j}" for j in range(1, k + 1))} END" for k in range(1, most_words)]]
     return f"""
-d AS (SELECT pos, regexp_extract_all(translate(body, '{UPPER}', '{LOWER}'), '{WORD}') AS words FROM batch),
-u AS (SELECT pos, unnest(words) AS w FROM d),
+WITH u AS (SELECT pos, unnest(regexp_extract_all(translate(body, '{UPPER}', '{LOWER}'), '{WORD}')) AS w FROM batch),
 n AS (SELECT pos, w{leads} FROM u),
-g AS (SELECT pos, unnest([{', '.join(runs)}]) AS gram FROM n),
-f AS (SELECT pos, (crc32(gram) % {buckets})::INTEGER AS bucket FROM g WHERE gram IS NOT NULL)"""
+g AS (SELECT pos, unnest({list(range(1, most_words + 1))}) AS k, unnest([{', '.join(runs)}]) AS gram FROM n)
+SELECT pos, k, (crc32(gram) % {buckets})::INTEGER AS bucket FROM g WHERE gram IS NOT NULL"""
 
 
-def _body(text_col: str) -> Column:
-    return F.make_valid_utf8(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-
-
-def bucket_counts(docs: DataFrame, text_col: str = "text", most_words: int = MOST_WORDS, buckets: int = BUCKETS) -> DataFrame:
-    """(bucket, n): n-grams by bucket, a row for each bucket that a partition has."""
-    sql = f"WITH {_ngrams(most_words, buckets)} SELECT bucket, count(*) AS n FROM f GROUP BY bucket"
+def spill(docs: DataFrame, text_col: str = "text", most_words: int = MOST_WORDS, buckets: int = BUCKETS, keep_text: bool = False) -> tuple[DataFrame, DataFrame, list[str]]:
+    """(rows, counts, names), written in one pass: the columns of docs with the number of words and the buckets of all runs
+    of words, under these names, and (bucket, n) a row for each bucket that a partition has.
+    """
+    body, words, held, counted = (fresh(docs, c) for c in ("dsir_body", "dsir_words", "dsir_buckets", "dsir_counts"))
+    sql = _ngrams(most_words, buckets)
+    given = docs.withColumn(body, F.make_valid_utf8(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    kept = [c for c in docs.columns if keep_text or c != text_col]
+    schema = duck.with_columns(docs.select(*[F.when(F.lit(True), F.col(f"`{c}`")).alias(c) for c in kept]), {words: "long", held: "array<int>", counted: "array<long>"})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(buckets, np.int64)
-        for rows in duck.slices(batches, "body"):
-            found = duck.ask(sql, duck.numbered(rows, ["body"]))
-            sums[found.column("bucket").to_numpy()] += found.column("n").to_numpy()
-        held = np.flatnonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(held.astype(np.int32)), pa.array(sums[held])], ["bucket", "n"])
-
-    return docs.select(_body(text_col).alias("body")).mapInArrow(run, "bucket int, n long")
-
-
-def gains(docs: DataFrame, target: DataFrame, text_col: str = "text", target_text: str = "text", most_words: int = MOST_WORDS, buckets: int = BUCKETS) -> DataFrame:
-    """(bucket, gain) for every bucket: 1000 times the log ratio of the smoothed shares that target and docs have in it, floored."""
-    sides = [bucket_counts(docs, text_col, most_words, buckets).withColumn("ours", F.lit(True)), bucket_counts(target, target_text, most_words, buckets).withColumn("ours", F.lit(False))]
-    counts = save(sides[0].unionByName(sides[1]), "bucket-counts")
-    of = lambda ours: F.coalesce(F.sum(F.when(F.col("ours") == ours, F.col("n"))), F.lit(0)).cast("double")
+        sums, kinds = np.zeros(buckets, np.int64), None
+        for rows in duck.slices(batches, body):
+            found = duck.ask(sql, duck.numbered(rows, [body]).rename_columns(["pos", "body"]))
+            pos, k, bucket = (found.column(c).to_numpy() for c in ("pos", "k", "bucket"))
+            if np.any(pos[1:] < pos[:-1]):
+                raise RuntimeError("rows came back in another order")
+            sums += np.bincount(bucket, minlength=buckets)
+            ends = np.concatenate([[0], np.cumsum(np.bincount(pos, minlength=rows.num_rows))])
+            n_words = np.bincount(pos[k == 1], minlength=rows.num_rows)
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(bucket, pa.int32()))
+            own = [rows.column(rows.schema.get_field_index(c)) for c in kept]
+            kinds = [c.type for c in own]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(n_words, pa.int64()), lists, pa.nulls(rows.num_rows, pa.list_(pa.int64()))], [*kept, words, held, counted])
+        if kinds is not None:
+            total = [pa.nulls(1, t) for t in kinds]
+            yield pa.RecordBatch.from_arrays([*total, pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(pa.int32())), pa.array([sums], pa.list_(pa.int64()))], [*kept, words, held, counted])
+
+    written = save(given.mapInArrow(run, schema), "buckets")
+    of_rows, of_parts = F.col(counted).isNull(), F.col(counted).isNotNull()
+    counts = written.where(of_parts).select(F.posexplode(counted).alias("bucket", "n")).where("n > 0")
+    return written.where(of_rows).drop(counted), counts, [words, held]
+
+
+def gains(ours: DataFrame, theirs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """(bucket, gain) for every bucket, from two tables of counts: 1000 times the log ratio of the smoothed shares that theirs and ours have in it, floored."""
+    counts = ours.withColumn("ours", F.lit(True)).unionByName(theirs.withColumn("ours", F.lit(False)))
+    of = lambda side: F.coalesce(F.sum(F.when(F.col("ours") == side, F.col("n"))), F.lit(0)).cast("double")
     merged = counts.groupBy("bucket").agg(of(True).alias("s"), of(False).alias("t"))
     total = counts.agg(of(True).alias("s_all"), of(False).alias("t_all"))
-    full = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket")).join(merged, "bucket", "left").fillna(0.0, ["s", "t"])
+    full = ours.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket")).join(merged, "bucket", "left").fillna(0.0, ["s", "t"])
     ratio = (F.col("t") + 1.0) * (F.col("s_all") + float(buckets)) / ((F.col("s") + 1.0) * (F.col("t_all") + float(buckets)))
     # one row, of two numbers, beside a row for each bucket
     return full.crossJoin(F.broadcast(total)).select("bucket", F.floor(F.lit(1000.0) * F.log(ratio)).cast("long").alias("gain"))
@@ -74,34 +88,30 @@ def noise(id_: Column, seed: int = SEED) -> Column:
     return F.floor(F.lit(-1000.0) * F.log(-F.log((h + 0.5) / 4294967296.0))).cast("long")
 
 
-def score(docs: DataFrame, gain: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_words: int = MOST_WORDS, buckets: int = BUCKETS, seed: int = SEED) -> DataFrame:
-    """The rows of docs with dsir_words, dsir_features, dsir_weight and dsir_score.
+def score(rows: DataFrame, gain: DataFrame, names: list[str], id_col: str = "doc_id", buckets: int = BUCKETS, seed: int = SEED) -> DataFrame:
+    """rows, as spilled, with dsir_features, dsir_weight and dsir_score in place of their buckets.
 
-    Texts without words have no features and weight 0; the mean is floored towards minus infinity. The gains go to every
-    task: `buckets` numbers, however large docs is.
+    Rows without features have weight 0; the mean is floored towards minus infinity. The gains go to every task:
+    `buckets` numbers, however many rows there are.
     """
     table = sorted((r.bucket, r.gain) for r in gain.collect())  # a row for each bucket
-    held = docs.sparkSession.sparkContext.broadcast(np.array([g for _, g in table], np.int64))
-    body = fresh(docs, "dsir_body")
-    names = [fresh(docs, c) for c in ("dsir_words", "dsir_features", "dsir_gain", "dsir_weight", "dsir_score")]
-    words, features, total, weight, score_ = names
-    sql = f"""
-WITH {_ngrams(most_words, buckets)},
-m AS (SELECT pos, count(*) AS features, sum(gain)::BIGINT AS gain FROM f JOIN gains USING (bucket) GROUP BY pos)
-SELECT d.pos, len(words)::BIGINT AS words, coalesce(features, 0) AS features, coalesce(gain, 0) AS gain FROM d LEFT JOIN m USING (pos) ORDER BY d.pos"""
-    types = {words: pa.int64(), features: pa.int64(), total: pa.int64()}
-    given = docs.withColumn(body, _body(text_col))
+    sent = rows.sparkSession.sparkContext.broadcast(np.array([g for _, g in table], np.int64))
+    held = names[1]
+    features, weight, score_ = (fresh(rows, c) for c in ("dsir_features", "dsir_weight", "dsir_score"))
+    kept = [c for c in rows.columns if c != held]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gains = pa.table({"bucket": pa.array(np.arange(buckets, dtype=np.int32)), "gain": pa.array(held.value)})
-        for rows in duck.slices(batches, body):
-            found = duck.ask(sql, duck.numbered(rows, [body]).rename_columns(["pos", "body"]), gains=gains)
-            yield duck.joined(rows, found, types)
+        for b in batches:
+            lists = b.column(b.schema.get_field_index(held))
+            sums = np.concatenate([[0], np.cumsum(sent.value[lists.flatten().to_numpy()])])
+            ends = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+            n = np.diff(ends)
+            own = [b.column(b.schema.get_field_index(c)) for c in kept]
+            # whole numbers throughout: a quotient of doubles could round up to the next one
+            yield pa.RecordBatch.from_arrays([*own, pa.array(n, pa.int64()), pa.array((sums[ends[1:]] - sums[ends[:-1]]) // np.maximum(n, 1), pa.int64())], [*kept, features, weight])
 
-    out = given.mapInArrow(run, duck.with_columns(given, dict.fromkeys(types, "long"))).drop(body)
-    # whole numbers throughout: a quotient of doubles could round up to the next one
-    out = out.withColumn(weight, F.expr(f"(`{total}` - pmod(`{total}`, greatest(`{features}`, 1L))) div greatest(`{features}`, 1L)"))
-    return out.withColumn(score_, F.col(weight) + noise(F.col(id_col), seed)).drop(total)
+    out = rows.mapInArrow(run, duck.with_columns(rows.drop(held), {features: "long", weight: "long"}))
+    return out.withColumn(score_, F.col(weight) + noise(F.col(id_col), seed))
 
 
 def resample(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", target_text: str = "text", percent: int = PERCENT, min_words: int = MIN_WORDS, most_words: int = MOST_WORDS, buckets: int = BUCKETS, seed: int = SEED, keep_text: bool = False) -> DataFrame:
@@ -115,8 +125,9 @@ def resample(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_co
     driver, a few ten thousand rows at any size) says how many rows lie above each, and ties are numbered score by score.
     The noise spreads rows over some thousand scores, equal texts too.
     """
-    scored = score(docs, gains(docs, target, text_col, target_text, most_words, buckets), id_col, text_col, most_words, buckets, seed)
-    scored = save(scored if keep_text else scored.drop(text_col), "scored")
+    rows, ours, names = spill(docs, text_col, most_words, buckets, keep_text)
+    _, theirs, _ = spill(target.select(F.col(target_text).alias("text")), "text", most_words, buckets)
+    scored = save(score(rows, gains(ours, theirs, buckets), names, id_col, buckets, seed), "scored")
     words, _, _, score_ = scored.columns[-4:]
     rank = fresh(docs, "dsir_rank")
     able = scored.where(F.col(words) >= min_words)
