@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tellscan.operators.scan import MARKDOWN_NOISE, let
+from tellscan.operators.arrays import CHUNK, chunks, let
+from tellscan.operators.scan import MARKDOWN_NOISE
 
 #: Fixed value: stands for each character of inline code and URLs; a private code point, so no prose has it.
 INLINE = "\ue000"
@@ -63,32 +64,76 @@ def _shapes(lines: Column) -> Column:
     return F.zip_with(lines, F.slice(lines, 2, F.size(lines)), shape)
 
 
+#: What a line leaves for the next one: prose; nothing, after a blank or dropped line; a list item; code; code in a list item.
+STATES = "PBICX"
+
+
+def _transitions(shapes: Column, front: Column, markdown: bool) -> Column:
+    """array of (next, gone) for each line: for each of STATES before it, in their order, the state after it, and whether the line is dropped (1 or 0)."""
+
+    def line(x: Column, k: Column) -> Column:
+        titled = F.coalesce(F.get(shapes, k - 1)["title"], F.lit(False))
+        always = (k < front) | x["furniture"] | x["title"] | titled
+        if markdown:
+            always = always | x["html"] | x["lone"]
+
+        def after(state: str) -> tuple[Column, Column]:
+            listed = x["bullet"] | (x["ordered"] if state != "P" else x["ordered"] & x["first"])
+            item = (listed | x["continued"]) if state in "IX" else listed
+            code = F.lit(False)
+            if markdown and state in "CX":
+                code = x["indented"] | x["blank"]
+            elif markdown and state == "B":
+                code = x["indented"]
+            gone = always | item | code
+            if markdown and state != "P":
+                gone = gone | x["ended"]
+            to = F.when(item & code, "X").when(item, "I").when(code, "C").when(gone | x["blank"], "B").otherwise("P")
+            return to, F.when(gone, "1").otherwise("0")
+
+        all_of = [after(state) for state in STATES]
+        plain = ~(always | x["bullet"] | x["ordered"] | x["continued"] | x["indented"] | x["ended"] | x["blank"])
+        known = F.struct(F.lit("P" * len(STATES)).alias("next"), F.lit("0" * len(STATES)).alias("gone"))
+        return F.when(plain, known).otherwise(F.struct(F.concat(*[t for t, _ in all_of]).alias("next"), F.concat(*[g for _, g in all_of]).alias("gone")))
+
+    return F.transform(shapes, line)
+
+
+def _then(first: Column, then: Column) -> Column:
+    """The states that `then` leads to from those that first leads to: what two transitions do one after the other."""
+    return F.call_function("translate", first, F.lit(STATES), then)
+
+
 def dropped_lines(lines: Column, markdown: bool) -> Column:
-    """A string with 1 for each line that is furniture and 0 for each other, in one walk over the lines.
+    """A string with 1 for each line that is furniture and 0 for each other.
 
-    A walk is needed since a line's reading hangs on the one before: whether a list item, a paragraph or code runs on.
+    A line's reading hangs on the one before: whether a list item, a paragraph or code runs on. So each line is a
+    function from the state before it to the state after it, and such functions compose: the lines of a chunk make
+    one function, these give the state in which each chunk begins, and the chunks are then read apart from each other.
     """
-    yes, no = F.lit(True), F.lit(False)
     front = _front_lines(lines) if markdown else F.lit(0)
 
-    def step(acc: Column, x: Column) -> Column:
-        listed = x["bullet"] | (x["ordered"] & (~acc["prose"] | x["first"]))
-        runs_on = acc["item"] & x["continued"]
-        code = ((acc["code"] & (x["indented"] | x["blank"])) | (x["indented"] & ~acc["item"] & acc["opens"])) if markdown else no
-        gone = (acc["at"] < acc["front"]) | code | listed | x["furniture"] | runs_on | x["title"] | acc["title"]
-        if markdown:
-            gone = gone | x["html"] | x["lone"] | (~acc["prose"] & x["ended"])
+    def walked(moves: Column) -> Column:
+        def of_chunk(c: Column) -> Column:
+            return F.sequence(c * CHUNK, F.least(c * CHUNK + CHUNK, F.size(moves)) - 1)
+
+        def begins(states: Column) -> Column:
+            return F.aggregate(states, F.struct(F.lit("B").alias("at"), F.lit("").alias("all")), lambda acc, f: F.struct(_then(acc["at"], f).alias("at"), F.concat(acc["all"], acc["at"]).alias("all")), lambda acc: acc["all"])
+
+        def read(start: Column) -> Column:
+            def one(c: Column) -> Column:
+                def step(acc: Column, k: Column) -> Column:
+                    move = F.get(moves, k)
+                    return F.struct(_then(acc["at"], move["next"]).alias("at"), F.concat(acc["out"], _then(acc["at"], move["gone"])).alias("out"))
+
+                return F.aggregate(of_chunk(c), F.struct(F.substring(start, c + 1, F.lit(1)).alias("at"), F.lit("").alias("out")), step, lambda acc: acc["out"])
 
-        def state(g: Column) -> Column:
-            return F.struct(
-                (acc["at"] + 1).alias("at"), acc["front"].alias("front"), (listed | runs_on).alias("item"), (~g & ~x["blank"]).alias("prose"), code.alias("code"),
-                (x["blank"] | g).alias("opens"), x["title"].alias("title"), F.concat(acc["out"], F.when(g, "1").otherwise("0")).alias("out"),
-            )
+            return F.array_join(F.transform(chunks(F.size(moves)), one), "")
 
-        return let(gone, state)
+        composed = F.transform(chunks(F.size(moves)), lambda c: F.aggregate(of_chunk(c), F.lit(STATES), lambda acc, k: _then(acc, F.get(moves, k)["next"])))
+        return let(begins(composed), read)
 
-    start = F.struct(F.lit(0).alias("at"), front.alias("front"), no.alias("item"), no.alias("prose"), no.alias("code"), yes.alias("opens"), no.alias("title"), F.lit("").alias("out"))
-    return F.aggregate(_shapes(lines), start, step, lambda acc: acc["out"])
+    return let(F.struct(_shapes(lines).alias("shapes"), front.alias("front")), lambda x: let(_transitions(x["shapes"], x["front"], markdown), walked))
 
 
 def _blanked(lines: Column, gone: Column) -> Column:

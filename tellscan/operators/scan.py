@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from tellscan.functions.catalog import Rule, select_rules
 from tellscan.functions.literals import needed_words
+from tellscan.operators.arrays import fold, let
+from tellscan.operators.echo import echo_spans
+from tellscan.operators.table import after_last_line_end, block_table, cut, place
 
 #: Context on each side of a match, and the length of a match that needs none.
 SIDE, ALONE = 40, 40
@@ -18,40 +21,6 @@ MARKDOWN_NOISE = r"(?md)(?s:^[ \t]*`{3,}[^\n]*\n.*?^[ \t]*`{3,}[ \t]*$|<!--.*?--
 NOTE_FIELDS = ("line", "column", "severity", "confidence", "rule", "category", "message", "excerpt", "context", "count", "rationale", "suggestion")
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    return F.transform(F.array(value), body)[0]
-
-
-#: Pieces of a text that are folded together.
-CHUNK = 256
-
-
-def fold(pieces: Column, state: dict[str, Column], kind: str, step: Callable[[Column, Column], tuple[dict[str, Column], Column]]) -> Column:
-    """The arrays of kind that step gives for each piece, joined, while it carries state from piece to piece; null for null.
-
-    A fold copies its state at each step, all that it has gathered with it. So pieces are folded in chunks, and only
-    the chunks gather everything: the copies grow with pieces times CHUNK and not with the square of pieces.
-    """
-    none = F.array().cast(kind).alias("found")
-
-    def inner(acc: Column, x: Column) -> Column:
-        after, new = step(acc, x)
-        return F.struct(*[after[n].alias(n) for n in state], F.concat(acc["found"], new).alias("found"))
-
-    def outer(of: Column) -> Callable[[Column, Column], Column]:
-        def one(acc: Column, k: Column) -> Column:
-            part = F.aggregate(F.slice(of, k * CHUNK + 1, F.lit(CHUNK)), F.struct(*[acc[n].alias(n) for n in state], none), inner)
-            return let(part, lambda r: F.struct(*[r[n].alias(n) for n in state], F.concat(acc["found"], r["found"]).alias("found")))
-
-        return one
-
-    def all_of(of: Column) -> Column:
-        chunks = F.sequence(F.lit(0), F.floor((F.greatest(F.size(of), F.lit(1)) - 1) / CHUNK).cast("int"))
-        return F.aggregate(chunks, F.struct(*[c.alias(n) for n, c in state.items()], none), outer(of), lambda acc: acc["found"])
-
-    return let(pieces, lambda of: F.when(of.isNotNull(), all_of(of)))
-
-
 def blank_markdown(text: Column) -> Column:
     """text with code, comments and URLs as blanks of equal length, line breaks kept."""
     between = F.split(text, MARKDOWN_NOISE, -1)
@@ -68,80 +37,99 @@ def folded(text: Column) -> Column:
     return F.lower(F.translate(text, "\u017f\u0131\u0130\u212a", "siik"))
 
 
-def comes_back(text: Column, n: int) -> Column:
-    """Whether n words in a row stand in a text more than once; a word is a run of ASCII letters, digits and underscores."""
-
-    def again(words: Column) -> Column:
-        runs = F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - n, F.lit(0))), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(n)]))
-        return (F.size(words) > n) & let(runs, lambda r: F.size(F.array_distinct(r)) < F.size(r))
-
-    return let(F.regexp_extract_all(text, F.lit(r"\w+"), F.lit(0)), again)
-
-
 def hopeful(text: Column, low: Column, rule: Rule) -> Column | None:
     """Whether a text, folded to low, holds what every match needs; None where the rule has no such thing."""
-    if rule.echo:
-        return comes_back(text, rule.echo)
     found = [F.contains(low, F.lit(w)) for w in needed_words(rule.pattern)]
     return reduce(Column.__or__, found) if found else None
 
 
-def spans(text: Column, rule: Rule, low: Column | None = None) -> Column:
-    """array of (off, m): 0-based code point offset and text of each match, left to right. low is the folded text.
+PIECES = "array<struct<ord:int,first:boolean,p:int,g:int,m:string>>"
+SPANS = "array<struct<ord:int,off:int,m:string>>"
+
+
+def _pieces(text: Column, rule: Rule, low: Column | None, ord: int = 0) -> Column:
+    """array of (ord, first, p, g, m): lengths of what stands before a match and of the match, and what is reported of it; null m for none.
 
     The pattern runs only where the text holds a needed word, and its places are taken only where it matches.
     """
-    kind = "array<struct<off:int,m:string>>"
     groups = {"g": 0} | ({"b": 2} if rule.prefix or rule.idle else {})
-    pieces = F.arrays_zip(F.split(text, rule.regex, -1).alias("p"), *[F.regexp_extract_all(text, F.lit(rule.regex), F.lit(n)).alias(c) for c, n in groups.items()])
+    cut_out = F.arrays_zip(F.split(text, rule.regex, -1).alias("p"), *[F.regexp_extract_all(text, F.lit(rule.regex), F.lit(n)).alias(c) for c, n in groups.items()])
 
-    def step(acc: Column, x: Column) -> Column:
+    def piece(x: Column, k: Column) -> Column:
         m = x["b"] if "b" in groups else x["g"]
-        end = acc["at"] + F.length(x["p"]) + F.coalesce(F.length(x["g"]), F.lit(0))
-        new = F.array(F.struct((end - F.length(m)).alias("off"), m.alias("m")))
-        return F.struct(end.alias("at"), F.when(m.isNull() | (m == ""), acc["found"]).otherwise(F.concat(acc["found"], new)).alias("found"))
-
-    # a plain fold: notes of one rule in one text are few, and a plan has one for each rule
-    found = F.aggregate(pieces, F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("found")), step, lambda acc: acc["found"])
-    for skip in rule.skip:
-        found = _unless(found, skip)
+        kept = m != ""
+        for skip in rule.skip:
+            kept = kept & ~F.regexp_like(m, F.lit(skip))
+        return F.struct(F.lit(ord).alias("ord"), (k == 0).alias("first"), F.length(x["p"]).alias("p"), F.length(x["g"]).alias("g"), F.when(kept, m).alias("m"))
+
     may = [] if low is None or (words := hopeful(text, low, rule)) is None else [words]
     may += [F.regexp_like(text, F.lit(rule.flags + rule.hint))] if rule.hint else []
     may += [] if rule.idle else [F.regexp_like(text, F.lit(rule.regex))]
-    return F.when(reduce(Column.__and__, may), found).otherwise(F.array().cast(kind)) if may else found
+    found = F.transform(cut_out, piece)
+    return F.when(reduce(Column.__and__, may), found).otherwise(F.array().cast(PIECES)) if may else found
+
 
+def _placed(pieces: Column) -> Column:
+    """array of (ord, off, m) of the pieces that are reported, rule by rule and from left to right."""
 
-def _unless(found: Column, skip: str) -> Column:
-    return F.filter(found, lambda s: ~F.regexp_like(s["m"], F.lit(skip)))
+    def step(acc: Column, x: Column) -> tuple[dict[str, Column], Column]:
+        end = F.when(x["first"], F.lit(0)).otherwise(acc["at"]) + x["p"] + F.coalesce(x["g"], F.lit(0))
+        new = F.when(x["m"].isNull(), F.array().cast(SPANS)).otherwise(F.array(F.struct(x["ord"].alias("ord"), (end - F.length(x["m"])).alias("off"), x["m"].alias("m"))))
+        return {"at": end}, new
+
+    return fold(pieces, {"at": F.lit(0)}, SPANS, step)
+
+
+def _echoes(text: Column, rule: Rule, ord: int) -> Column:
+    return F.transform(echo_spans(text, rule), lambda s: F.struct(F.lit(ord).alias("ord"), s["off"].alias("off"), s["m"].alias("m")))
+
+
+def all_spans(text: Column, rules: Sequence[Rule], low: Column | None = None) -> Column:
+    """array of (ord, off, m): the rule's place in rules, 0-based code point offset and text of each match. low is the folded text."""
+    pieces = [_pieces(text, r, low, i) for i, r in enumerate(rules) if not r.echo]
+    echoes = [_echoes(text, r, i) for i, r in enumerate(rules) if r.echo]
+    return F.concat(*([_placed(F.concat(*pieces))] if pieces else []), *echoes)
+
+
+def spans(text: Column, rule: Rule, low: Column | None = None) -> Column:
+    """array of (off, m) of a rule's matches, left to right."""
+    return F.transform(all_spans(text, [rule], low), lambda s: F.struct(s["off"].alias("off"), s["m"].alias("m")))
 
 
 def n_notes(text: Column, rule: Rule, low: Column) -> Column:
     """How many notes of the rule a text has; 0 for a null text."""
+    if rule.echo:
+        return F.coalesce(F.size(echo_spans(text, rule)), F.lit(0))
     if rule.skip or rule.idle:
-        return F.coalesce(F.size(spans(text, rule, low)), F.lit(0))
+        return F.coalesce(F.size(F.filter(_pieces(text, rule, low), lambda x: x["m"].isNotNull())), F.lit(0))
     words, n = hopeful(text, low, rule), F.regexp_count(text, F.lit(rule.regex))
     return F.coalesce(n, F.lit(0)) if words is None else F.when(words, n).otherwise(F.lit(0))
 
 
-def line_of(text: Column, off: Column) -> Column:
-    """1-based line of a 0-based offset; only line feeds end lines."""
-    pre = F.substring(text, F.lit(1), off)
-    return F.length(pre) - F.length(F.replace(pre, F.lit("\n"), F.lit(""))) + 1
-
-
 def column_of(text: Column, off: Column) -> Column:
-    return F.length(F.substring_index(F.substring(text, F.lit(1), off), "\n", -1)) + 1
+    """1-based column of a 0-based offset in a short text; only line feeds end lines."""
+    return F.length(after_last_line_end(F.substring(text, F.lit(1), off))) + 1
 
 
 def context_window(text: Column, off: Column, m: Column) -> Column:
-    """A long match alone in brackets, else the match between SIDE characters of the text on each side."""
-    end, start = off + F.length(m), F.greatest(off - SIDE, F.lit(0))
-    pre = F.substring(text, start + 1, off - start)
-    pre = F.when(off > SIDE, F.concat(F.lit("…"), F.regexp_replace(pre, r"\A\S*\s+", ""))).otherwise(pre)
-    rest = F.substring(text, end + 1, F.lit(SIDE))
-    rest = F.when(end + SIDE < F.length(text), F.concat(F.regexp_replace(rest, r"\s\S*\z", ""), F.lit("…"))).otherwise(rest)
-    own = F.substring(text, off + 1, F.length(m))
-    return F.when(F.length(m) >= ALONE, F.concat(F.lit("["), squash(own), F.lit("]"))).otherwise(squash(F.concat(pre, own, rest)))
+    """A long match alone in brackets, else the match between SIDE characters of a short text on each side."""
+    start = F.greatest(off - SIDE - 1, F.lit(0))
+    return _window(F.substring(text, start + 1, off - start + F.length(m) + SIDE + 1), off - start, F.length(m))
+
+
+def _context(table: Column, off: Column, m: Column) -> Column:
+    """context_window() of the text of a table."""
+    start = F.greatest(off - SIDE - 1, F.lit(0))
+    return let(cut(table, start, off - start + F.length(m) + SIDE + 1), lambda near: _window(near, off - start, F.length(m)))
+
+
+def _window(near: Column, before: Column, length: Column) -> Column:
+    """near holds the match, and on each side a character more than is shown where the text goes on."""
+    pre = F.when(before > SIDE, F.concat(F.lit("…"), F.regexp_replace(F.substring(near, before - SIDE + 1, F.lit(SIDE)), r"\A\S*\s+", ""))).otherwise(F.substring(near, F.lit(1), before))
+    rest = F.substring(near, before + length + 1, F.lit(SIDE))
+    rest = F.when(F.length(near) > before + length + SIDE, F.concat(F.regexp_replace(rest, r"\s\S*\z", ""), F.lit("…"))).otherwise(rest)
+    own = F.substring(near, before + 1, length)
+    return F.when(length >= ALONE, F.concat(F.lit("["), squash(own), F.lit("]"))).otherwise(squash(F.concat(pre, own, rest)))
 
 
 def scan(docs: DataFrame, rules: Sequence[Rule] | None = None, key: str = "doc_id", text_col: str = "text", markdown: bool = False) -> DataFrame:
@@ -154,18 +142,28 @@ def scan(docs: DataFrame, rules: Sequence[Rule] | None = None, key: str = "doc_i
     kept = docs.select(F.col(key), F.col(text_col).alias("source")).where(F.col("source").isNotNull())
     kept = kept.withColumn("body", blank_markdown(F.col("source")) if markdown else F.col("source")).withColumn("low", folded(F.col("body")))
 
-    def notes(i: int, r: Rule) -> Column:
-        def note(s: Column) -> Column:
-            count = F.regexp_count(s["m"], F.lit(r.count_group)).cast("int") if r.count_group else F.lit(None).cast("int")
-            message = F.replace(F.lit(r.message), F.lit("%{count}"), count.cast("string")) if r.count_group else F.lit(r.message)
-            return F.struct(F.lit(i).alias("ord"), s["off"].alias("off"), s["m"].alias("m"), F.lit(r.severity).alias("severity"), F.lit(r.confidence).alias("confidence"), F.lit(r.id).alias("rule"), F.lit(r.category).alias("category"), message.alias("message"), count.alias("count"), F.lit(r.rationale).cast("string").alias("rationale"), F.lit(r.suggestion).alias("suggestion"))
-
-        return F.transform(spans(F.col("body"), r, F.col("low")), note)
-
     if not rules:
         raise ValueError("no rules")
-    found = kept.select(key, "source", "body", F.inline(F.concat(*[notes(i, r) for i, r in enumerate(rules)])))
-    return found.select(key, line_of(F.col("body"), F.col("off")).alias("line"), column_of(F.col("body"), F.col("off")).alias("column"), "severity", "confidence", "rule", "category", "message", squash(F.col("m")).alias("excerpt"), context_window(F.col("source"), F.col("off"), F.col("m")).alias("context"), "count", "rationale", "suggestion", "ord")
+    of = ("severity", "confidence", "id", "category", "message", "count_group", "rationale", "suggestion")
+    catalog = F.array(*[F.struct(*[F.lit(getattr(r, name)).cast("string").alias(name) for name in of]) for r in rules])
+
+    def note(table: Column) -> Callable[[Column], Column]:
+        def one(s: Column) -> Column:
+            def said(r: Column) -> Column:
+                count = F.when(r["count_group"].isNotNull(), F.regexp_count(s["m"], F.coalesce(r["count_group"], F.lit("")))).cast("int")
+                message = F.when(r["count_group"].isNull(), r["message"]).otherwise(F.replace(r["message"], F.lit("%{count}"), count.cast("string")))
+                at = place(table, s["off"])
+                own = {"line": at["line"], "column": at["column"], "rule": r["id"], "message": message, "excerpt": squash(s["m"]), "context": _context(table, s["off"], s["m"]), "count": count}
+                return F.struct(*[own.get(name, r[name] if name in of else F.lit(None)).alias(name) for name in NOTE_FIELDS], s["ord"].alias("ord"))
+
+            return let(F.get(catalog, s["ord"]), said)
+
+        return one
+
+    def notes(found: Column) -> Column:
+        return F.when(F.size(found) > 0, let(block_table(F.col("source")), lambda table: F.transform(found, note(table))))
+
+    return kept.select(key, F.inline(let(all_spans(F.col("body"), rules, F.col("low")), notes)))
 
 
 def counts(docs: DataFrame, rules: Sequence[Rule], key: str = "doc_id", text_col: str = "text") -> DataFrame:

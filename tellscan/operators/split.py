@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tellscan.operators.furniture import INLINE, copies
-from tellscan.operators.scan import SIDE, fold, let, squash
+from tellscan.operators.arrays import fold, let
+from tellscan.operators.scan import SIDE, squash
+from tellscan.operators.table import block_table, cut
 
 #: What separates paragraphs and sentences, and what ends a piece that goes on.
 PARAGRAPH_BREAK = r"\r?\n[ \t ]*\r?\n"
@@ -52,36 +54,65 @@ def sentences(body: Column, base: Column, text: Column | None = None, shown: Col
     text = body if text is None else text
     shown = text if shown is None else shown
 
-    def cut(same: Column) -> Column:
+    def all_of(own: Column) -> Column:
         def step(acc: Column, x: Column) -> tuple[dict[str, Column], Column]:
             start = F.coalesce(acc["start"], acc["at"])
             end = acc["at"] + F.length(x["p"])
             raw = F.concat(acc["raw"], x["p"])
             more = x["g"].isNotNull() & F.regexp_like(x["p"], F.lit(GOES_ON))
-            pieces = [squash(F.when(same, raw).otherwise(F.substring(c, start + 1, end - start))).alias(n) for c, n in ((text, "text"), (shown, "asked"))]
+            pieces = [squash(F.when(own[n].isNull(), raw).otherwise(cut(own[n], start, end - start))).alias(n) for n in ("text", "asked")]
             new = F.array(F.struct((base + start).alias("offset"), (end - start).alias("length"), *pieces))
             after = {"at": end + F.coalesce(F.length(x["g"]), F.lit(0)), "start": F.when(more, start), "raw": F.when(more, F.concat(raw, x["g"])).otherwise(F.lit(""))}
             return after, F.when(more, F.array().cast(SENTENCE)).otherwise(new)
 
         return fold(_pieces(body, SENTENCE_BREAK), {"at": F.lit(0), "start": F.lit(None).cast("int"), "raw": F.lit("")}, SENTENCE, step)
 
-    # where nothing was blanked, a sentence is its pieces, and no text is walked from its start for each sentence
-    return let((text == body) & (shown == body), cut)
+    # where nothing was blanked, a sentence is its pieces; else it is cut from the blocks it stands in
+    tables = [F.when(c != body, block_table(c)).alias(n) for c, n in ((text, "text"), (shown, "asked"))]
+    return let(F.struct(*tables), all_of)
 
 
-def _cut(text: Column, markdown: bool) -> Column:
-    """array of (offset, length, line, column, body, text, shown, before, after): each paragraph as it is split, as it is written, as it is asked about, and what stands around it."""
+def _lines(lines: Column, first: Column, last: Column) -> Column:
+    """The lines from first to last, from 0, as one text; empty where there are none."""
+    first = F.greatest(first, F.lit(0))
+    return F.when(last < first, F.lit("")).otherwise(F.array_join(F.transform(F.sequence(first, F.greatest(last, first)), lambda k: F.get(lines, k)), "\n"))
 
-    def each(c: Column) -> Column:
-        def one(p: Column) -> Column:
-            def at(copy: Column) -> Column:
-                return F.when(copy == c["body"], p["text"]).otherwise(F.substring(copy, p["offset"] + 1, p["length"]))
 
-            start = F.greatest(p["offset"] - NEAR, F.lit(0))
-            around = F.substring(text, start + 1, p["offset"] - start).alias("before"), F.substring(text, p["offset"] + p["length"] + 1, F.lit(NEAR)).alias("after")
-            return F.struct(*[p[f].alias(f) for f in ("offset", "length", "line", "column")], p["text"].alias("body"), at(text).alias("text"), at(c["shown"]).alias("shown"), *around)
+def _cut(text: Column, markdown: bool, around: bool) -> Column:
+    """array of (offset, length, line, column, body, text, shown): each paragraph as it is split, as it is written and as it is asked about.
+
+    With around, before and after, too: what stands around it. All is cut from the lines that a paragraph and its neighbours
+    stand on, since the copies of a text have their line ends at the same places; so no text is walked for each paragraph.
+    """
 
-        return F.transform(paragraphs(c["body"]), one)
+    def each(c: Column) -> Column:
+        def with_lines(own: Column, shown: Column, ends: Column | None, starts: Column | None) -> Column:
+            def one(p: Column) -> Column:
+                first = p["line"] - 1
+                last = first + _breaks(p["text"])
+
+                def at(copy: Column, lines: Column) -> Column:
+                    return F.when(copy == c["body"], p["text"]).otherwise(F.substring(_lines(lines, first, last), p["column"], p["length"]))
+
+                fields = [p[f].alias(f) for f in ("offset", "length", "line", "column")] + [p["text"].alias("body"), at(text, own).alias("text"), at(c["shown"], shown).alias("shown")]
+                if ends is not None:
+                    # a line end is a character, so NEAR lines hold at least as many
+                    before = F.concat(_lines(ends, first - NEAR, first - 1), F.when(first > 0, "\n").otherwise(""), F.substring(F.get(own, first), F.lit(1), p["column"] - 1))
+                    left = F.when(last == first, p["column"] + p["length"]).otherwise(F.length(F.substring_index(p["text"], "\n", -1)) + 1)
+                    rest = F.substring(F.get(own, last), left, F.lit(NEAR))
+                    more = F.when(last + 1 < F.size(own), F.concat(F.lit("\n"), _lines(starts, last + 1, F.least(last + NEAR, F.size(own) - 1)))).otherwise("")
+                    fields += [F.substring(before, F.greatest(F.length(before) - (NEAR - 1), F.lit(1)), F.lit(NEAR)).alias("before"), F.substring(F.concat(rest, more), F.lit(1), F.lit(NEAR)).alias("after")]
+                return F.struct(*fields)
+
+            return F.transform(paragraphs(c["body"]), one)
+
+        def near(own: Column, shown: Column) -> Column:
+            if not around:
+                return with_lines(own, shown, None, None)
+            last_of = F.transform(own, lambda x: F.substring(x, F.greatest(F.length(x) - (NEAR - 1), F.lit(1)), F.lit(NEAR)))
+            return let(last_of, lambda ends: let(F.transform(own, lambda x: F.substring(x, 1, NEAR)), lambda starts: with_lines(own, shown, ends, starts)))
+
+        return let(F.split(text, "\n", -1), lambda own: let(F.split(c["shown"], "\n", -1), lambda shown: near(own, shown)))
 
     return let(copies(text, markdown), each)
 
@@ -91,7 +122,7 @@ def split(docs: DataFrame, key: str = "doc_id", text_col: str = "text", markdown
 
     Furniture is no paragraph. With markdown, nor are code, comments, front matter and a lone sentence before a colon.
     """
-    rows = docs.select(F.col(key), F.posexplode(_cut(F.col(text_col), markdown)).alias("paragraph", "x")).select(key, "paragraph", "x.*")
+    rows = docs.select(F.col(key), F.posexplode(_cut(F.col(text_col), markdown, around)).alias("paragraph", "x")).select(key, "paragraph", "x.*")
     found = rows.withColumn("sentences", sentences(F.col("body"), F.col("offset"), F.col("text"), F.col("shown")))
     if markdown:
         found = found.where((F.size("sentences") != 1) | ~F.col("body").endswith(":"))
