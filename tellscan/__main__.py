@@ -1,4 +1,4 @@
-"""python -m tellscan: check texts, list and explain rules. 0: nothing found, 1: notes, 2: a wrong call, 3: a failed backend."""
+"""python -m tellscan: check and compare texts, list and explain rules. 0: nothing found, 1: notes, 2: a wrong call, 3: a failed backend."""
 
 from __future__ import annotations
 
@@ -6,11 +6,16 @@ import argparse
 import json
 import sys
 
-from pyspark.sql import SparkSession
+from pyspark.errors import PySparkException
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tellscan import __version__
 from tellscan.functions.catalog import RULES, explain, explained, rules_table
-from tellscan.operators.backend import HttpBackend
-from tellscan.operators.check import WRONG, run_check
+from tellscan.functions.questions import QUESTIONS
+from tellscan.operators.backend import BackendError, HttpBackend
+from tellscan.operators.check import FAILED, WRONG, checked, unreadable, usage_line, usage_report
+from tellscan.operators.judge import compare
 from tellscan.operators.scan import NOTE_FIELDS
 from tellscan.sources.texts import one_text, whole_files
 
@@ -28,9 +33,17 @@ def _parser() -> argparse.ArgumentParser:
     check.add_argument("--backend", metavar="URL")
     check.add_argument("--model", default="")
     check.add_argument("--register")
-    listed = of.add_parser("rules")
+    listed = of.add_parser("rules", help="the pattern rules and the questions")
     listed.add_argument("--json", action="store_true")
     of.add_parser("explain").add_argument("rule")
+    pair = of.add_parser("compare", help="which of two texts a careful editor would print")
+    pair.add_argument("a")
+    pair.add_argument("b")
+    pair.add_argument("--backend", metavar="URL", required=True)
+    pair.add_argument("--model", default="")
+    pair.add_argument("--drift", action="store_true", help="ask also whether B says something else than A")
+    pair.add_argument("--json", action="store_true")
+    of.add_parser("version")
     return top
 
 
@@ -39,9 +52,13 @@ def main(argv: list[str] | None = None) -> int:
         options = _parser().parse_args(argv)
     except SystemExit as e:
         return WRONG if e.code else 0
+    if options.command == "version":
+        print(__version__)
+        return 0
     if options.command == "rules":
-        fields = ("id", "category", "severity", "confidence", "message", "suggestion")
-        print(json.dumps([{f: getattr(r, f) for f in fields} for r in RULES], indent=2) if options.json else rules_table())
+        rules = [{f: getattr(r, f) for f in ("id", "category", "severity", "confidence", "message", "suggestion")} for r in RULES]
+        asked = [{f: getattr(q, f) for f in ("id", "category", "unit", "severity", "confidence", "message", "suggestion")} for q in QUESTIONS]
+        print(json.dumps([*rules, *asked], indent=2) if options.json else "\n".join([rules_table(), *(f"{q.id:<34} {q.severity:<8} {q.confidence:<7} asked of each {q.unit}" for q in QUESTIONS)]))
         return 0
     if options.command == "explain":
         try:
@@ -52,28 +69,67 @@ def main(argv: list[str] | None = None) -> int:
         print(explained(options.rule))
         return 0
     spark = SparkSession.builder.getOrCreate()
+    return _compare(spark, options) if options.command == "compare" else _check(spark, options)
+
+
+def _read(spark: SparkSession, paths: list[str]) -> DataFrame:
+    files = [p for p in paths if p != "-"]
+    docs = one_text(spark, sys.stdin.buffer.read()) if "-" in paths else None
+    if files:
+        docs = whole_files(spark, files) if docs is None else docs.unionByName(whole_files(spark, files))
+    return docs
+
+
+def _check(spark: SparkSession, options: argparse.Namespace) -> int:
     try:
-        docs = None
-        files = [p for p in options.paths if p != "-"]
-        if "-" in options.paths:
-            docs = one_text(spark, sys.stdin.buffer.read())
-        if files:
-            docs = whole_files(spark, files) if docs is None else docs.unionByName(whole_files(spark, files))
+        docs = _read(spark, options.paths)
         backend = HttpBackend(options.backend, options.model) if options.backend else None
-    except ValueError as e:
-        print(e, file=sys.stderr)
+    except (ValueError, PySparkException) as e:
+        print(unreadable(e) or e, file=sys.stderr)
         return WRONG
-    status, rows, said = run_check(docs, select=options.select, ignore=options.ignore, strict=options.strict, markdown=options.markdown, backend=backend, register=options.register)
+    status, rows, usage, said = checked(docs, select=options.select, ignore=options.ignore, strict=options.strict, markdown=options.markdown, backend=backend, register=options.register)
     if said:
         print(said, file=sys.stderr)
+    elif usage is not None:
+        print(usage_line(usage), file=sys.stderr)
+    low = sum(r.confidence == "low" for r in rows)
+    if options.strict and low:
+        print(f"{low} of {len(rows)} notes are of low confidence: they need an eye", file=sys.stderr)
     found = [{"path": r.path, **{f: r[f] for f in NOTE_FIELDS if f != "count" or r[f] is not None}} for r in rows]
-    if options.json:
-        print(json.dumps({p: [n for n in found if n["path"] == p] for p in dict.fromkeys(n["path"] for n in found)} if len(files) > 1 else found, ensure_ascii=False))
-    else:
+    if options.json and status != WRONG:
+        notes = {p: [n for n in found if n["path"] == p] for p in dict.fromkeys(n["path"] for n in found)} if len([p for p in options.paths if p != "-"]) > 1 else found
+        print(json.dumps(notes if usage is None else {"notes": notes, "judge": usage_report(usage, options.backend)}, ensure_ascii=False))
+    elif not options.json:
         for n in found:
             print(f"{n['path']}:{n['line']}:{n['column']}: {n['severity']} ({n['confidence']} confidence) {n['rule']}  {n['message']}\n    {n['context']}\n    fix: {n['suggestion']}\n")
     return status
 
 
+def _compare(spark: SparkSession, options: argparse.Namespace) -> int:
+    """Prints which of two texts is kept, and how surely; status 0 whichever it is."""
+    try:
+        a, b = (one_text(spark, _bytes(p), p) for p in (options.a, options.b))
+        pair = a.select(F.lit("pair").alias("pair_id"), F.col("text").alias("a")).crossJoin(b.select(F.col("text").alias("b")))  # one row and one row
+        if not pair.where(r"a rlike '\\S' and b rlike '\\S'").count():
+            raise ValueError("one of the texts is empty")
+        row = compare(pair, HttpBackend(options.backend, options.model), drift=options.drift).first()
+    except (ValueError, OSError) as e:
+        print(e, file=sys.stderr)
+        return WRONG
+    except (BackendError, PySparkException) as e:
+        print(f"backend failure: {e}", file=sys.stderr)
+        return FAILED
+    got = {k: v for k, v in row.asDict(recursive=True).items() if k != "pair_id" and v is not None}
+    print(json.dumps(got, ensure_ascii=False) if options.json else "\n".join(f"{k}: {v}" for k, v in got.items()))
+    return 0
+
+
+def _bytes(path: str) -> bytes:
+    if path == "-":
+        return sys.stdin.buffer.read()
+    with open(path, "rb") as f:
+        return f.read()
+
+
 if __name__ == "__main__":
     sys.exit(main())

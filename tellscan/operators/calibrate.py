@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tellscan.operators.judge import settle
+
 #: Fixed value: floors of the cumulative confidence bands.
 FLOORS = (0.7, 0.5, 0.0)
 #: Questions whose scores must rank machine prose lower, pairs a flip rate needs, its bound, the least agreement.
@@ -13,18 +15,28 @@ GATED = ("no-news", "names-nothing")
 GATE_AUC, GATE_PAIRS, GATE_FLIP, GATE_AGREE = 0.5, 100, 0.01, 0.9
 
 
+#: Ranges of scores that a group is cut into.
+RANGES = 64
+
+
 def auc(rows: DataFrame, group: str, score: str, positive: str) -> DataFrame:
     """group, n_pos, n_neg, auc: the share of pairs in which the positive row scores higher, ties counting half.
 
-    Rows are summed for each score before the running count, so the window sees one row for each different score.
-    A group without one of the sides has a null auc; rows with a null score or side don't count.
+    Rows are summed for each score first. A group's scores are cut into RANGES about equal ranges; a range begins with the
+    sum of those below it, and the running count goes on inside it, so no task holds more of a group than a range. A group
+    without one of the sides has a null auc, a null group is a group; rows with a null score or side don't count.
     """
-    kept = rows.where(F.col(score).isNotNull() & F.col(positive).isNotNull())
-    each = kept.groupBy(group, score).agg(F.count_if(F.col(positive)).alias("pos"), F.count_if(~F.col(positive)).alias("neg"))
-    below = F.coalesce(F.sum("neg").over(Window.partitionBy(group).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    won = each.withColumn("won", F.col("pos") * (2 * below + F.col("neg")))
-    got = won.groupBy(group).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), F.sum("won").alias("won"))
-    return got.select(group, "n_pos", "n_neg", F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0), F.round(F.col("won") / (2.0 * F.col("n_pos") * F.col("n_neg")), 9)).alias("auc"))
+    each = rows.groupBy(F.col(group).alias("g"), F.col(score).alias("s")).agg(F.count_if(F.col(positive)).alias("pos"), F.count_if(~F.col(positive)).alias("neg"))
+    each = settle(each.where("s is not null and pos + neg > 0"))
+    cuts = each.groupBy("g").agg(F.percentile_approx("s", [k / RANGES for k in range(1, RANGES)], 10 * RANGES).alias("cuts"))
+    dealt = each.join(cuts.withColumnRenamed("g", "h"), F.col("g").eqNullSafe(F.col("h"))).select("g", "s", "pos", "neg", F.size(F.filter("cuts", lambda c: c < F.col("s"))).alias("k"))
+    before = Window.partitionBy("h").orderBy("j").rowsBetween(Window.unboundedPreceding, -1)
+    starts = dealt.groupBy(F.col("g").alias("h"), F.col("k").alias("j")).agg(F.sum("neg").alias("n")).select("h", "j", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    inside = Window.partitionBy("g", "k").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    counted = dealt.withColumn("below", F.coalesce(F.sum("neg").over(inside), F.lit(0))).join(starts, F.col("g").eqNullSafe(F.col("h")) & (F.col("k") == F.col("j")))
+    won = counted.withColumn("won", F.col("pos") * (2 * (F.col("start") + F.col("below")) + F.col("neg")))
+    got = won.groupBy("g").agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), F.sum("won").alias("won"))
+    return got.select(F.col("g").alias(group), "n_pos", "n_neg", F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0), F.round(F.col("won") / (2.0 * F.col("n_pos") * F.col("n_neg")), 9)).alias("auc"))
 
 
 def agreement(rows: DataFrame, group: str, confidence: str, first: str, second: str) -> DataFrame:

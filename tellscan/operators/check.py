@@ -82,22 +82,52 @@ def check(docs: DataFrame, select: list[str] | None = None, ignore: list[str] |
 
 
 def run_check(docs: DataFrame, **options) -> tuple[int, list, str]:
-    """(status, ordered rows, message): a call that is wrong or a backend that fails gives no notes at all."""
+    """(status, ordered rows, message): a call that is wrong, a text that can't be read or a backend that fails gives no notes at all."""
+    status, rows, usage, said = checked(docs, **options)
+    return status, rows, said if usage is None else usage_line(usage)
+
+
+def checked(docs: DataFrame, **options) -> tuple[int, list, dict[str, float] | None, str]:
+    """(status, ordered rows, usage by counter or None where nobody was asked, message)."""
     try:
-        checked = check(docs, **options)
-        rows = checked.ordered().collect()  # a report, as asked for; use check() for notes that stay distributed
+        found = check(docs, **options)
+        rows = found.ordered().collect()  # a report, as asked for; use check() for notes that stay distributed
+        usage = None if found.usage is None else counters(found.usage)
     except UsageError as e:
-        return WRONG, [], str(e)
+        return WRONG, [], None, str(e)
     except (BackendError, PySparkException) as e:
         if "BackendError" in f"{type(e).__name__}: {e}":
-            return FAILED, [], f"backend failure: {e}"
+            return FAILED, [], None, f"backend failure: {e}"
+        if (why := unreadable(e)) is not None:
+            return WRONG, [], None, why
         raise
-    return FOUND if rows else CLEAN, rows, "" if checked.usage is None else usage_line(checked.usage)
+    if usage is not None and not usage.get("requests"):
+        return WRONG, [], None, "no paragraph is due for a question: the backend was not asked"
+    return FOUND if rows else CLEAN, rows, usage, ""
+
+
+def unreadable(e: Exception) -> str | None:
+    """A line on a file that isn't there or isn't UTF-8; None for another failure."""
+    text = str(e)
+    if "is not valid UTF-8" in text:
+        return next(f"{word} is not valid UTF-8" for line in text.splitlines() if " is not valid UTF-8" in line for word in [line.split(" is not valid UTF-8")[0].split()[-1].strip("'\"")])
+    if "PATH_NOT_FOUND" in text or "does not exist" in text or "Permission denied" in text or "FAILED_READ_FILE" in text:
+        return text.splitlines()[0]
+    return None
 
 
-def usage_line(usage: DataFrame) -> str:
+def counters(usage: DataFrame) -> dict[str, float]:
+    return {r.counter: r.total for r in usage.collect()}  # a row for each counter
+
+
+def usage_line(usage: DataFrame | dict[str, float]) -> str:
     """What a run asked for, in words: requests first, the other counters by name, and what the tokens cost."""
-    totals = {r.counter: r.total for r in usage.collect()}  # a row for each counter
+    totals = dict(usage) if isinstance(usage, dict) else counters(usage)
     requests = int(totals.pop("requests", 0))
     parts = [f"{requests} request{'' if requests == 1 else 's'}", *(f"{int(n)} {k.replace('_', ' ')}" for k, n in sorted(totals.items()))]
     return ", ".join(parts) + f", ${totals.get('input_tokens', 0) * USD_PER_TOKEN:.6f}"
+
+
+def usage_report(usage: dict[str, float], backend: str) -> dict:
+    """The usage of a run as it stands in its JSON."""
+    return {"backend": backend, **{k: int(n) for k, n in sorted(usage.items())}, "cost_usd": round(usage.get("input_tokens", 0) * USD_PER_TOKEN, 6)}

@@ -101,14 +101,19 @@ def calibration(scores: DataFrame, turned: DataFrame, side: str, register: str)
     return gates(ranked, flips(turned, "register", "confidence", "keep", "keep_again"), agreement(scores, "register", "confidence", "flagged", "flagged_again"))
 
 
-def append_texts(texts: DataFrame, folder: str) -> None:
-    """Lines of JSON by domain and side, beside those that are there."""
-    texts.write.partitionBy("domain", "side").mode("append").json(folder)
+def append_texts(texts: DataFrame, folder: str, batch: str | None = None) -> None:
+    """Lines of JSON by domain, side and batch, beside those that are there; the same batch again takes the place of what it wrote.
+
+    A batch that isn't named is named after its rows, whatever their order, so a call that is retried leaves them once.
+    """
+    if batch is None:
+        batch = str(texts.agg(F.coalesce(F.sum(F.xxhash64(*sorted(texts.columns)).cast("decimal(38,0)")), F.lit(0)).alias("h"), F.count("*").alias("n")).select(F.sha2(F.concat_ws("/", "h", "n"), 256)).first()[0])[:32]
+    texts.withColumn("batch", F.lit(batch)).write.partitionBy("domain", "side", "batch").mode("overwrite").option("partitionOverwriteMode", "dynamic").json(folder)
 
 
 def read_texts(spark: SparkSession, folder: str, schema: str, domain: str | None = None) -> DataFrame:
     """What append_texts() wrote; a domain reads its folder alone."""
-    got = spark.read.schema(f"{schema}, domain string, side string").json(folder)
+    got = spark.read.schema(f"{schema}, domain string, side string, batch string").json(folder).drop("batch")
     return got if domain is None else got.where(F.col("domain") == domain)
 
 

@@ -6,6 +6,7 @@ What it answered is settled before notes and usage are taken from it, so that no
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -14,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tellscan.functions.questions import REGISTER, Question, select_questions
+from tellscan.operators.answers import KEY, answered, request_key
 from tellscan.operators.backend import Backend, BackendError, each, numbers
 from tellscan.operators.scan import NOTE_FIELDS, column_of, context_window
 from tellscan.operators.split import AROUND, split
@@ -83,6 +85,11 @@ def _sentence_answers(backend: Backend, questions: dict[str, dict], register: st
     return run
 
 
+def _asker(backend: Backend, questions: dict[str, dict], register: str) -> str:
+    """All that an answer hangs on besides the text."""
+    return json.dumps([backend.name, getattr(backend, "model", ""), register, questions], sort_keys=True)
+
+
 def _flags(answers: Column, questions: Sequence[Question], strict: bool) -> Column:
     """array of (ord, confidence): the questions whose worst level is the most likely, surely enough unless strict."""
     ranks = F.create_map(*[F.lit(v) for kv in RANKS.items() for v in kv])
@@ -97,12 +104,13 @@ def _flags(answers: Column, questions: Sequence[Question], strict: bool) -> Colu
     return F.filter(F.transform(F.array(*found), judged), lambda x: x.isNotNull())
 
 
-def judge(docs: DataFrame, backend: Backend, questions: Sequence[Question] | None = None, key: str = "doc_id", text_col: str = "text", markdown: bool = False, register: str = REGISTER, strict: bool = False) -> tuple[DataFrame, DataFrame]:
+def judge(docs: DataFrame, backend: Backend, questions: Sequence[Question] | None = None, key: str = "doc_id", text_col: str = "text", markdown: bool = False, register: str = REGISTER, strict: bool = False, store: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(notes, usage). notes: key and a note's fields, and ord, as from a scan. usage: counter, total.
 
     Paragraph questions go to paragraphs of MIN_SENTENCES and more. Sentence questions go to shorter ones and to those
     a paragraph question flagged; to all if strict or if there is no paragraph question. Without questions no request is
-    made. A failing backend fails the job. key must be unique; a row without key or text has no notes.
+    made. A failing backend fails the job. key must be unique; a row without key or text has no notes. With store, a folder,
+    answers are kept there: equal requests are asked once, and a run after one that failed asks only what is left.
     """
     questions = select_questions(strict=strict) if questions is None else list(questions)
     of_paragraph, of_sentence = ([q for q in questions if q.unit == u] for u in ("paragraph", "sentence"))
@@ -113,7 +121,12 @@ def judge(docs: DataFrame, backend: Backend, questions: Sequence[Question] | Non
     units, schema = units.withColumn("request", F.lit(None).cast(REQUEST)), f"{schema}, request {REQUEST}"
     if of_paragraph:
         asked = {q.id: q.asked(register) for q in of_paragraph}
-        units = settle(units.drop("request").mapInPandas(_paragraph_answers(backend, asked, register), schema))
+        ask = _paragraph_answers(backend, asked, register)
+        if store:
+            keyed = units.drop("request").withColumn(KEY, F.when(F.size("sentences") >= MIN_SENTENCES, request_key(_asker(backend, asked, register), F.col("asked"), F.size("sentences"))))
+            units = settle(answered(keyed, ["asked", "sentences"], ask, "request", REQUEST, f"{store}/paragraphs", settle).drop(KEY).select(*units.columns))
+        else:
+            units = settle(units.drop("request").mapInPandas(ask, schema))
     flags = _flags(F.col("request.answers"), of_paragraph, strict) if of_paragraph else F.array().cast("array<struct<ord:int,confidence:string>>")
     units = units.withColumn("flags", F.when(F.col("request").isNotNull(), flags))
 
@@ -129,8 +142,13 @@ def judge(docs: DataFrame, backend: Backend, questions: Sequence[Question] | Non
         kind = units.schema["sentences"].dataType.simpleString()
         key_type = units.schema[key].dataType.simpleString()
         around = units.select(here).schema["here"].dataType.simpleString()
-        answered = settle(targets.select(key, "sentences", here).mapInPandas(_sentence_answers(backend, asked, register), f"`{key}` {key_type}, sentences {kind}, here {around}, requests array<{REQUEST}>"))
-        apiece = answered.select(key, "here", F.inline(F.arrays_zip("sentences", "requests")))
+        ask = _sentence_answers(backend, asked, register)
+        if store:
+            keyed = targets.select(key, "sentences", here).withColumn(KEY, request_key(_asker(backend, asked, register), F.col("sentences.asked")))
+            replied = settle(answered(keyed, ["sentences"], ask, "requests", f"array<{REQUEST}>", f"{store}/sentences", settle).select(key, "sentences", "here", "requests"))
+        else:
+            replied = settle(targets.select(key, "sentences", here).mapInPandas(ask, f"`{key}` {key_type}, sentences {kind}, here {around}, requests array<{REQUEST}>"))
+        apiece = replied.select(key, "here", F.inline(F.arrays_zip("sentences", "requests")))
         flagged = apiece.select(key, "here", _span(F.col("sentences")).alias("unit"), F.explode(_flags(F.col("requests.answers"), of_sentence, strict)).alias("f"))
         found = found.unionByName(flagged.select(key, (F.col("f.ord") + len(of_paragraph)).alias("ord"), F.col("f.confidence").alias("confidence"), "unit", "here"))
         usage = usage.unionByName(apiece.select(F.explode("requests.usage").alias("counter", "n")))

@@ -5,16 +5,18 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tellscan.functions.catalog import BY_ID, RULES, Rule, catalog, select_rules
 from tellscan.functions.examples import CASES
 from tellscan.operators.calibrate import auc
+from tellscan.operators.intervals import overlapping
+from tellscan.operators.judge import settle
 from tellscan.operators.report import json_by_document
-from tellscan.operators.scan import MARKDOWN_NOISE, blank_markdown, counts, folded, n_notes, scan
+from tellscan.operators.scan import MARKDOWN_NOISE, all_spans, blank_markdown, counts, folded, n_notes, scan
 from tellscan.operators.split import paragraphs, sentences, split
-from tellscan.plans.rule_sql import NONE, is_plain, sql_count, sql_notes
+from tellscan.plans.rule_sql import NONE, echo_counts, is_plain, sql_count, sql_notes, sql_spans
 
 DEFAULT = select_rules()
 SENTENCES = [t for pair in CASES.values() for t in pair]
@@ -37,10 +39,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.withColumn("text", F.concat("text", F.lit("\n\n"), added))
 
 
-def sided(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents with a side: what the labels say of their quality, or none."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.when(F.col("quality") == 1, "good").when(F.col("quality") == 0, "bad").alias("label"))
-    return documents(spark, sf_dir).join(labels, "doc_id", "left").withColumn("side", F.coalesce("label", F.lit("none"))).drop("label")
+def with_side(rows: DataFrame, sf_dir: str) -> DataFrame:
+    """rows, which have doc_id, with a side: what the labels say of the document's quality, or none. No text goes into the join."""
+    labels = rows.sparkSession.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.when(F.col("quality") == 1, "good").when(F.col("quality") == 0, "bad").alias("label"))
+    return rows.join(labels, "doc_id", "left").withColumn("side", F.coalesce("label", F.lit("none"))).drop("label")
 
 
 _ADDED = ", ".join("'" + t.replace("'", "''") + "'" for t in SENTENCES)
@@ -67,37 +69,43 @@ def notes_by_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", (F.col("n_errors") + F.col("others")).alias("n_notes"), "n_errors")
 
 
+def _rated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, source, words, notes of all rules that aren't low."""
+    docs = documents(spark, sf_dir).withColumn("low", folded(F.col("text")))
+    words = F.coalesce(F.regexp_count("text", F.lit(r"[^\x09-\x0D ]+")), F.lit(0))
+    return docs.select("doc_id", "source", words.cast("long").alias("words"), _total(DEFAULT).alias("notes"))
+
+
 def notes_per_1k_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """source, side, words, notes, per_1k: notes of all rules that aren't low for each thousand words."""
-    docs = sided(spark, sf_dir).withColumn("low", folded(F.col("text")))
-    words = F.coalesce(F.regexp_count("text", F.lit(r"[^\x09-\x0D ]+")), F.lit(0))
-    got = docs.groupBy("source", "side").agg(F.sum(words.cast("long")).alias("words"), F.sum(_total(DEFAULT)).alias("notes"))
+    got = with_side(_rated(spark, sf_dir), sf_dir).groupBy("source", "side").agg(F.sum("words").alias("words"), F.sum("notes").alias("notes"))
     return got.withColumn("per_1k", F.when(F.col("words") > 0, F.round(1000 * F.col("notes") / F.col("words"), 6)).otherwise(F.lit(0.0)))
 
 
-def _first(rows: DataFrame, group: list[str], hit: Column) -> DataFrame:
-    """group, place and hit's fields: the FIRST least hits of each group.
-
-    Each part sends its own FIRST, so no group is sorted or gathered as a whole.
-    """
-    some = rows.groupBy(*group, F.spark_partition_id().alias("part")).agg(F.sort_array(F.collect_list(hit)).alias("hits"))
-    merged = some.withColumn("hits", F.slice("hits", 1, FIRST)).groupBy(*group).agg(F.slice(F.sort_array(F.flatten(F.collect_list("hits"))), 1, FIRST).alias("hits"))
-    return merged.select(*group, F.posexplode("hits").alias("place", "hit")).select(*group, (F.col("place") + 1).alias("place"), "hit.*")
+def _first(rows: DataFrame, group: list[str], order: list[str]) -> DataFrame:
+    """rows with place: the FIRST least of each group. The limit on row_number() keeps no more of a group in a part before the groups meet."""
+    place = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
+    return rows.withColumn("place", place).where(F.col("place") <= FIRST)
 
 
 def first_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """rule, source, side, place, doc_id, n: the first FIRST documents with notes of each rule, source and side."""
-    docs = sided(spark, sf_dir).withColumn("low", folded(F.col("text")))
+    docs = documents(spark, sf_dir).withColumn("low", folded(F.col("text")))
     hits = F.array(*[F.struct(F.lit(r.id).alias("rule"), n_notes(F.col("text"), r, F.col("low")).cast("long").alias("n")) for r in DEFAULT])
-    each = docs.select("doc_id", "source", "side", F.inline(F.filter(hits, lambda h: h["n"] > 0)))
-    return _first(each, ["rule", "source", "side"], F.struct("doc_id", "n"))
+    each = docs.select("doc_id", "source", F.inline(F.filter(hits, lambda h: h["n"] > 0)))
+    return _first(with_side(each, sf_dir), ["rule", "source", "side"], ["doc_id", "n"]).select("rule", "source", "side", "place", "doc_id", "n")
 
 
 def first_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """rule, side, place, doc_id, line, column, context: the first FIRST notes of each rule and side."""
-    docs = sided(spark, sf_dir).select(F.struct("doc_id", "side").alias("doc"), "text")
-    found = scan(docs, DEFAULT, key="doc").select("rule", "doc.side", "doc.doc_id", "line", "column", "context")
-    return _first(found, ["rule", "side"], F.struct("doc_id", "line", "column", "context"))
+    found = scan(documents(spark, sf_dir), DEFAULT).select("rule", "doc_id", "line", "column", "context")
+    return _first(with_side(found, sf_dir), ["rule", "side"], ["doc_id", "line", "column", "context"]).select("rule", "side", "place", "doc_id", "line", "column", "context")
+
+
+def first_plain_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """first_notes() of the rules whose matches SQL can place."""
+    found = scan(documents(spark, sf_dir), PLAIN).select("rule", "doc_id", "line", "column", "context")
+    return _first(with_side(found, sf_dir), ["rule", "side"], ["doc_id", "line", "column", "context"]).select("rule", "side", "place", "doc_id", "line", "column", "context")
 
 
 def all_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,6 +148,15 @@ def sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.select("doc_id", "paragraph", F.posexplode("s").alias("sentence", "x")).select("doc_id", "paragraph", "sentence", "x.offset", "x.length", "x.text")
 
 
+def note_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, rule, off, paragraph, sentence: the sentences that each note of the rules that SQL can place touches."""
+    found = documents(spark, sf_dir).withColumn("low", folded(F.col("text"))).select("doc_id", F.inline(all_spans(F.col("text"), PLAIN, F.col("low"))))
+    names = F.array(*[F.lit(r.id) for r in PLAIN])
+    notes = found.select("doc_id", F.get(names, F.col("ord")).alias("rule"), "off", (F.col("off") + F.length("m")).alias("end"))
+    spoken = sentence_spans(spark, sf_dir).select("doc_id", "paragraph", "sentence", F.col("offset").alias("from"), (F.col("offset") + F.col("length")).alias("to"))
+    return overlapping(notes, spoken, left_span=("off", "end")).select("doc_id", "rule", "off", "paragraph", "sentence")
+
+
 def paragraph_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split(documents(spark, sf_dir))
 
@@ -150,9 +167,9 @@ def notes_as_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quality_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How well notes for each thousand words tell bad documents from good, by source."""
-    docs = sided(spark, sf_dir).where("side <> 'none'").withColumn("low", folded(F.col("text")))
-    words = F.coalesce(F.regexp_count("text", F.lit(r"[^\x09-\x0D ]+")), F.lit(0))
-    rated = docs.select("source", (F.col("side") == "bad").alias("bad"), F.when(words > 0, F.round(1000 * _total(DEFAULT) / words, 6)).alias("rate"))
+    # counted once and written: else a filter on the rate would count all rules again, below the exchange that deals out the texts
+    sided = with_side(settle(_rated(spark, sf_dir)), sf_dir).where("side <> 'none'")
+    rated = sided.select("source", (F.col("side") == "bad").alias("bad"), F.when(F.col("words") > 0, F.round(1000 * F.col("notes") / F.col("words"), 6)).alias("rate"))
     return auc(rated, "source", "rate", "bad")
 
 
@@ -181,6 +198,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "notes_per_1k_words": notes_per_1k_words,
     "first_hits": first_hits,
     "first_notes": first_notes,
+    "first_plain_notes": first_plain_notes,
     "all_notes": all_notes,
     "plain_notes": plain_notes,
     "rule_catalog": rule_catalog,
@@ -188,6 +206,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "paragraph_counts": paragraph_counts,
     "paragraph_spans": paragraph_spans,
     "sentence_spans": sentence_spans,
+    "note_sentences": note_sentences,
     "paragraph_sentences": paragraph_sentences,
     "notes_as_json": notes_as_json,
     "quality_auc": quality_auc,
@@ -206,9 +225,11 @@ _PARAGRAPHS = f"""WITH {SQL_DOCUMENTS}, x AS (SELECT doc_id, string_split(regexp
 _GOES_ON = r"\b(?:e\.g|i\.e|vs|etc|cf|Fig|No|Dr|Mr|Mrs|Ms|St|Inc|Ltd|Sec|Ch|Vol)\.\z|(?:\A|[^\pL])(?:\pL\.){2,6}\z|\A\d+\.\z"
 ORACLE_SQL: dict[str, str] = {
     **{f"rule_{r.id.replace('-', '_')}": f"WITH {SQL_DOCUMENTS} SELECT doc_id, {sql_count(r)} AS n_notes FROM d" for r in RULES if r.id not in NONE},
+    "rule_phrase_echo": f"WITH {SQL_DOCUMENTS}, {echo_counts()}",
     "notes_by_document": f"WITH {SQL_DOCUMENTS}, c AS (SELECT doc_id, {_COUNTS} FROM d) SELECT doc_id, {_ALL} AS n_notes, {_ERRORS} AS n_errors FROM c",
     "notes_per_1k_words": f"WITH {SQL_SIDED}, c AS (SELECT source, side, coalesce(len(regexp_extract_all(text, '[^\x09-\x0D ]+')), 0) AS w, {_COUNTS} FROM e), s AS (SELECT source, side, sum(w)::BIGINT AS words, sum({_ALL})::BIGINT AS notes FROM c GROUP BY source, side) SELECT source, side, words, notes, CASE WHEN words > 0 THEN round(1000 * notes / words, 6) ELSE 0 END AS per_1k FROM s",
     "first_hits": f"WITH {SQL_SIDED}, h AS (" + " UNION ALL ".join(f"SELECT '{r.id}' AS rule, source, side, doc_id, {sql_count(r)} AS n FROM e" for r in DEFAULT) + f"), p AS (SELECT *, row_number() OVER (PARTITION BY rule, source, side ORDER BY doc_id)::INT AS place FROM h WHERE n > 0) SELECT rule, source, side, place, doc_id, n FROM p WHERE place <= {FIRST}",
+    "first_plain_notes": f"WITH {SQL_SIDED}, h AS (" + " UNION ALL ".join(sql_notes(r) for r in PLAIN) + f"), p AS (SELECT h.*, side, row_number() OVER (PARTITION BY rule, side ORDER BY doc_id, line, \"column\", context)::INT AS place FROM h JOIN e USING (doc_id)) SELECT rule, side, place, doc_id, line, \"column\", context FROM p WHERE place <= {FIRST}",
     "plain_notes": f"WITH {SQL_DOCUMENTS} " + " UNION ALL ".join(sql_notes(r) for r in PLAIN),
     "rule_catalog": "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join([f"{i}::INT", *("NULL::VARCHAR" if v is None else "'" + v.replace("'", "''") + "'" for v in (r.id, r.category, r.severity, r.confidence, r.message, r.suggestion, r.rationale))]) + ")" for i, r in enumerate(RULES)) + ") t(ord, id, category, severity, confidence, message, suggestion, rationale)",
     "blanked_pages": f"SELECT page_id, array_to_string(list_transform(string_split(regexp_replace(html, '{MARKDOWN_NOISE.replace('(?md)', '(?m)')}', chr(1) || '\\0' || chr(2), 'g'), chr(1)), lambda x: CASE WHEN contains(x, chr(2)) THEN regexp_replace(split_part(x, chr(2), 1), '[^\\n]', ' ', 'g') || split_part(x, chr(2), 2) ELSE x END), '') AS blanked FROM pages",
@@ -228,3 +249,8 @@ ORACLE_SQL: dict[str, str] = {
       y AS (SELECT DISTINCT array_to_string(w[i:i + {SHINGLE - 1}], ' ') AS run FROM (SELECT w, unnest(range(1, len(w) - {SHINGLE - 2})) AS i FROM b WHERE len(w) >= {SHINGLE}))
       SELECT doc_id, count(*) AS n_shared FROM x JOIN y USING (run) GROUP BY doc_id""".split()),
 }
+_SPOKEN = ORACLE_SQL["sentence_spans"]
+ORACLE_SQL["note_sentences"] = f"""{_SPOKEN[: _SPOKEN.rindex("SELECT doc_id")].rstrip()},
+      sents AS ({_SPOKEN[_SPOKEN.rindex("SELECT doc_id") :]}),
+      spans AS ({" UNION ALL ".join(sql_spans(r) for r in PLAIN)})
+      SELECT doc_id, rule, off, paragraph, sentence FROM spans JOIN sents USING (doc_id) WHERE off < "offset" + length AND "end" > "offset\""""

@@ -17,7 +17,7 @@ from tellscan.functions.literals import alternatives, group_end
 #: A gap with at most one line break, where the rules' loops look ahead for a blank line.
 ONE_BREAK = r"(?:[ \t]+(?:\r?\n[ \t]*)?|\r?\n[ \t]*)"
 GAPS = (g.NB, g.GAP, g.WRAP, g.INDENT)
-#: Rules that SQL can't count: a phrase of three words is sought again for some hundred words.
+#: Rules that SQL can't count in one expression: phrase-echo has a statement of its own, echo_counts().
 NONE = ("phrase-echo",)
 M, AFTER, BEFORE = "m", "a", "b"
 #: Stands after a full stop, a question or an exclamation mark, so that one match may take the stop and the next one this.
@@ -217,14 +217,24 @@ _SIDE, _ALONE = 40, 40
 _SQUASH = "trim(regexp_replace({0}, '\\s+', ' ', 'g'), ' ')"
 
 
+def _sql_placed(rule: Rule, table: str) -> str:
+    """doc_id, text, pre, m, post of each match of a rule without conditions."""
+    flags, _, body, _ = sql_pattern(rule)
+    marked = f"string_split(regexp_replace(text, {_quoted(flags + body)}, chr(1) || '\\0' || chr(2), 'g'), chr(1))"
+    pieces = f"SELECT doc_id, text, x, unnest(range(2, len(x) + 1)) AS i FROM (SELECT doc_id, text, {marked} AS x FROM {table})"
+    return f"SELECT doc_id, text, replace(array_to_string(x[1:i - 1], ''), chr(2), '') AS pre, split_part(x[i], chr(2), 1) AS m, replace(split_part(x[i], chr(2), 2) || array_to_string(x[i + 1:], ''), chr(2), '') AS post FROM ({pieces})"
+
+
+def sql_spans(rule: Rule, table: str = "d") -> str:
+    """doc_id, rule, off, end of the matches of a rule without conditions."""
+    return f'SELECT doc_id, {_quoted(rule.id)} AS rule, length(pre)::INT AS off, (length(pre) + length(m))::INT AS "end" FROM ({_sql_placed(rule, table)})'
+
+
 def sql_notes(rule: Rule, table: str = "d") -> str:
     """doc_id, rule, line, column, excerpt, context, count, message of the notes of a rule without conditions, as SQL over a table of texts."""
     if not is_plain(rule):
         raise ValueError(f"SQL can't place the matches of {rule.id}")
-    flags, _, body, _ = sql_pattern(rule)
-    marked = f"string_split(regexp_replace(text, {_quoted(flags + body)}, chr(1) || '\\0' || chr(2), 'g'), chr(1))"
-    pieces = f"SELECT doc_id, text, x, unnest(range(2, len(x) + 1)) AS i FROM (SELECT doc_id, text, {marked} AS x FROM {table})"
-    placed = f"SELECT doc_id, text, replace(array_to_string(x[1:i - 1], ''), chr(2), '') AS pre, split_part(x[i], chr(2), 1) AS m, replace(split_part(x[i], chr(2), 2) || array_to_string(x[i + 1:], ''), chr(2), '') AS post FROM ({pieces})"
+    placed = _sql_placed(rule, table)
     before = f"CASE WHEN length(pre) > {_SIDE} THEN '…' || regexp_replace(right(pre, {_SIDE}), '\\A\\S*\\s+', '') ELSE pre END"
     after = f"CASE WHEN length(post) > {_SIDE} THEN regexp_replace(left(post, {_SIDE}), '\\s\\S*\\z', '') || '…' ELSE post END"
     context = f"CASE WHEN length(m) >= {_ALONE} THEN '[' || {_SQUASH.format('m')} || ']' ELSE {_SQUASH.format(f'({before} || m || {after})')} END"
@@ -232,3 +242,31 @@ def sql_notes(rule: Rule, table: str = "d") -> str:
     message = f"replace({_quoted(rule.message)}, '%{{count}}', ({count})::VARCHAR)" if rule.count_group else _quoted(rule.message)
     line, column = "length(pre) - length(replace(pre, chr(10), '')) + 1", "length(string_split(pre, chr(10))[-1]) + 1"
     return f'SELECT doc_id, {_quoted(rule.id)} AS rule, ({line})::INT AS line, ({column})::INT AS "column", {_SQUASH.format("m")} AS excerpt, {context} AS context, {count} AS count, {message} AS message FROM ({placed})'
+
+
+def echo_counts(table: str = "d") -> str:
+    """doc_id, n_notes of phrase-echo for every row of a table of texts, as common table expressions and a SELECT.
+
+    A text is cut into words that hold together by quotes and hyphens. A phrase is three of these, and the next equal
+    phrase that stands clear is looked up by an as-of join; words, bad gaps and notes are counted along the text.
+    """
+    letter = r"\pL\pM\p{Nd}\p{Pc}"
+    gap = r"^(?:[ \t\x{00A0}]{1,2}|\r?\n[ \t\x{00A0}]{0,4})$"
+    mark = "'’-"
+    quoted = mark.replace("'", "''")
+    word, six = f"^[a-z][0-9A-Za-z_{quoted}]{{3,}}$", "^[a-z]{6,}$"
+    steps = 400
+    return f"""e1 AS (SELECT doc_id, string_split(regexp_replace(text, '[{letter}{quoted}]+', chr(1) || '\\0' || chr(2), 'g'), chr(1)) AS x FROM {table}),
+      e2 AS (SELECT doc_id, k, split_part(x[k], chr(2), 1) AS w, CASE WHEN k > 2 THEN split_part(x[k - 1], chr(2), 2) ELSE x[1] END AS g, CASE WHEN k > 2 THEN split_part(x[k - 1], chr(2), 1) ELSE '' END AS prior
+        FROM (SELECT doc_id, x, unnest(range(2, len(x) + 1)) AS k FROM e1)),
+      e3 AS (SELECT doc_id, k, w, g, len(regexp_extract_all(w, '[{letter}]+')) AS n, regexp_extract(prior, '[{quoted}]*$') || g || regexp_extract(w, '^[{quoted}]*') AS run FROM e2),
+      e4 AS (SELECT *, length(run) BETWEEN 1 AND 80 AND NOT regexp_matches(run, '\r?\n[ \t]*(?:[-*+•|]|[0-9]+[.)])[ \t]') AND (k = 2 OR g <> '') AS fine FROM e3),
+      e5 AS (SELECT doc_id, k, w, fine AND NOT regexp_matches(run, '["“‘''`*|-]') AS clear, sum(n) OVER r - n AS words, sum(CASE WHEN fine OR k = 2 THEN 0 ELSE 1 END) OVER r AS bad, regexp_matches(g, '{gap}') AS joined,
+          regexp_matches(w, '{word}') AS good, regexp_matches(w, '{six}') AS long, regexp_replace(w, '[{quoted}]+$', '') AS bare, n FROM e4 WINDOW r AS (PARTITION BY doc_id ORDER BY k ROWS UNBOUNDED PRECEDING)),
+      e6 AS (SELECT doc_id, k, clear, words, bad, good AND lead(good, 1) OVER r AND lead(regexp_matches(bare, '{word}'), 2) OVER r AND lead(joined, 1) OVER r AND lead(joined, 2) OVER r AS phrase,
+          long OR lead(long, 1) OVER r OR lead(long, 2) OVER r AS long, w || ' ' || lead(w, 1) OVER r || ' ' || lead(bare, 2) OVER r AS said, lead(words + n, 2) OVER r AS words_after, lead(bad, 2) OVER r AS bad_after
+        FROM e5 WINDOW r AS (PARTITION BY doc_id ORDER BY k)),
+      e7 AS (SELECT a.doc_id, a.k FROM (SELECT *, k + 3 AS least FROM e6 WHERE phrase AND long) a ASOF JOIN (SELECT * FROM e6 WHERE phrase AND clear) b ON a.doc_id = b.doc_id AND a.said = b.said AND a.least <= b.k
+        WHERE b.words - a.words_after <= {steps} AND b.bad = a.bad_after),
+      e8 AS (SELECT doc_id, list_reduce(list_prepend(0::BIGINT, list(k::BIGINT + 3 ORDER BY k)), lambda a, x: CASE WHEN x >= (a >> 24) + 3 THEN (x << 24) + (a & 16777215) + 1 ELSE a END) & 16777215 AS n FROM e7 GROUP BY doc_id)
+      SELECT doc_id, coalesce(n, 0)::BIGINT AS n_notes FROM {table} LEFT JOIN e8 USING (doc_id)"""

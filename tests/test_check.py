@@ -60,7 +60,7 @@ def test_selection_over_both_catalogues():
 def test_listing_and_explaining(capsys):
     assert len(rules_table().split("\n")) == len(BY_ID) == 84
     assert explain("no-x-no-y")["noted"] and explain("maxim")["levels"] and "noted:\n    " in explained("em-dash")
-    assert main(["rules", "--json"]) == 0 and len(json.loads(capsys.readouterr().out)) == 84
+    assert main(["rules", "--json"]) == 0 and len(json.loads(capsys.readouterr().out)) == 104
     assert main(["explain", "vital-role"]) == 0 and main(["explain", "nope"]) == WRONG and main(["chekc"]) == WRONG
 
 
@@ -170,3 +170,50 @@ def test_texts_by_domain_and_side_and_what_is_due(spark, tmp_path):
     assert read_texts(spark, folder, schema).count() == 3 and [r.text for r in read_texts(spark, folder, schema, "blogs").collect()] == ["c"]
     assert "PartitionFilters: [isnotnull(domain" in read_texts(spark, folder, schema, "blogs")._jdf.queryExecution().executedPlan().toString()
     assert read_texts(spark, folder, schema).where(F.col("side") == "human").count() == 2
+
+
+def test_texts_that_cannot_be_read_are_a_wrong_call(spark, tmp_path, capsys):
+    (tmp_path / "bad.txt").write_bytes(b"plays a vital role \xff\xfe")
+    (tmp_path / "good.txt").write_text("It plays a vital role.")
+    for paths in (["gone.txt"], ["bad.txt"], ["good.txt", "bad.txt"], ["good.txt", "gone.txt"]):
+        assert main(["check", *(str(tmp_path / p) for p in paths)]) == WRONG
+        out = capsys.readouterr()
+        assert not out.out and len(out.err.strip().splitlines()) == 1 and paths[-1] in out.err and "Exception" not in out.err
+
+
+def test_low_notes_are_counted_under_strict(spark, tmp_path, capsys):
+    (tmp_path / "a.txt").write_text("It is genuinely odd.")
+    assert main(["check", "--strict", "--select", "genuinely", str(tmp_path / "a.txt")]) == FOUND
+    assert "1 of 1 notes are of low confidence" in capsys.readouterr().err
+
+
+def test_version_and_listing_of_questions(capsys):
+    import tellscan
+
+    assert main(["version"]) == 0 and capsys.readouterr().out.strip() == tellscan.__version__
+    assert main(["rules"]) == 0 and "maxim" in capsys.readouterr().out
+
+
+def test_compare_and_usage_as_commands(spark, tmp_path, capsys, monkeypatch):
+    import tellscan.__main__ as command
+
+    class Broken(WordBackend):
+        def ask(self, state, questions):
+            raise BackendError("gone")
+
+    monkeypatch.setattr(command, "HttpBackend", lambda url, model: Broken() if url == "broken" else WordBackend())
+    a, b = tmp_path / "a.txt", tmp_path / "b.txt"
+    a.write_text("It was cold. They left. No one spoke.")
+    b.write_text("On 3 May 1931 Ada Byrd left Leeds. She was 41. Her train left at 9.")
+    assert main(["compare", str(a), str(b), "--backend", "http://x", "--json"]) == 0
+    got = json.loads(capsys.readouterr().out)
+    assert got["keep"] == "B" and 0.5 <= got["p_keep_b"] <= 1
+    assert main(["compare", str(a), str(b), "--backend", "http://x", "--drift"]) == 0 and "drift:" in capsys.readouterr().out
+    assert main(["compare", str(a), str(tmp_path / "gone"), "--backend", "http://x"]) == WRONG
+    assert main(["compare", str(a), str(b), "--backend", "broken"]) == FAILED
+    capsys.readouterr()
+    assert main(["check", "--json", "--backend", "http://x", "--select", "maxim", str(a)]) in (CLEAN, FOUND)
+    judged = json.loads(capsys.readouterr().out)
+    assert judged["judge"]["requests"] > 0 and judged["judge"]["backend"] == "http://x" and isinstance(judged["notes"], list)
+    a.write_text("# Only a heading\n")
+    assert main(["check", "--backend", "http://x", "--select", "maxim", str(a)]) == WRONG and "not asked" in capsys.readouterr().err

@@ -1,5 +1,7 @@
 import json
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,3 +81,32 @@ def test_json_query_has_the_guarded_rules(spark, tmp_path):
     got = {r.doc_id: r.json for r in notes_as_json(spark, str(tmp_path)).collect()}
     assert [rule for i, rule, _ in cases if f'"{rule}"' not in got.get(i, "")] == []
     assert not any(f'"{r.id}"' in j for r in BY_ID.values() if r.confidence == "low" for j in got.values())
+
+
+def test_auc_by_ranges_equals_all_pairs(spark):
+    """Many scores and few, ties, a null group and null scores; and no window of a plan is over a group alone but that over its ranges."""
+    rng = random.Random(6)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([round(rng.random(), 3), 0.5, None]), rng.choice([True, False, False, None])) for _ in range(3000)] + [("one", 1.0, True)]
+    found = auc(spark.createDataFrame(rows, "g string, s double, p boolean"), "g", "s", "p")
+    for r in found.collect():
+        pos, neg = ([s for g, s, p in rows if g == r.g and s is not None and p is side] for side in (True, False))
+        won = sum((x > y) + (x == y) / 2 for x in pos for y in neg)
+        assert (r.n_pos, r.n_neg) == (len(pos), len(neg)) and (r.auc == pytest.approx(won / (len(pos) * len(neg))) if pos and neg else r.auc is None)
+    assert found.count() == 4
+
+
+def test_first_rows_are_limited_before_they_meet(spark):
+    from tellscan.plans.queries import QUERIES
+
+    for name in ("first_hits", "first_notes"):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("WindowGroupLimit") >= 2 and "collect_list" not in plan
+
+
+def test_no_text_goes_into_the_join_with_labels(spark):
+    from tellscan.plans.queries import QUERIES
+
+    for name in ("first_hits", "first_notes", "notes_per_1k_words", "quality_auc"):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        joins = [line for line in plan.split("\n") if "Join" in line]
+        assert name == "quality_auc" or joins
