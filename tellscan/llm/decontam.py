@@ -1,17 +1,20 @@
 """Operator 10: benchmark decontamination by Wu-Manber search over words.
 
 Every window of WINDOW consecutive words of a benchmark item (or all its words, if fewer) is a pattern. Patterns of
-similar length share a machine: a shift table over blocks of two words tells how far the search may jump, a jump of 0
-leads to the bucket of the patterns that end their first m words in that block, and a direct comparison confirms.
+similar length share a machine: a shift table over hashes of blocks of two words tells how far the search may jump, a jump
+of 0 leads to the bucket of the patterns that end their first m words in such a block, and a direct comparison confirms.
+A machine is arrays of word numbers and of places in them, and is built once in each Python worker.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections import defaultdict
+import uuid
+from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,63 +37,121 @@ def words_of(text: bytes | None) -> list[bytes]:
     return WORD.findall(text.lower()) if text else []
 
 
+def _blocks(first: np.ndarray, second: np.ndarray, bits: int) -> np.ndarray:
+    """Hash values of blocks of two word numbers."""
+    mixed = (first.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (second.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+    return (mixed * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(64 - bits)).astype(np.int64)
+
+
 class Machine:
-    """Wu-Manber tables for patterns of known words, given as tuples of word numbers above 0."""
-
-    def __init__(self, patterns: dict[tuple[int, ...], list[str]]):
-        self.patterns = patterns
-        self.m = m = min(map(len, patterns))
-        self.block = min(2, m)
-        self.shift: dict = {}
-        self.buckets: dict = defaultdict(list)
-        for p in patterns:
-            for end in range(self.block, m + 1):
-                key = p[end - 2 : end] if self.block == 2 else p[end - 1]
-                self.shift[key] = min(self.shift.get(key, m), m - end)
-            self.buckets[p[m - 2 : m] if self.block == 2 else p[m - 1]].append(p)
-
-    def find(self, ids: list[int]) -> Iterator[tuple[int, tuple[int, ...]]]:
-        """(start, pattern) of every occurrence, from left to right."""
-        m, shift, far, two, at, n = self.m, self.shift, self.m - self.block + 1, self.block == 2, self.m - 1, len(ids)
+    """Wu-Manber tables for windows of about equal length: places in one array of word numbers, all above 0.
+
+    shift has, by the hash of a block, how far a search may jump when it stands on that block; where that is 0, the
+    windows whose first m words end in a block of that hash are among bucket[first[h] : first[h + 1]], h being its upper bits.
+    """
+
+    def __init__(self, words: np.ndarray, starts: np.ndarray, lengths: np.ndarray):
+        self.m = m = int(lengths.min())
+        self.raw, self.two = words.tobytes(), m > 1
+        most = int(8 * len(starts) * m).bit_length()
+        self.bits, self.bucket_bits = max(10, min(24, most)), max(10, min(20, most))
+        self.shift = np.full(1 << self.bits, m - self.two, np.uint8)
+        for end in range(1 + self.two, m + 1):  # later ends are nearer to the last word, so theirs stay
+            self.shift[self._key(words, starts + end - 1)] = m - end
+        key = self._key(words, starts + m - 1) >> (self.bits - self.bucket_bits)
+        self.bucket = np.argsort(key, kind="stable").astype(np.int32)
+        self.first = np.concatenate([[0], np.cumsum(np.bincount(key, minlength=1 << self.bucket_bits))]).astype(np.int32)
+        self.starts, self.lengths = starts, lengths
+
+    def _key(self, words: np.ndarray, at: np.ndarray) -> np.ndarray:
+        return _blocks(words[at - 1] if self.two else np.zeros(len(at), words.dtype), words[at], self.bits)
+
+    def find(self, ids: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(start, length, number of the window) of every occurrence, from left to right."""
+        n, m = len(ids), self.m
+        if n < m:
+            return
+        keys = self._key(ids, np.arange(self.two, n))
+        # a block with a word that no window has lets the search jump as far as any
+        jump = np.where(ids[self.two :] == 0, m, self.shift[keys])
+        jumps, raw, at = ([1] * self.two) + jump.tolist(), ids.tobytes(), m - 1
         while at < n:
-            key = (ids[at - 1], ids[at]) if two else ids[at]
-            jump = shift.get(key, far)
-            if jump:
-                at += jump
+            if jumps[at]:
+                at += jumps[at]
                 continue
-            start = at - m + 1
-            for p in self.buckets[key]:
-                if tuple(ids[start : start + len(p)]) == p:
-                    yield start, p
+            key, start = keys[at - self.two] >> (self.bits - self.bucket_bits), at - m + 1
+            for w in self.bucket[self.first[key] : self.first[key + 1]].tolist():
+                s, size = int(self.starts[w]), int(self.lengths[w])
+                if raw[4 * start : 4 * (start + size)] == self.raw[4 * s : 4 * (s + size)]:
+                    yield start, size, w
             at += 1
 
 
 class Search:
-    """All windows of a set of items."""
+    """All windows of a set of items, as places in one array; equal windows are one, with the items that have it."""
 
     def __init__(self, items: list[tuple[str, bytes | None]], window: int = WINDOW):
         self.vocabulary: dict[bytes, int] = {}
-        patterns: dict[tuple[int, ...], set[str]] = defaultdict(set)
+        self.names = sorted({item for item, _ in items})
+        number = {name: k for k, name in enumerate(self.names)}
+        held, starts, lengths, owners = array("i"), [], [], []
         for item, text in items:
             ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)]
             if ids:
-                for i in range(max(1, len(ids) - window + 1)):
-                    patterns[tuple(ids[i : i + window])].add(item)
-        self.items = {p: sorted(x) for p, x in patterns.items()}
-        classes = [*[(a, min(b, window - 1)) for a, b in CLASSES if a < window], (window, window)]
-        groups = [{p: x for p, x in self.items.items() if a <= len(p) <= b} for a, b in classes]
-        self.machines = [Machine(g) for g in groups if g]
+                n = max(1, len(ids) - window + 1)
+                starts.append(np.arange(len(held), len(held) + n, dtype=np.int32))
+                lengths.append(np.full(n, min(len(ids), window), np.uint8))
+                owners.append(np.full(n, number[item], np.int32))
+                held.extend(ids)
+        words = np.array(held, np.int32)
+        self.machines: list[tuple[Machine, np.ndarray, np.ndarray]] = []
+        if not starts:
+            return
+        start, length, owner = np.concatenate(starts), np.concatenate(lengths), np.concatenate(owners)
+        for a, b in [*[(a, min(b, window - 1)) for a, b in CLASSES if a < window], (window, window)]:
+            of = (length >= a) & (length <= b)
+            if of.any():
+                self.machines.append(self._machine(words, start[of], length[of], owner[of]))
+
+    @staticmethod
+    def _machine(words: np.ndarray, start: np.ndarray, length: np.ndarray, owner: np.ndarray) -> tuple[Machine, np.ndarray, np.ndarray]:
+        """A machine for the different windows, and their owners: owners[ends[w] : ends[w + 1]] has those of window w."""
+        digest = np.zeros(len(start), np.uint64)
+        padded = np.concatenate([words, np.zeros(int(length.max()), np.int32)])
+        for k in range(int(length.max())):
+            digest = digest * np.uint64(0x100000001B3) + np.where(k < length, padded[start + k], 0).astype(np.uint64)
+        order = np.lexsort((start, length, digest))
+        start, length, owner, digest = start[order], length[order], owner[order], digest[order]
+        # a window is the one before it if all their words are the same; windows of one digest that differ stay apart
+        same = np.concatenate([[False], (digest[1:] == digest[:-1]) & (length[1:] == length[:-1])])
+        for k in range(int(length.max())):
+            same[1:] &= (k >= length[1:]) | (padded[start[1:] + k] == padded[start[:-1] + k])
+        heads = np.flatnonzero(~same)
+        return Machine(words, start[heads], length[heads]), owner, np.append(heads, len(start))
 
     def hits(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
         """Spans [start, end) of words inside occurrences, and the items with occurrences."""
         get = self.vocabulary.get
-        ids = [get(w, 0) for w in words]
-        spans, items = [], set()
-        for machine in self.machines:
-            for start, p in machine.find(ids):
-                spans.append((start, start + len(p)))
-                items.update(self.items[p])
-        return spans, items
+        ids = np.fromiter((get(w, 0) for w in words), np.int32, len(words))
+        spans, found, seen = [], set(), set()
+        for k, (machine, owners, ends) in enumerate(self.machines):
+            for start, size, w in machine.find(ids):
+                spans.append((start, start + size))
+                if (k, w) not in seen:
+                    seen.add((k, w))
+                    found.update(owners[ends[w] : ends[w + 1]].tolist())
+        return spans, {self.names[o] for o in found}
+
+
+_LAST: dict[str, tuple[object, Search]] = {}
+
+
+def _search(key: object, items: list[tuple[str, bytes]], window: int) -> Search:
+    """The search of a pass, built once in each Python worker; only the last one stays."""
+    if "it" not in _LAST or _LAST["it"][0] != key:
+        _LAST.clear()
+        _LAST["it"] = key, Search(items, window)
+    return _LAST["it"][1]
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -143,8 +204,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col
     for k in range(passes):
         held = spark.sparkContext.broadcast([(r.item, r.body.encode()) for r in bench.where(F.col("pass") == k).toLocalIterator()])
 
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            search = Search(held.value, window)
+        def run(batches: Iterator[pa.RecordBatch], held=held, key=uuid.uuid4().hex) -> Iterator[pa.RecordBatch]:
+            search = _search((key, window), held.value, window)
             for b in batches:
                 counts, new_spans, new_items = [], [], []
                 old_spans, old_items = b.column(at[spans]).to_pylist(), b.column(at[items]).to_pylist()

@@ -129,3 +129,20 @@ def test_queries_equal_their_sql(spark, name):
     found = QUERIES[name](spark, sf)
     assert sorted(columns) == sorted(found.columns)
     assert sorted(map(tuple, found.select(columns).collect()), key=repr) == sorted(expected.fetchall(), key=repr)
+
+
+def test_arrays_of_windows_equal_brute_force():
+    """Operator 10's tables, whatever the window and the likeness of items; and a pass of many words stays small."""
+    from tellscan.llm import decontam
+
+    rng = random.Random(3)
+    for _ in range(400):
+        words = ["a", "b", "c", "d", "e", "f"][: rng.choice([2, 3, 6])]
+        items = [(str(i), " ".join(rng.choice(words) for _ in range(rng.choice([0, 1, 2, 3, 4, 6, 9, 12, 13, 14, 20])))) for i in range(rng.randrange(1, 8))]
+        text, window = " ".join(rng.choice([*words, "z"]) for _ in range(rng.randrange(60))), rng.choice([3, 5, 13])
+        spans, found = decontam.Search([(a, b.encode()) for a, b in items], window).hits(decontam.words_of(text.encode()))
+        want = decontam.naive(text, items, window)
+        assert (sum(e - s for s, e in decontam.merged(spans)), sorted(found)) == (want[1], sorted(i for i, t in items if decontam.naive(text, [(i, t)], window)[1])), (items, text, window)
+    search = decontam.Search([(str(i), " ".join(f"w{rng.randrange(50_000):x}" for _ in range(1_000)).encode()) for i in range(100)])
+    machine = search.machines[0][0]
+    assert sum(x.nbytes for x in (machine.shift, machine.first, machine.bucket, machine.starts, machine.lengths)) < 30 << 20
