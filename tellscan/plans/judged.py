@@ -12,8 +12,10 @@ from tellscan.functions.questions import QUESTIONS, question_catalog, select_que
 from tellscan.operators.backend import WordBackend
 from tellscan.operators.calibrate import FLOORS, GATE_AGREE, GATE_AUC, GATE_FLIP, GATE_PAIRS, GATED, agreement, flips
 from tellscan.operators.corpus import HUMAN, both_orders, calibration, flagged_units, pairs_of, rank_auc, scored
+from tellscan.operators.furniture import BULLET, CODE_INDENT, CONTINUED, FRONT, FURNITURE, HTML_LINE, INLINE, LONE_INLINE, LONE_INLINE_ENDED, ORDERED, ORDERED_FIRST, SETEXT_UNDERLINE
 from tellscan.operators.judge import HIGH, MEDIUM, MIN_SENTENCES, compare, judge, settle
 from tellscan.operators.labels import score_rules, totals
+from tellscan.operators.scan import MARKDOWN_NOISE
 from tellscan.operators.split import split
 from tellscan.plans.queries import DEFAULT, ORACLE_SQL as SQL, SENTENCES, SQL_DOCUMENTS, documents, spread
 from tellscan.plans.rule_sql import sql_count
@@ -23,13 +25,17 @@ BEFORE, AFTER = "---\ntitle: none\n---\n\n# Heading\n\n- item\n  goes on\n\n", "
 
 
 def markdown_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, paragraph, offset, length, text, asked, n_sentences of texts read as Markdown."""
     docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
-    return split(docs.withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit(BEFORE), "text", F.lit(AFTER))).otherwise(F.col("text"))), markdown=True)
+    found = split(docs.withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit(BEFORE), "text", F.lit(AFTER))).otherwise(F.col("text"))), markdown=True)
+    return found.select("doc_id", "paragraph", "offset", "length", "text", "asked", F.size("sentences").alias("n_sentences"))
 
 
 def judge_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The questions, their levels in one text."""
-    return question_catalog(spark).withColumn("levels", F.array_join("levels", " | "))
+    """The questions, their levels in one text, and how many turns of the conversations each would flag."""
+    flagged = turn_scores(spark, sf_dir).groupBy("rule").agg(F.count_if(F.col("flagged") & (F.col("confidence") >= MEDIUM)).alias("n_flagged"))
+    asked = question_catalog(spark).withColumn("levels", F.array_join("levels", " | "))
+    return asked.join(flagged.withColumnRenamed("rule", "id"), "id", "left")
 
 
 def judged_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,6 +55,11 @@ def judge_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(documents(spark, sf_dir), WordBackend())[1]
 
 
+def judge_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """counter, total: how many requests the judged notes of the documents take."""
+    return judge_usage(spark, sf_dir).where("counter = 'requests'")
+
+
 def compare_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which of two turns that follow each other is kept."""
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
@@ -116,6 +127,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "judged_places": judged_places(False),
     "judged_places_strict": judged_places(True),
     "judge_usage": judge_usage,
+    "judge_requests": judge_requests,
     "compare_turns": compare_turns,
     "turn_scores": turn_scores,
     "role_auc": role_auc,
@@ -186,10 +198,12 @@ w AS (SELECT role, {_PLAIN.format("h.text")} AS xa, {_PLAIN.format("m.text")} AS
 v AS (SELECT least(1::DOUBLE, greatest(0::DOUBLE, 0.5::DOUBLE + (xa - xb) / 2 + {PARTIAL.favour}::DOUBLE)) AS pa, least(1::DOUBLE, greatest(0::DOUBLE, 0.5::DOUBLE + (xb - xa) / 2 + {PARTIAL.favour}::DOUBLE)) AS pb FROM w),
 c AS (SELECT 1 - pa >= 0.5 AS keep, pb >= 0.5 AS keep_again, least(abs(2 * pa - 1), abs(2 * pb - 1)) AS sure FROM v),
 fl AS (SELECT 'chat' AS register, floor, count(*) FILTER (sure >= floor) AS n, count(*) FILTER (sure >= floor AND keep <> keep_again) AS flipped FROM c CROSS JOIN f GROUP BY floor)"""
+_JUDGED = _sql_judged(False)
 _ADDED = ", ".join("'" + t.replace("'", "''") + "'" for t in SENTENCES)
 _HITS = " UNION ALL ".join(f"SELECT '{r.id}' AS rule, family, slop, {sql_count(r, 'chr(10) || chr(10) || sentence')} > 0 AS hit FROM l" for r in DEFAULT)
 ORACLE_SQL: dict[str, str] = {
-    "judge_catalog": "SELECT * FROM (VALUES " + ", ".join(f"({i}::INT, {_text(q.id)}, {_text(q.unit)}, {_text(q.severity)}, {_text(q.confidence)}, {_text(q.excerpt)}, {_text(q.instructions)}, {_text(' | '.join(q.levels))}, {_text(q.message)}, {_text(q.suggestion)})" for i, q in enumerate(QUESTIONS)) + ") t(ord, id, unit, severity, confidence, excerpt, instructions, levels, message, suggestion)",
+    "judge_catalog": f"WITH {_SCORES}, n AS (SELECT rule AS id, count(*) FILTER (flagged AND confidence >= {MEDIUM}) AS n_flagged FROM s GROUP BY rule) SELECT * FROM (VALUES " + ", ".join(f"({i}::INT, {_text(q.id)}, {_text(q.unit)}, {_text(q.severity)}, {_text(q.confidence)}, {_text(q.excerpt)}, {_text(q.instructions)}, {_text(' | '.join(q.levels))}, {_text(q.message)}, {_text(q.suggestion)})" for i, q in enumerate(QUESTIONS)) + ") t(ord, id, unit, severity, confidence, excerpt, instructions, levels, message, suggestion) LEFT JOIN n USING (id)",
+    "judge_requests": f"{_JUDGED[: _JUDGED.index('of_sents AS')].rstrip().rstrip(',')} SELECT 'requests' AS counter, ((SELECT count(*) FROM paras WHERE k >= {MIN_SENTENCES}) + (SELECT count(*) FROM sents s JOIN paras USING (doc_id, paragraph) WHERE k < {MIN_SENTENCES} OR (doc_id, paragraph) IN (SELECT (doc_id, paragraph) FROM flagged)))::DOUBLE AS total",
     "compare_turns": f"WITH p AS (SELECT concat_ws('/', conv_id, turn, role) AS pair_id, text AS a, lead(text) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS b FROM conversations), q AS (SELECT pair_id, {_PLAIN.format('b')} - {_PLAIN.format('a')} AS d FROM p WHERE b IS NOT NULL) SELECT pair_id, CASE WHEN d >= 0 THEN 'B' ELSE 'A' END AS keep, round(0.5 + d / 2, 6)::DOUBLE AS p_keep_b, round(abs(d), 6)::DOUBLE AS keep_confidence FROM q",
     "judged_places": _sql_judged(False),
     "judged_places_strict": _sql_judged(True),
@@ -201,3 +215,50 @@ ORACLE_SQL: dict[str, str] = {
     "gate_lines": f"WITH {_SCORES}, {_AUC}, {_BANDS}, {_TURNED} SELECT 'auc' AS gate, rule AS subject, CASE WHEN auc < {GATE_AUC} THEN 'ok' ELSE 'FAIL' END AS status, auc AS value, NULL::BIGINT AS n FROM auc WHERE side = 'assistant' AND rule IN {GATED} UNION ALL SELECT 'flip', 'compare', CASE WHEN n < {GATE_PAIRS} THEN 'n/a' WHEN flipped / n < {GATE_FLIP} THEN 'ok' ELSE 'FAIL' END, CASE WHEN n > 0 THEN round(flipped / n, 9) END, n FROM fl WHERE floor = {FLOORS[0]} UNION ALL SELECT 'agreement', 'check', CASE WHEN agreed / nullif(n, 0) >= {GATE_AGREE} THEN 'ok' ELSE 'FAIL' END, round(agreed / nullif(n, 0), 9), n FROM g WHERE floor = {FLOORS[0]}",
     "label_totals": f"WITH {SQL_DOCUMENTS}, l AS (SELECT source AS family, doc_id % 2 = 0 AS slop, ([{_ADDED}])[(doc_id % {len(SENTENCES)} + 1)::INT] AS sentence FROM d WHERE text IS NOT NULL), h AS ({_HITS}) SELECT rule, family, count(*) FILTER (slop AND hit) AS slop_hit, count(*) FILTER (slop) AS slop_all, count(*) FILTER (NOT slop AND NOT hit) AS plain_pass, count(*) FILTER (NOT slop) AS plain_all FROM h GROUP BY rule, family",
 }
+
+
+def _sql_markdown() -> str:
+    """markdown_paragraphs as SQL: noise as blanks, lines read one after the other with flags, paragraphs and sentences of what is left."""
+    noise = MARKDOWN_NOISE.replace("(?md)", "(?m)")
+    shapes = {"furniture": FURNITURE, "ordered": ORDERED, "first": ORDERED_FIRST, "bullet": BULLET, "continued": CONTINUED, "indented": CODE_INDENT, "html": HTML_LINE, "lone": LONE_INLINE, "ended": LONE_INLINE_ENDED}
+
+    def like(pattern: str, x: str = "x") -> str:
+        return f"regexp_matches({x}, {_text(pattern)})"
+
+    def blanked(inline: str) -> str:
+        one = f"CASE WHEN contains(m, chr(10)) OR starts_with(m, '<!--') THEN regexp_replace(m, '[^\\n]', ' ', 'g') ELSE {inline} END"
+        return f"array_to_string(list_transform(string_split(regexp_replace(text, {_text(noise)}, chr(1) || '\\0' || chr(2), 'g'), chr(1)), lambda x: CASE WHEN contains(x, chr(2)) THEN (list_transform([split_part(x, chr(2), 1)], lambda m: {one}))[1] || split_part(x, chr(2), 2) ELSE x END), '')"
+
+    shape = ", ".join(f"'{n}': {like(q)}" for n, q in shapes.items())
+    flags = ", ".join(f"'{n}': FALSE" for n in (*shapes, "blank", "title"))
+    listed = "(x.bullet OR (x.ordered AND (NOT a.prose OR x.first)))"
+    item = f"({listed} OR (a.item AND x.continued))"
+    code = "((a.code AND (x.indented OR x.blank)) OR (x.indented AND NOT a.item AND a.opens))"
+    gone = f"(a.k < x.front OR {code} OR {item} OR x.furniture OR x.title OR a.titled OR x.html OR x.lone OR (NOT a.prose AND x.ended))"
+    keep = ", ".join(f"'{n}': FALSE" for n in (*shapes, "blank", "title"))
+    step = f"{{{keep}, 'front': 0::BIGINT, 'k': a.k + 1, 'item': {item}, 'prose': NOT {gone} AND NOT x.blank, 'code': {code}, 'opens': x.blank OR {gone}, 'titled': x.title, 'out': a.out || CASE WHEN {gone} THEN '1' ELSE '0' END}}"
+    start = f"{{{flags}, 'front': 0::BIGINT, 'k': 0::BIGINT, 'item': FALSE, 'prose': FALSE, 'code': FALSE, 'opens': TRUE, 'titled': FALSE, 'out': ''}}"
+    wiped = "array_to_string(list_transform(range(1, len({0}) + 1), lambda i: CASE WHEN gone[i] = '1' THEN regexp_replace({0}[i], '[^\\r]', ' ', 'g') ELSE {0}[i] END), chr(10))"
+    own = f"""s0 AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN {_sql_text(BEFORE)} || text || {_sql_text(AFTER)} ELSE text END AS text FROM documents WHERE text IS NOT NULL),
+      s1 AS (SELECT *, string_split({blanked(f"repeat('{INLINE}', length(m))")}, chr(10)) AS body, string_split({blanked('m')}, chr(10)) AS shown FROM s0),
+      s2 AS (SELECT *, list_transform(body, lambda x: regexp_replace(x, '\\r$', '')) AS bare FROM s1),
+      s3 AS (SELECT *, list_transform(bare, lambda x: {like(FRONT)}) AS fence FROM s2),
+      s4 AS (SELECT *, CASE WHEN fence[1] AND list_position(fence[2:], TRUE) > 0 THEN list_position(fence[2:], TRUE) + 1 ELSE 0 END AS front FROM s3),
+      s5 AS (SELECT *, list_transform(range(1, len(bare) + 1), lambda i: (list_transform([bare[i]], lambda x: {{{shape}, 'blank': NOT regexp_matches(x, '[^\\s\\v\\x00]'), 'title': regexp_matches(x, '[^\\s\\v\\x00]') AND coalesce({like(SETEXT_UNDERLINE, 'bare[i + 1]')}, FALSE),
+        'front': front::BIGINT, 'k': 0::BIGINT, 'item': FALSE, 'prose': FALSE, 'code': FALSE, 'opens': TRUE, 'titled': FALSE, 'out': ''}}))[1]) AS lines FROM s4),
+      s6 AS (SELECT *, list_reduce(list_prepend({start}, lines), lambda a, x: {step}).out AS gone FROM s5),
+      s7 AS (SELECT doc_id, text AS whole, {wiped.format('body')} AS text, {wiped.format('shown')} AS asked FROM s6),
+      d AS (SELECT doc_id, text FROM s7)"""
+    spoken = SQL["sentence_spans"].replace(SQL_DOCUMENTS, own).replace("A-Z0-9])', '", f"A-Z0-9{INLINE}])', '")
+    cut = spoken.rindex("SELECT doc_id")
+    squashed = _SQUASHED.format("substr({0}, p.\"offset\" + 1, p.length)")
+    return f"""{spoken[:cut].rstrip()}, sents AS ({spoken[cut:]}), sn AS (SELECT doc_id, paragraph, count(*) AS n FROM sents GROUP BY ALL)
+      SELECT p.doc_id, p.paragraph, p."offset", p.length, {squashed.format('whole')} AS text, {squashed.format('asked')} AS asked, n::INT AS n_sentences
+      FROM p JOIN sn USING (doc_id, paragraph) JOIN s7 USING (doc_id) WHERE n <> 1 OR NOT ends_with(p.text, ':')"""
+
+
+def _sql_text(value: str) -> str:
+    return " || chr(10) || ".join(_text(x) for x in value.split("\n"))
+
+
+ORACLE_SQL["markdown_paragraphs"] = _sql_markdown()

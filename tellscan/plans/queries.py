@@ -122,7 +122,11 @@ PLAIN = [r for r in RULES if r.id not in NONE and is_plain(r)]
 
 
 def rule_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog(spark)
+    """The catalogue with the number of documents that each rule notes something in; null for rules that are off by default."""
+    docs = documents(spark, sf_dir).withColumn("low", folded(F.col("text")))
+    hits = docs.agg(*[F.count_if(n_notes(F.col("text"), r, F.col("low")) > 0).alias(r.id) for r in DEFAULT])
+    each = hits.select(F.inline(F.array(*[F.struct(F.lit(r.id).alias("id"), F.col(f"`{r.id}`").alias("n_documents")) for r in DEFAULT])))
+    return catalog(spark).join(each, "id", "left")
 
 
 def blanked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,7 +162,9 @@ def note_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def paragraph_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return split(documents(spark, sf_dir))
+    """doc_id, paragraph, sentence, offset, length, text, asked: the sentences of the split, after furniture was blanked."""
+    found = split(documents(spark, sf_dir))
+    return found.select("doc_id", "paragraph", F.posexplode("sentences").alias("sentence", "x")).select("doc_id", "paragraph", "sentence", "x.*")
 
 
 def notes_as_json(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -231,7 +237,7 @@ ORACLE_SQL: dict[str, str] = {
     "first_hits": f"WITH {SQL_SIDED}, h AS (" + " UNION ALL ".join(f"SELECT '{r.id}' AS rule, source, side, doc_id, {sql_count(r)} AS n FROM e" for r in DEFAULT) + f"), p AS (SELECT *, row_number() OVER (PARTITION BY rule, source, side ORDER BY doc_id)::INT AS place FROM h WHERE n > 0) SELECT rule, source, side, place, doc_id, n FROM p WHERE place <= {FIRST}",
     "first_plain_notes": f"WITH {SQL_SIDED}, h AS (" + " UNION ALL ".join(sql_notes(r) for r in PLAIN) + f"), p AS (SELECT h.*, side, row_number() OVER (PARTITION BY rule, side ORDER BY doc_id, line, \"column\", context)::INT AS place FROM h JOIN e USING (doc_id)) SELECT rule, side, place, doc_id, line, \"column\", context FROM p WHERE place <= {FIRST}",
     "plain_notes": f"WITH {SQL_DOCUMENTS} " + " UNION ALL ".join(sql_notes(r) for r in PLAIN),
-    "rule_catalog": "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join([f"{i}::INT", *("NULL::VARCHAR" if v is None else "'" + v.replace("'", "''") + "'" for v in (r.id, r.category, r.severity, r.confidence, r.message, r.suggestion, r.rationale))]) + ")" for i, r in enumerate(RULES)) + ") t(ord, id, category, severity, confidence, message, suggestion, rationale)",
+    "rule_catalog": f"WITH {SQL_DOCUMENTS}, n AS (" + " UNION ALL ".join(f"SELECT '{r.id}' AS id, count(*) FILTER ({sql_count(r)} > 0) AS n_documents FROM d" for r in DEFAULT) + ") SELECT * FROM (VALUES " + ", ".join("(" + ", ".join([f"{i}::INT", *("NULL::VARCHAR" if v is None else "'" + v.replace("'", "''") + "'" for v in (r.id, r.category, r.severity, r.confidence, r.message, r.suggestion, r.rationale))]) + ")" for i, r in enumerate(RULES)) + ") t(ord, id, category, severity, confidence, message, suggestion, rationale) LEFT JOIN n USING (id)",
     "blanked_pages": f"SELECT page_id, array_to_string(list_transform(string_split(regexp_replace(html, '{MARKDOWN_NOISE.replace('(?md)', '(?m)')}', chr(1) || '\\0' || chr(2), 'g'), chr(1)), lambda x: CASE WHEN contains(x, chr(2)) THEN regexp_replace(split_part(x, chr(2), 1), '[^\\n]', ' ', 'g') || split_part(x, chr(2), 2) ELSE x END), '') AS blanked FROM pages",
     "paragraph_spans": f"{_PARAGRAPHS} SELECT * FROM p",
     "sentence_spans": f"""{_PARAGRAPHS},
@@ -250,6 +256,8 @@ ORACLE_SQL: dict[str, str] = {
       SELECT doc_id, count(*) AS n_shared FROM x JOIN y USING (run) GROUP BY doc_id""".split()),
 }
 _SPOKEN = ORACLE_SQL["sentence_spans"]
+# the documents have no furniture, so what is split is what stands there
+ORACLE_SQL["paragraph_sentences"] = f"{_SPOKEN[: _SPOKEN.rindex('SELECT doc_id')].rstrip()}, sents AS ({_SPOKEN[_SPOKEN.rindex('SELECT doc_id') :]}) SELECT *, text AS asked FROM sents"
 ORACLE_SQL["note_sentences"] = f"""{_SPOKEN[: _SPOKEN.rindex("SELECT doc_id")].rstrip()},
       sents AS ({_SPOKEN[_SPOKEN.rindex("SELECT doc_id") :]}),
       spans AS ({" UNION ALL ".join(sql_spans(r) for r in PLAIN)})

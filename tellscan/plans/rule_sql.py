@@ -116,7 +116,7 @@ def _without(p: str, opening: str) -> str:
     return p[:i] + p[group_end(p, i) :]
 
 
-#: Patterns whose back-references are spelt out for each word, or become a second group that WITHIN compares.
+#: Patterns whose back-references are spelt out for each word, or become a second group that WITHIN compares. Their words are fixed values, as the rules have them.
 SPELT = {
     "epistrophe": rf"\b{W}{g.GAP}[\w'’-]{{4,}},{g.GAP}[^.,;:!?]{{5,140}}[.!?]",
     "the-x-is-the-x": BY_ID["the-x-is-the-x"].pattern.replace(r"\3", f"(?:{g.HEADS})"),
@@ -133,7 +133,7 @@ SPELT = {
 NO_PREFIX = {"rule-of-three": r"(?:^|[^,\s])\s*$", "actually-not-x": r"(?:^|[.;:!?\n])[^.;:!?,\n]{0,200}$"}
 _pattern = {i: r.pattern for i, r in BY_ID.items()}
 _last_two, _first_two = rf"({W})\s+({W})[.!?]$", rf"^({W})\s+({W}),"
-#: Conditions for look-arounds and back-references inside a pattern.
+#: Conditions for look-arounds and back-references inside a pattern. Their words are fixed values, as the rules have them.
 WITHIN: dict[str, list[str]] = {
     "honest-x": [_holds(M, r"^\w+[ \t]+(?:most|more)[ \t]+honest", False)],
     "most-honest-x": [f"({_holds(M, r'honest[ ]way[ ]to')} OR {_holds(M, r'[ ]way[ ]', False)})"],
