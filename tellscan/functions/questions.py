@@ -52,8 +52,8 @@ QUESTIONS: tuple[Question, ...] = (
     Question("stated-stakes", "sentence", "info", "low", "If `target` says that something matters, does %{register} learn why?", ("No reason is given.", "A reason is given, or nothing is said to matter."), "Importance without a reason.", "Say what depends on it."),
     Question("matched-shape", "sentence", "info", "low", "Did its content give `target` its shape? Look at pairs and triples.", ("A pattern came first, words fill it.", "A pattern with real parts.", "The content made the shape."), "A pair or triple for its own sake.", "Keep the part that is true."),
     Question("mirrored-opposites", "sentence", "info", "low", "Do opposite words hold the claims of `target` together, for %{register}?", ("Opposites join claims that are not one comparison.", "None, or one thing is compared."), "Opposites stitch two claims together.", "Make each claim alone."),
-    Question("positive-form", "sentence", "info", "low", "Does `target` tell %{register} what is, or what is not?", ("The claim is carried by a negative.", "The claim says what is, or denies something that was said."), "The claim is made by a negative.", "Say what is."),
-    Question("name-the-thing", "sentence", "info", "low", "Does `target` call things by their names for %{register}?", ("It points at a thing that has a name.", "It uses the names."), "A pointer in place of a name.", "Use the name."),
+    Question("positive-form", "sentence", "info", "low", "Is the point of `target` put to %{register} in the affirmative?", ("What carries the point is a denial.", "The point is affirmed, or it answers a claim that was made before."), "The claim is made by a negative.", "Say what is."),
+    Question("name-the-thing", "sentence", "info", "low", "Would %{register} have to look back to know which things `target` means?", ("It points at a thing that has a name.", "It uses the names."), "A pointer in place of a name.", "Use the name."),
     Question("maxim", "sentence", "info", "medium", "Is `target` a saying where %{register} wants a fact?", ("It is a rule about how things always go.", "It is about this case."), "A saying in place of a fact.", "Say what happened here."),
     Question("dressed-pair", "sentence", "info", "low", "Are the facts of `target` dressed as a matched pair?", ("One fact is told as two halves.", "It is told once, or there are two facts."), "One fact dressed as a pair.", "Tell it once."),
     Question("device-before-claim", "sentence", "info", "medium", "Does a device make the claim of `target` within its paragraph, for %{register}?", ("The claim comes through a riddle, a reveal or a contrast.", "The claim is made outright."), "A device makes the claim.", "Make the claim outright."),

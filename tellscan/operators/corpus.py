@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tellscan.functions.questions import Question
@@ -32,14 +32,34 @@ def sampled(texts: DataFrame, n: int) -> DataFrame:
 def units(texts: DataFrame, key: str = "text_id") -> DataFrame:
     """key, place, asked, sentences: the first PARAGRAPHS paragraphs of MIN_SENTENCES and more of each text."""
     rows = split(texts, key).where(F.size("sentences") >= MIN_SENTENCES)
-    some = rows.groupBy(key).agg(F.slice(F.sort_array(F.collect_list(F.struct("paragraph", "asked", "sentences"))), 1, PARAGRAPHS).alias("found"))
-    return some.select(key, F.posexplode("found").alias("place", "unit")).select(key, "place", F.col("unit.asked").alias("asked"), F.col("unit.sentences").alias("sentences"))
+    nth = F.row_number().over(Window.partitionBy(key).orderBy("paragraph"))
+    return rows.withColumn("nth", nth).where(F.col("nth") <= PARAGRAPHS).select(key, (F.col("nth") - 1).alias("place"), "asked", "sentences")
+
+
+def chosen(rows: DataFrame, **values: str | list[str] | None) -> DataFrame:
+    """The rows whose columns have the given values, or one of several; None asks for nothing. Columns that rows lacks are an error."""
+    for name, value in values.items():
+        if name not in rows.columns:
+            raise ValueError(f"no column {name}")
+        if value is not None:
+            rows = rows.where(F.col(name).isin(value))
+    return rows
+
+
+def common(left: DataFrame, right: DataFrame, *columns: str) -> DataFrame:
+    """The different values of columns that both have; nulls are equal to each other."""
+    return left.select(*columns).intersect(right.select(*columns))
+
+
+def lacking(left: DataFrame, right: DataFrame, *columns: str) -> DataFrame:
+    """The values of columns in left less as many as right has, repeats counted; nulls are equal to each other."""
+    return left.select(*columns).exceptAll(right.select(*columns))
 
 
 def scored(units: DataFrame, backend: Backend, again: Backend, questions: Sequence[Question], unit: str = "paragraph", text: str = "asked", register: str = "register") -> DataFrame:
     """The columns of units but text, and rule, score, flagged, confidence, flagged_again for each question about such a unit.
 
-    score is the expected level, so higher is better prose. Both backends are asked once a unit, all questions at once.
+    score is the mean of the levels by their probabilities; the worst level is 0. Both backends are asked once a unit, all questions at once.
     Units without a text are left out.
     """
     asked = [q for q in questions if q.unit == unit]

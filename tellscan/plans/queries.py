@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tellscan.functions.catalog import BY_ID, RULES, Rule, catalog, select_rules
 from tellscan.functions.examples import CASES
 from tellscan.operators.calibrate import auc
+from tellscan.operators.corpus import chosen, common, lacking
 from tellscan.operators.intervals import overlapping
 from tellscan.operators.judge import settle
 from tellscan.operators.report import json_by_document
@@ -179,6 +180,18 @@ def quality_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return auc(rated, "source", "rate", "bad")
 
 
+def shared_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """source, lang: what documents labelled good and documents labelled bad both come in."""
+    docs = with_side(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "lang"), sf_dir)
+    return common(chosen(docs, side="good"), chosen(docs, side="bad"), "source", "lang")
+
+
+def unlabelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id of the documents that no label is about."""
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    return lacking(docs, labels, "doc_id")
+
+
 def note_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """category, n_rules, n_notes over all rules that aren't low."""
     docs = documents(spark, sf_dir).withColumn("low", folded(F.col("text")))
@@ -216,6 +229,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "paragraph_sentences": paragraph_sentences,
     "notes_as_json": notes_as_json,
     "quality_auc": quality_auc,
+    "shared_sources": shared_sources,
+    "unlabelled": unlabelled,
     "note_categories": note_categories,
     "shared_shingles": shared_shingles,
 }
@@ -262,3 +277,5 @@ ORACLE_SQL["note_sentences"] = f"""{_SPOKEN[: _SPOKEN.rindex("SELECT doc_id")].r
       sents AS ({_SPOKEN[_SPOKEN.rindex("SELECT doc_id") :]}),
       spans AS ({" UNION ALL ".join(sql_spans(r) for r in PLAIN)})
       SELECT doc_id, rule, off, paragraph, sentence FROM spans JOIN sents USING (doc_id) WHERE off < "offset" + length AND "end" > "offset\""""
+ORACLE_SQL["shared_sources"] = "SELECT source, lang FROM documents JOIN labels USING (doc_id) WHERE quality = 1 INTERSECT SELECT source, lang FROM documents JOIN labels USING (doc_id) WHERE quality = 0"
+ORACLE_SQL["unlabelled"] = "SELECT doc_id FROM documents EXCEPT ALL SELECT doc_id FROM labels"

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tellscan.functions.catalog import BY_ID
 from tellscan.operators.backend import BackendError, WordBackend
-from tellscan.operators.corpus import append_texts, read_texts
+from tellscan.operators.corpus import append_texts, chosen, common, lacking, read_texts, units
 from tellscan.operators.intervals import overlapping
 from tellscan.operators.judge import judge
 from tellscan.sources.texts import csv_records, csv_with_header
@@ -105,3 +105,21 @@ def test_csv_records_equal_those_of_one_task(spark, tmp_path, end):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert got == sorted(map(tuple, csv_with_header(spark, str(tmp_path), schema).collect()), key=repr) and len(got) == 1200
+
+
+def test_filters_and_sets_of_rows(spark):
+    rows = spark.createDataFrame([("greedy", "f", 1), ("greedy", None, 2), ("sampled", "g", 2), ("sampled", "g", 2)], "decoding string, family string, shape int")
+    assert chosen(rows, decoding="greedy", family=None).count() == 2 and chosen(rows, family=["f", "g"], shape="2").count() == 2
+    with pytest.raises(ValueError, match="side"):
+        chosen(rows, side="human")
+    two = rows.where("shape = 2")
+    assert sorted(map(str, common(rows, two, "family").collect())) == ["Row(family='g')", "Row(family=None)"]
+    assert lacking(two, two.limit(1), "decoding", "family").count() == 2 and lacking(rows, rows, "shape").isEmpty()
+
+
+def test_first_paragraphs_are_limited_before_they_meet(spark):
+    text = "\n\n".join(f"One {k}. Two. Three." for k in range(5))
+    found = units(spark.createDataFrame([(1, text), (2, "Short."), (3, None)], "text_id long, text string"))
+    assert sorted((r.text_id, r.place, r.asked) for r in found.collect()) == [(1, 0, "One 0. Two. Three."), (1, 1, "One 1. Two. Three.")]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and "collect_list" not in plan
