@@ -11,13 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tellscan import __version__
-from tellscan.functions.catalog import RULES, explain, explained, rules_table
+from tellscan.functions.catalog import RULES, explain, explained, rules_table, select_rules
 from tellscan.functions.questions import QUESTIONS
 from tellscan.operators.backend import BackendError, HttpBackend
 from tellscan.operators.check import FAILED, WRONG, checked, unreadable, usage_line, usage_report
+from tellscan.operators.corpus import chosen, first_notes, rates
 from tellscan.operators.judge import compare
+from tellscan.operators.labels import score_rules, totals
 from tellscan.operators.scan import NOTE_FIELDS
-from tellscan.sources.texts import one_text, whole_files
+from tellscan.sources.texts import json_lines, one_text, whole_files
 
 
 def _parser() -> argparse.ArgumentParser:
@@ -43,6 +45,15 @@ def _parser() -> argparse.ArgumentParser:
     pair.add_argument("--model", default="")
     pair.add_argument("--drift", action="store_true", help="ask also whether B says something else than A")
     pair.add_argument("--json", action="store_true")
+    rated = of.add_parser("rates", help="notes for each thousand words by domain and side, from lines of JSON: source_id, domain, side, text")
+    rated.add_argument("path")
+    rated.add_argument("--first", type=int, default=0, metavar="N", help="also the first N notes of each rule in human texts")
+    rated.add_argument("--json", action="store_true")
+    labels = of.add_parser("labels", help="rules against labelled sentences, from lines of JSON: sentence, paragraph, slop, family, shape")
+    labels.add_argument("path")
+    labels.add_argument("--family")
+    labels.add_argument("--shape")
+    labels.add_argument("--json", action="store_true")
     of.add_parser("version")
     return top
 
@@ -69,7 +80,42 @@ def main(argv: list[str] | None = None) -> int:
         print(explained(options.rule))
         return 0
     spark = SparkSession.builder.getOrCreate()
-    return _compare(spark, options) if options.command == "compare" else _check(spark, options)
+    return {"check": _check, "compare": _compare, "rates": _rates, "labels": _labels}[options.command](spark, options)
+
+
+def _show(tables: dict[str, DataFrame], as_json: bool) -> None:
+    """Prints reports of a few rows each: by rule, domain and side, never by text."""
+    rows = {name: [r.asDict() for r in t.orderBy(*t.columns[:3]).collect()] for name, t in tables.items()}
+    if as_json:
+        print(json.dumps(rows, ensure_ascii=False))
+        return
+    for name, t in tables.items():
+        print("\t".join(t.columns))
+        for r in rows[name]:
+            print("\t".join("" if v is None else str(v) for v in r.values()))
+        print()
+
+
+def _rates(spark: SparkSession, options: argparse.Namespace) -> int:
+    try:
+        texts = json_lines(spark, options.path, "source_id string, domain string, side string, text string")
+        _show({"rates": rates(texts)} | ({"first": first_notes(texts, options.first)} if options.first > 0 else {}), options.json)
+    except PySparkException as e:
+        print(unreadable(e) or e, file=sys.stderr)
+        return WRONG
+    return 0
+
+
+def _labels(spark: SparkSession, options: argparse.Namespace) -> int:
+    try:
+        rows = chosen(json_lines(spark, options.path, "sentence string, paragraph string, slop boolean, family string, shape string"), family=options.family, shape=options.shape)
+        if rows.isEmpty():
+            raise ValueError(f"no labels for family {options.family} and shape {options.shape} in {options.path}")
+        _show({"totals": totals(score_rules(rows, select_rules()))}, options.json)
+    except (ValueError, PySparkException) as e:
+        print(unreadable(e) or e, file=sys.stderr)
+        return WRONG
+    return 0
 
 
 def _read(spark: SparkSession, paths: list[str]) -> DataFrame:

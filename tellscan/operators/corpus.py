@@ -11,10 +11,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tellscan.functions.catalog import Rule, select_rules
 from tellscan.functions.questions import Question
 from tellscan.operators.backend import Backend, each
 from tellscan.operators.calibrate import agreement, auc, flips, gates
 from tellscan.operators.judge import MEDIUM, MIN_SENTENCES, compare
+from tellscan.operators.scan import folded, n_notes, scan
 from tellscan.operators.split import split
 
 HUMAN = "human"
@@ -56,6 +58,22 @@ def lacking(left: DataFrame, right: DataFrame, *columns: str) -> DataFrame:
     return left.select(*columns).exceptAll(right.select(*columns))
 
 
+def rates(texts: DataFrame, rules: Sequence[Rule] | None = None) -> DataFrame:
+    """domain, side, n_texts, words, notes, per_1k: notes of the rules for each thousand words; 0 where there are no words."""
+    rules = select_rules() if rules is None else list(rules)
+    counted = texts.withColumn("low", folded(F.col("text"))).select("domain", "side", F.coalesce(F.regexp_count("text", F.lit(r"[^\x09-\x0D ]+")), F.lit(0)).cast("long").alias("words"), sum((n_notes(F.col("text"), r, F.col("low")) for r in rules), F.lit(0)).cast("long").alias("notes"))
+    got = counted.groupBy("domain", "side").agg(F.count("*").alias("n_texts"), F.sum("words").alias("words"), F.sum("notes").alias("notes"))
+    return got.withColumn("per_1k", F.when(F.col("words") > 0, F.round(1000 * F.col("notes") / F.col("words"), 6)).otherwise(F.lit(0.0)))
+
+
+def first_notes(texts: DataFrame, n: int, rules: Sequence[Rule] | None = None, side: str = HUMAN) -> DataFrame:
+    """rule, domain, place, source_id, line, column, context: the first n notes of each rule and domain in the texts of a side."""
+    found = scan(texts.where(F.col("side") == side).select(F.struct("source_id", "domain").alias("text_of"), "text"), rules, key="text_of")
+    place = F.row_number().over(Window.partitionBy("rule", "domain").orderBy("source_id", "line", "column"))
+    rows = found.select("rule", "text_of.*", "line", "column", "context").withColumn("place", place).where(F.col("place") <= n)
+    return rows.select("rule", "domain", "place", "source_id", "line", "column", "context")
+
+
 def scored(units: DataFrame, backend: Backend, again: Backend, questions: Sequence[Question], unit: str = "paragraph", text: str = "asked", register: str = "register") -> DataFrame:
     """The columns of units but text, and rule, score, flagged, confidence, flagged_again for each question about such a unit.
 

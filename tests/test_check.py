@@ -217,3 +217,19 @@ def test_compare_and_usage_as_commands(spark, tmp_path, capsys, monkeypatch):
     assert judged["judge"]["requests"] > 0 and judged["judge"]["backend"] == "http://x" and isinstance(judged["notes"], list)
     a.write_text("# Only a heading\n")
     assert main(["check", "--backend", "http://x", "--select", "maxim", str(a)]) == WRONG and "not asked" in capsys.readouterr().err
+
+
+def test_reports_as_commands(spark, tmp_path, capsys):
+    texts = [{"source_id": "1", "domain": "news", "side": "human", "text": "It plays a vital role. Here it plays a vital role."}, {"source_id": "1", "domain": "news", "side": "model", "text": "Plain words."}, {"source_id": "2", "domain": "blogs", "side": "human", "text": None}]
+    (tmp_path / "texts.jsonl").write_text("\n".join(map(json.dumps, texts)))
+    assert main(["rates", str(tmp_path / "texts.jsonl"), "--first", "1", "--json"]) == 0
+    got = json.loads(capsys.readouterr().out)
+    assert {(r["domain"], r["side"]): (r["n_texts"], r["words"], r["notes"], r["per_1k"]) for r in got["rates"]} == {("news", "human"): (1, 11, 2, 181.818182), ("news", "model"): (1, 2, 0, 0.0), ("blogs", "human"): (1, 0, 0, 0.0)}
+    assert [(r["rule"], r["place"], r["line"], r["column"]) for r in got["first"]] == [("vital-role", 1, 1, 4)]
+    labels = [{"sentence": "It plays a vital role.", "paragraph": "So. It plays a vital role.", "slop": True, "family": "a"}, {"sentence": "So.", "paragraph": "So. It plays a vital role.", "slop": False, "family": "b", "shape": "x"}]
+    (tmp_path / "labels.jsonl").write_text("\n".join(map(json.dumps, labels)))
+    assert main(["labels", str(tmp_path / "labels.jsonl"), "--family", "a", "--json"]) == 0
+    totals = {(r["rule"], r["family"]): (r["slop_hit"], r["slop_all"]) for r in json.loads(capsys.readouterr().out)["totals"]}
+    assert totals[("vital-role", "a")] == (1, 1) and not any(f == "b" for _, f in totals)
+    assert main(["labels", str(tmp_path / "labels.jsonl")]) == 0 and "vital-role" in capsys.readouterr().out
+    assert main(["labels", str(tmp_path / "labels.jsonl"), "--shape", "y"]) == WRONG and main(["rates", str(tmp_path / "gone")]) == WRONG
