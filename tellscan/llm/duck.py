@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 #: Bytes of text that one statement takes; a longer text is a statement's only row.
 SLICE_BYTES = 4 << 20
@@ -70,11 +71,9 @@ def joined(rows: pa.RecordBatch, found: pa.Table, types: dict[str, pa.DataType])
     return pa.RecordBatch.from_arrays([*rows.columns, *extra], [*rows.schema.names, *types])
 
 
-def with_columns(df: DataFrame, columns: dict[str, str]) -> str:
-    """The schema of df with further columns, as DDL types by name."""
-    from pyspark.sql import types as T
-
-    schema = T.StructType(list(df.schema.fields))
+def with_columns(df: DataFrame, columns: dict[str, str]) -> T.StructType:
+    """The schema of df with further columns, as DDL types by name; all may be null."""
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in df.schema.fields])
     for name, kind in columns.items():
         schema = schema.add(name, T._parse_datatype_string(kind))
     return schema

@@ -44,7 +44,7 @@ def spill(docs: DataFrame, text_col: str = "text", most_words: int = MOST_WORDS,
     sql = _ngrams(most_words, buckets)
     given = docs.withColumn(body, F.make_valid_utf8(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
     kept = [c for c in docs.columns if keep_text or c != text_col]
-    schema = duck.with_columns(docs.select(*[F.when(F.lit(True), F.col(f"`{c}`")).alias(c) for c in kept]), {words: "long", held: "array<int>", counted: "array<long>"})
+    schema = duck.with_columns(docs.select(*[f"`{c}`" for c in kept]), {words: "long", held: "array<int>", counted: "array<long>"})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums, kinds = np.zeros(buckets, np.int64), None
