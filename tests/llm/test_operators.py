@@ -224,6 +224,29 @@ def test_every_place_of_a_meeting_is_verified():
         assert passages.likenesses(a, r).tolist() == each == passages._slid(a, r, span).tolist()
 
 
+def test_passages_that_meet_are_found_whatever_their_distance():
+    """A word left out or put in moves what follows: the passages that are alike may stand beside those aligned by the least hash."""
+    rng, of, span = random.Random(9), passages.Shingles(), passages.SPAN
+    due = found = 0
+    for case in range(150):
+        body = words(rng, 50, 10**6).split()
+        at = rng.randrange(15, 35)
+        other = body[:at] + body[at + 1 :] if case % 3 else [*body[:at], "new", *body[at:]]
+        texts = [" ".join([words(rng, before, 10**6), *m, words(rng, 60 - before, 10**6)]) for m, before in ((body, 30), (other, 20))]
+        windows = []
+        for h in map(of, (t.encode() for t in texts)):
+            _, k, key, lo, hi, c = passages.windows(h)
+            *_, both, place = passages.meetings(np.zeros(len(k), dtype=int), key.view(np.int64), passages.packed(lo, hi, c, span, k))
+            windows.append((h, both, *passages.unpacked(place, span)[:3]))
+        (a, x, *mine), (r, y, *theirs) = windows
+        asked = [(*(v[i] for v in mine), *(v[j] for v in theirs)) for i in range(len(x)) for j in np.flatnonzero(y == x[i])]
+        got = passages.verified(a, r, asked)
+        assert all(p >= passages.LIKENESS for *_, p in got)
+        if asked and spelt_pairs(list(enumerate(texts))):
+            due, found = due + 1, found + bool(got)
+    assert due >= 140 and found == due
+
+
 def test_signatures_meet_at_the_least_likeness():
     rng, of, span = random.Random(23), passages.Shingles(), passages.SPAN
     met = true = 0
