@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -247,6 +248,26 @@ def test_passages_that_meet_are_found_whatever_their_distance():
     assert due >= 140 and found == due
 
 
+def test_windows_of_a_frequent_line_make_no_pairs_unless_they_are_alike():
+    """Candidates of a hot signature follow the pairs that are alike, not the square of its windows."""
+    rng, of, span, hs = random.Random(41), passages.Shingles(), passages.SPAN, []
+    line = words(rng, 20, 10**6)
+    for _ in range(150):
+        around = [words(rng, 15, 10**6), words(rng, 15, 10**6)]
+        hs.append(of(f"{around[0]} {line} {around[1]}".encode()))
+    for k in range(0, 10, 2):  # five pairs with one word changed
+        near = words(rng, 51, 10**6).split()
+        hs[k], hs[k + 1] = of(" ".join(near).encode()), of(" ".join(altered(rng, near, [0])).encode())
+    n, zero = len(hs), np.zeros(1, dtype=np.int64)
+    p = [passages.packed(zero, zero + len(h) - span, zero + len(h) - span, span)[0] for h in hs]
+    t = pa.array(np.arange(n), pa.int64())
+    cols = [pa.array([7] * n, pa.int64()), *(pa.array([0] * n, pa.int32()) for _ in range(3)), t, pa.array([0] * n, pa.int32()), pa.array(p, pa.int64()), t, pa.array([h.tobytes() for h in hs], pa.binary())]
+    rows = pa.RecordBatch.from_arrays(cols, ["key", "x", "y", "tile", "t", "u", "p", "root", "hs"])
+    got = {(a, r) for b in passages._across(span, passages.LIKENESS)(iter([rows])) for a, r in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)}
+    true = {(j, i) for i in range(n) for j in range(i + 1, n) if any(passages.likeness(hs[i][x : x + span], hs[j][y : y + span]) >= passages.LIKENESS for x in range(len(hs[i]) - span + 1) for y in range(len(hs[j]) - span + 1))}
+    assert got == true == {(k + 1, k) for k in range(0, 10, 2)}
+
+
 def test_signatures_meet_at_the_least_likeness():
     rng, of, span = random.Random(23), passages.Shingles(), passages.SPAN
     met = true = 0
