@@ -168,3 +168,18 @@ def test_labels_run_a_pattern_only_where_its_words_are(spark):
     scored = score_rules(spark.createDataFrame(rows, LABELS), [BY_ID["vital-role"]])
     assert "contains(low" in scored._jdf.queryExecution().analyzed().toString().lower()
     assert sorted(r.status for r in scored.collect()) == ["HIT", "MISS"]
+
+
+def test_only_what_was_noted_is_kept_and_once(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr("tellscan.operators.judge.settle", lambda df: kept.append(df.schema) or df)
+    ids = ("particulars", "throat-clearing", "wrap-up", "no-news", "maxim")
+    for strict in (True, False):
+        notes, usage = judge(docs(spark, "\n\n".join(PARAS), None, "It rained."), Scripted(sure={"maxim": 0.6}), [QUESTION_BY_ID[i] for i in ids], strict=strict)
+        got = sorted((r.doc_id, r.rule, r.ord, r.excerpt, r.confidence) for r in notes.collect())
+        of_paragraph = [(0, "particulars", 0, PARAS[0], "high"), (0, "throat-clearing", 1, "Tom ran.", "high"), (0, "wrap-up", 2, "We left.", "high")]
+        assert got == sorted([*of_paragraph, *[(d, rule, i, "It rained.", sure) for d in (0, 2) for rule, i, sure in (("no-news", 3, "high"), ("maxim", 4, "medium"))]])
+        requests = 2 + 8 if strict else 2 + 5
+        assert {r.counter: r.total for r in usage.collect()} == {"requests": float(requests), "input_tokens": 100.0 * requests}
+    # answers and sentences that nothing is noted of would be written and read again, many times the text
+    assert len(kept) == 2 and all(s.names == ["doc_id", "noted", "usages"] and "probabilities" not in s.simpleString() for s in kept)
